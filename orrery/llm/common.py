@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gc
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,6 +30,11 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def worker_state() -> dict:
+    """A dict that lives as long as the Python process: caches that outlast a task."""
+    return sys.modules.setdefault("_orrery_worker_state", types.ModuleType("_orrery_worker_state")).__dict__
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 

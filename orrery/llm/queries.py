@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import packing, simhash
 
 QUERIES = {
     "op3_simhash": simhash.op3,
+    "op10_packing": packing.op10,
 }
 
 ORACLES: dict[str, str] = {}
