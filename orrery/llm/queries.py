@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing, simhash
+from . import mixing, packing, simhash
 
 QUERIES = {
     "op3_simhash": simhash.op3,
+    "op4_mixing": mixing.op4,
     "op10_packing": packing.op10,
 }
 
