@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, simhash
+from . import exact, mixing, packing, simhash
 
 QUERIES = {
     "op3_simhash": simhash.op3,
     "op4_mixing": mixing.op4,
+    "op6_exact": exact.op6,
     "op10_packing": packing.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_exact": exact.SQL6,
+}
