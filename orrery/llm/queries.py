@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact, mixing, packing, simhash
+from . import exact, lines, minhash, mixing, packing, simhash
 
 QUERIES = {
+    "op1_minhash": minhash.op1,
     "op3_simhash": simhash.op3,
     "op4_mixing": mixing.op4,
     "op6_exact": exact.op6,
+    "op9_lines": lines.op9,
     "op10_packing": packing.op10,
 }
 
 ORACLES: dict[str, str] = {
     "op6_exact": exact.SQL6,
+    "op9_lines": lines.SQL9,
 }
