@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact, lines, minhash, mixing, packing, simhash
+from . import exact, lines, minhash, mixing, packing, repeats, simhash
 
 QUERIES = {
     "op1_minhash": minhash.op1,
     "op3_simhash": simhash.op3,
     "op4_mixing": mixing.op4,
+    "op5_repeats": repeats.op5,
     "op6_exact": exact.op6,
     "op9_lines": lines.op9,
     "op10_packing": packing.op10,
