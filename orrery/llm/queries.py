@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, lines, minhash, mixing, packing, pii, repeats, simhash
+from . import exact, lines, minhash, mixing, packing, pii, repeats, simhash, toxicity
 
 QUERIES = {
     "op1_minhash": minhash.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_mixing": mixing.op4,
     "op5_repeats": repeats.op5,
     "op6_exact": exact.op6,
+    "op7_toxicity": toxicity.op7,
     "op8_pii": pii.op8,
     "op9_lines": lines.op9,
     "op10_packing": packing.op10,
