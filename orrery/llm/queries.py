@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import exact, lines, minhash, mixing, packing, pii, repeats, simhash, toxicity
 
+
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_minhash": minhash.op1,
     "op3_simhash": simhash.op3,
     "op4_mixing": mixing.op4,

@@ -305,24 +305,45 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return [r["text"].encode() for r in rows], [r["y"] for r in rows]
 
 
-def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", base_rate: float = 0.0) -> DataFrame:
-    """(id, score) of every row; model from ``train``."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(model)
+def _scorer(model, docs: DataFrame, base_rate: float):
+    """A function from texts (Arrow array) to scores, for use in tasks."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     name = hashlib.md5(b"".join(v.tobytes() for v in model[0].values())).hexdigest() if model else ""
 
-    def run(batches):
+    def scores(texts: pa.Array) -> np.ndarray:
         kept = worker_state()
-        if name and kept.get("toxicity", (None,))[0] != name:
+        if not name:
+            return np.full(len(texts), base_rate)
+        if kept.get("toxicity", (None,))[0] != name:
             kept["toxicity"] = (name, Scorer(*shared.value))
+        return kept["toxicity"][1].scores([t.as_py() or b"" for t in texts.cast(pa.binary())])
+
+    return scores
+
+
+def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", base_rate: float = 0.0) -> DataFrame:
+    """(id, score) of every row; model from ``train``."""
+    scores = _scorer(model, docs, base_rate)
+
+    def run(batches):
         for b in batches:
-            texts = [t.as_py() or b"" for t in b.column(1).cast(pa.binary())]
-            got = kept["toxicity"][1].scores(texts) if name else np.full(len(texts), base_rate)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.float64())], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(b.column(1)), pa.float64())], ["id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, score double")
 
 
+def keep(docs: DataFrame, model, text_col: str = "text", base_rate: float = 0.0, below: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores less than ``below``."""
+    scores = _scorer(model, docs, base_rate)
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(scores(b.column(place).cast(pa.string())) < below))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted) of every row of ``docs``."""
     texts, y = sample(docs, labels, id_col, text_col)
