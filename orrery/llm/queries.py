@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact, lines, minhash, mixing, packing, pii, repeats, simhash, toxicity
+from . import exact, lines, minhash, mixing, packing, pii, repeats, simhash, toolcalls, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -14,6 +14,7 @@ def pipeline(spark, sf_dir):
 QUERIES = {
     "pipeline": pipeline,
     "op1_minhash": minhash.op1,
+    "op2_toolcalls": toolcalls.op2,
     "op3_simhash": simhash.op3,
     "op4_mixing": mixing.op4,
     "op5_repeats": repeats.op5,
@@ -25,6 +26,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_toolcalls": toolcalls.SQL2,
     "op6_exact": exact.SQL6,
     "op9_lines": lines.SQL9,
 }
