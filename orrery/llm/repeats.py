@@ -34,7 +34,9 @@ from .common import free_shuffles, shuffle_partitions, store, worker_state
 WINDOW = 13
 LAST = (1 << 63) - 1
 #: Words whose hashes are packed together; bounds a task's memory.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: 16-bit cells of a probe's hash.
+PROBE_CELLS = 3
 PACKED = "part int, probe boolean, n int, hashes binary, ids binary, places binary"
 
 
@@ -75,18 +77,42 @@ def rolling(h: np.ndarray, size: int, factor: int) -> np.ndarray:
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
+def _packed(hashes: np.ndarray, ids: np.ndarray, places: np.ndarray):
+    """Bytes of hashes, of ids by runs (ids, then lengths), and of places in as few bytes as the largest needs."""
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    lengths = np.diff(np.append(first, len(ids))).astype(np.int32)
+    kind = np.uint16 if places.max() < 1 << 16 else np.int32
+    return len(ids), hashes.tobytes(), ids[first].tobytes() + lengths.tobytes(), places.astype(kind).tobytes()
+
+
+def _unpacked(n: int, hashes: bytes, ids: bytes, places: bytes, cells: int):
+    """Hashes (n, cells of 16 bits as 64-bit columns), ids and places."""
+    h = np.frombuffer(hashes, np.uint16).reshape(n, cells)
+    if cells % 4:
+        h = np.concatenate((h, np.zeros((n, 4 - cells % 4), np.uint16)), axis=1)
+    runs = len(ids) // 12
+    keys, lengths = np.frombuffer(ids[: 8 * runs], np.int64), np.frombuffer(ids[8 * runs :], np.int32)
+    at = np.frombuffer(places, np.uint16 if len(places) == 2 * n else np.int32)
+    return np.ascontiguousarray(h).view(np.uint64), np.repeat(keys, lengths), at.astype(np.int32)
+
+
 def _deal(parts: int, hashes: list, ids: list, places: list, probe: bool, second: list | None = None):
-    """Packed rows of one chunk, one for each partition that it has hashes for."""
+    """Packed rows of one chunk, one for each partition that it has hashes for.
+
+    Probes and blocks keep 48 bits: a false hit costs a look at its windows,
+    which keep 128.
+    """
     h, d, p = np.concatenate(hashes), np.concatenate(ids), np.concatenate(places)
     at = (h >> np.uint64(40)).astype(np.int64) % parts
     order = np.argsort(at, kind="stable")
     ends = np.cumsum(np.bincount(at, minlength=parts))
+    cells = h.view(np.uint16).reshape(-1, 4)[:, :PROBE_CELLS]
     if second is not None:
-        h = np.stack([h, np.concatenate(second)], axis=1)
+        cells = np.concatenate((h.view(np.uint16).reshape(-1, 4), np.concatenate(second).view(np.uint16).reshape(-1, 4)), axis=1)
     for part, end in enumerate(ends.tolist()):
         own = order[ends[part - 1] if part else 0 : end]
         if len(own):
-            yield part, probe, len(own), h[own].tobytes(), d[own].tobytes(), p[own].astype(np.int32).tobytes()
+            yield part, probe, *_packed(cells[own], d[own], p[own])
 
 
 def _batch(rows: list) -> pa.RecordBatch:
@@ -127,9 +153,12 @@ def _runs(batches, parts: int, block: int):
     yield from flush()
 
 
-def _unpack(table: pa.Table, width: int = 1):
-    h = np.frombuffer(b"".join(table["hashes"].to_pylist()), np.uint64).reshape(-1, width)
-    return h, np.frombuffer(b"".join(table["ids"].to_pylist()), np.int64), np.frombuffer(b"".join(table["places"].to_pylist()), np.int32)
+def _rows(batches, cells: int):
+    """(probe, hashes, ids, places) of each packed row."""
+    for b in batches:
+        for i in range(b.num_rows):
+            probe, n, *parts = (b.column(c)[i].as_py() for c in range(1, 6))
+            yield probe, *_unpacked(n, *parts, cells)
 
 
 def _pairs(ids: np.ndarray, places: np.ndarray):
@@ -156,27 +185,21 @@ def _match(batches):
         keys = h[order, 0][np.concatenate(([0], np.nonzero(np.diff(group))[0] + 1))] if len(h) else np.empty(0, np.uint64)
         return keys, least, group, ids[order], places[order], np.zeros(len(least), bool)
 
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        for probe in (False, True):
-            for row in range(t.num_rows):
-                if t["probe"][row].as_py() is not probe:
-                    continue
-                h, ids, places = _unpack(t.slice(row, 1))
-                if not probe:
-                    for x, v in zip(parts, (h, ids, places)):
-                        x.append(v)
-                    continue
-                if index is None:
-                    index = build()
-                    parts = [[], [], []]
-                keys, least, _, _, _, met = index
-                if not len(keys):
-                    continue
-                at = np.minimum(np.searchsorted(keys, h[:, 0]), len(keys) - 1)
-                hit = (keys[at] == h[:, 0]) & (least[at] < ids)
-                met[at[hit]] = True
-                yield from _pairs(ids[hit], places[hit])
+    for probe, h, ids, places in _rows(batches, PROBE_CELLS):
+        if not probe:
+            for x, v in zip(parts, (h, ids, places)):
+                x.append(v)
+            continue
+        if index is None:
+            index = build()
+            parts = [[], [], []]
+        keys, least, _, _, _, met = index
+        if not len(keys):
+            continue
+        at = np.minimum(np.searchsorted(keys, h[:, 0]), len(keys) - 1)
+        hit = (keys[at] == h[:, 0]) & (least[at] < ids)
+        met[at[hit]] = True
+        yield from _pairs(ids[hit], places[hit])
     if index is not None:
         _, _, group, ids, places, met = index
         hit = met[group]
@@ -219,9 +242,9 @@ def _around(batches, parts: int, block: int):
 
 def _later(batches):
     """(id, place) of one partition's windows that also start in a document with a smaller id."""
-    tables = [_unpack(pa.Table.from_batches([b]), 2) for b in batches if b.num_rows]
-    if tables:
-        h, ids, places = (np.concatenate(x) for x in zip(*tables))
+    rows = [x[1:] for x in _rows(batches, 8)]
+    if rows:
+        h, ids, places = (np.concatenate(x) for x in zip(*rows))
         order, group, least = _least(h, ids)
         late = least[group] < ids[order]
         yield from _pairs(ids[order][late], places[order][late])
