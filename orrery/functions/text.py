@@ -18,11 +18,17 @@ UNICODE_EDGES = "(?U)^\\s+|\\s+$"
 TAG = "<[^>]+>"
 BOLD = "\\*\\*(.*?)\\*\\*"
 TOKEN = "[\\p{L}\\p{N}_]{2,}"
+FOLD = 128
 ASCII_ONLY = "^[\\x00-\\x7F]*$"
 #: Strings that readers take as missing (the defaults of pandas).
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with ``value`` computed once, also where f uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 @pandas_udf("string")
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
@@ -100,7 +106,10 @@ def noun_compounds(toks: Column, stopwords: list[str]) -> Column:
     is skipped; two nouns in a row, the second no stopword, become one word;
     any other noun stands for itself. Stopwords part their neighbours.
     """
-    stop = F.array(*[F.lit(w) for w in stopwords]).cast("array<string>")
+    return let(toks, lambda t: _fold_nouns(t, F.array(*[F.lit(w) for w in stopwords]).cast("array<string>")))
+
+
+def _fold_nouns(toks: Column, stop: Column) -> Column:
     noun = lambda t: t["pos"] == "noun"
     n = F.size(toks)
 
@@ -111,6 +120,13 @@ def noun_compounds(toks: Column, stopwords: list[str]) -> Column:
         word = F.when(pair, F.array(F.concat(here["base"], after["base"]))).when(usable & noun(here), F.array(here["base"])).otherwise(F.array().cast("array<string>"))
         return F.when(acc["skip"], F.struct(acc["out"].alias("out"), F.lit(False).alias("skip"))).otherwise(F.struct(F.concat(acc["out"], word).alias("out"), pair.alias("skip")))
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("skip"))
-    folded = F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda a: F.array_join(a["out"], " "))
+    def start(skip):
+        return F.struct(F.array().cast("array<string>").alias("out"), skip.alias("skip"))
+
+    def chunk(acc, c):
+        """Fold FOLD tokens; arrays grow by copying, so long texts are folded in pieces."""
+        own = F.aggregate(F.sequence(c * FOLD, F.least(n, (c + 1) * FOLD) - 1), start(acc["skip"]), step)
+        return let(own, lambda o: F.struct(F.concat(acc["out"], F.when(F.size(o["out"]) > 0, F.array(F.array_join(o["out"], " "))).otherwise(F.array().cast("array<string>"))).alias("out"), o["skip"].alias("skip")))
+
+    folded = F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / FOLD).cast("int")), start(F.lit(False)), chunk, lambda a: F.array_join(a["out"], " "))
     return F.when(n > 0, folded).otherwise(F.lit(""))
