@@ -131,3 +131,16 @@ def role_projection(spark, sf_dir):
 @query("snippet", "SELECT doc_id, substring(translate(text, chr(10), ' '), 1, 200) || '...' AS snippet, CASE WHEN length(text) > 30 THEN substring(text, 1, 30) || '...' ELSE text END AS short FROM documents")
 def snippet(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", flatten_snippet(F.col("text")).alias("snippet"), shorten(F.col("text")).alias("short"))
+
+
+@query("enriched_orders", """SELECT o_orderkey, year(o_orderdate)::INT AS year, o_orderkey::VARCHAR AS app_num_main, upper(trim(o_orderpriority)) AS ipc_main_group, o_orderstatus AS applicant_main, 0::INT AS inventors FROM orders""")
+def enriched_orders(spark, sf_dir):
+    """The whole enrichment of a table with headers of its own, orders as applications."""
+    from ..operators.enrich import enrich
+
+    o = table(spark, sf_dir, "orders")
+    raw = o.select(F.col("o_orderkey").cast("string").alias("Key"), F.date_format("o_orderdate", "yyyy/M/d").alias("Filed"), "o_orderpriority", "o_orderstatus")
+    chosen = dict(title="o_orderpriority", abstract="o_orderstatus", claim="o_orderpriority", app_num="Key", date="Filed", applicant="o_orderstatus", ipc="o_orderpriority")
+    out = enrich(raw, schema.ColumnMap.bind(raw.columns, {}, chosen))
+    first = lambda c: F.array_join(c, "|")
+    return out.select(F.col("Key").cast("long").alias("o_orderkey"), "year", "app_num_main", first("ipc_main_group").alias("ipc_main_group"), first("applicant_main").alias("applicant_main"), F.size("inventor_main").alias("inventors"))
