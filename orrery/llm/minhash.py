@@ -147,17 +147,20 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeat). Rows with a null id have no next document: their edit only loses
     those code points, and near_next is null.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    texts = texts.withColumns({"n": F.length("text").cast("long"), "fp": fingerprint(F.col("text"))})
+    whole = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("fp", fingerprint(F.col("text")))
+    # Used twice below with the same columns and filter, so that one shuffle of it serves both.
+    texts = whole.where("id is not null")
     links = store(neighbours(docs, id_col), "links")
     # How many code points a document's predecessor asks of it.
     wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.floor(F.length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) / part).alias("k")).groupBy("id").agg(F.max("k").alias("most"))
     asked = store(links.join(wanted, "id").select(F.col("next_id").alias("id"), F.col("id").alias("before"), "most"), "asked")
     heads = texts.join(asked, "id").select(F.col("before").alias("id"), F.struct(F.substring("text", F.lit(1), F.col("most").cast("int")).alias("head"), F.col("fp").alias("next_fp")).alias("h"))
     heads = heads.groupBy("id").agg(F.min("h").alias("h"))
-    k = F.floor(F.col("n") / part).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), (F.col("n") - k).cast("int")), F.coalesce(F.substring("h.head", F.lit(1), k), F.lit("")))
-    out = texts.join(heads, "id", "left").select("id", "n", "fp", F.col("h.next_fp").alias("next_fp"), edited.alias("edited"))
+    n = F.length("text").cast("long")
+    k = F.floor(n / part).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), (n - k).cast("int")), F.coalesce(F.substring("h.head", F.lit(1), k), F.lit("")))
+    out = texts.join(heads, "id", "left").unionByName(whole.where("id is null"), allowMissingColumns=True)
+    out = out.select("id", n.alias("n"), "fp", F.col("h.next_fp").alias("next_fp"), edited.alias("edited"))
     out = out.select("id", "n", "fp", "next_fp", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_fp"))
     return out.select("id", F.col("n").alias("n_chars"), "edited_sha256", as_hex(F.col("fp")).alias("fingerprint"), as_hex(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
 
