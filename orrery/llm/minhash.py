@@ -119,7 +119,8 @@ def likeness(a: Column, b: Column) -> Column:
     chance = 1.0 / (1 << LOW_BITS)
     agree = 1.0 - unlike / F.lit(float(BINS))
     empty = lambda fp: F.forall(fp, lambda x: x == 0)
-    return F.when(empty(a) | empty(b), (empty(a) & empty(b)).cast("double")).otherwise(F.greatest(F.lit(0.0), (agree - chance) / (1.0 - chance)))
+    near = F.when(empty(a) | empty(b), (empty(a) & empty(b)).cast("double")).otherwise(F.greatest(F.lit(0.0), (agree - chance) / (1.0 - chance)))
+    return F.when(a.isNotNull() & b.isNotNull(), near)
 
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
