@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import lines, mixing, packing, simhash, toxicity
-from orrery.llm.common import shared_dir, table
+from orrery.llm.common import shared_dir, table, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,23 +25,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that later copies of a three-line window cover; n_chars follows the text."""
-    out = lines.deduplicate_lines(docs).drop("n_lines", "n_removed")
-    return out.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(*docs.columns)
+    return lines.deduplicate_lines(docs).withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; rows without an id stay."""
     found = simhash.near_duplicates(docs, size=5)
-    gone = found.where("id <> component_id").select(F.col("id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    gone = found.where("id <> component_id").select(F.col("id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
     mixed = mixing.mix(docs, mixing.quality_weights(table(spark, sf_dir, "labels")))
-    times = mixed.where("taken > 0").select(F.col("id").alias("__id"), (F.col("taken") / F.col("size")).cast("int").alias("__n")).groupBy("__id").agg(F.max("__n").alias("__n"))
-    taken = docs.join(times, docs["doc_id"] == times["__id"])
-    return taken.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    key, n, turn = unused(docs, "mix_id", "mix_times", "mix_turn")
+    times = mixed.where("taken > 0").groupBy(F.col("id").alias(key)).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias(n))
+    taken = docs.join(times, docs["doc_id"] == times[key])
+    # A row for each time that the mix takes the document.
+    return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col(n))).alias(turn)).select(*docs.columns)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

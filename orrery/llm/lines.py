@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store, table
+from .common import store, table, unused
 
 TRIM = "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$"
 LAST = (1 << 63) - 1
@@ -55,12 +55,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """All columns of ``docs`` with the text after removal, and n_lines, n_removed."""
-    gone = repeated_lines(docs, id_col, text_col, size).select(F.col("id").alias("__id"), F.col("gone").alias("__gone"))
+    key, out = unused(docs, "line_id", "lines_gone")
+    gone = repeated_lines(docs, id_col, text_col, size).select(F.col("id").alias(key), F.col("gone").alias(out))
     lines = _lines(F.col(text_col).cast("string"))
-    joined = docs.join(gone, F.coalesce(docs[id_col].cast("long"), F.lit(LAST)) == gone["__id"], "left")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    made = {"n_lines": F.size(lines).cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)}
-    return joined.withColumns(made).drop("__id", "__gone")
+    joined = docs.join(gone, F.coalesce(docs[id_col].cast("long"), F.lit(LAST)) == gone[key], "left")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(out, i)), "\n")
+    made = {"n_lines": F.size(lines).cast("long"), "n_removed": F.coalesce(F.size(out), F.lit(0)).cast("long"), text_col: F.when(F.col(out).isNull(), F.col(text_col)).otherwise(kept)}
+    return joined.withColumns(made).drop(key, out)
 
 
 def op9(spark, sf_dir):

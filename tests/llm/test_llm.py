@@ -34,7 +34,7 @@ def odd_docs(spark):
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     # Names that the operators use inside.
-    return df.withColumns({c: F.lit("clash") for c in ("id", "fp", "n", "size", "key", "part", "row", "target", "digest", "__id", "label", "root", "queue", "first")})
+    return df.withColumns({c: F.lit("clash") for c in ("id", "fp", "n", "size", "key", "part", "row", "target", "digest", "__id", "label", "root", "queue", "first", "gone", "col", "line_id", "mix_id")})
 
 
 @pytest.fixture(scope="module")
@@ -261,7 +261,7 @@ def test_fuse_filter():
         f = exact.FuseFilter.build(keys)
         assert f.holds(keys).all()
         assert f.holds(other).mean() < 0.01
-    assert len(f.cells) < 1.3 * n
+    assert len(f.cells) < 1.35 * n
 
 
 def test_exact_odd(docs):
