@@ -1,9 +1,10 @@
 """Near-duplicate groups by SimHash and deletion-variant signatures.
 
 A fingerprint has 64 bits. Two that differ in at most four bits, cut into
-three segments, differ in at most one bit of some segment. So each
-fingerprint is indexed under 64 keys: for every bit, its segment without that
-bit. An equality join on the keys finds every pair of interest.
+three segments, differ in at most one bit of some segment; more bits take more
+segments. So each fingerprint is indexed under 64 keys: for every bit, its
+segment without that bit. An equality join on the keys finds every pair of
+interest.
 
 Edge cases: a null or blank text has no words and gets fingerprint zero; a
 text of fewer than four words has one shingle, its whole word sequence; equal
@@ -28,8 +29,13 @@ from .graph import components
 BITS = 64
 SEED = 42
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: (first bit, bits) of the three segments.
-SEGMENTS = ((0, 21), (21, 21), (42, 22))
+
+
+def segments(distance: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of the fewest segments of which one differs in one bit at most."""
+    n = distance // 2 + 1
+    ends = [BITS * (i + 1) // n for i in range(n)]
+    return [(a, b - a) for a, b in zip([0, *ends], ends)]
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -71,10 +77,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return src.mapInArrow(run, "id long, fp long")
 
 
-def _keys():
+def _keys(distance: int):
     """The 64 one-wildcard segment variants of column fp, the wildcard's place in the high bits."""
     out = []
-    for at, n in SEGMENTS:
+    for at, n in segments(distance):
         seg = F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << n) - 1))
         out += [seg.bitwiseAND(F.lit(((1 << n) - 1) & ~(1 << i))).bitwiseOR(F.lit((at + i) << 32)) for i in range(n)]
     return F.explode(F.array(*out)).alias("key")
@@ -94,16 +100,14 @@ def link(fps: DataFrame, distance: int = 4) -> DataFrame:
     bucket whose fingerprints are all in one group is left out, and one side
     leaves out the group of its first fingerprint.
     """
-    if distance > 4:
-        raise ValueError("three segments find differences of at most four bits")
     w = Window.partitionBy("key").orderBy("fp")
-    near = fps.select(_keys(), "fp").select("fp", F.lag("fp").over(w).alias("prev"), F.first("fp").over(w).alias("first"))
+    near = fps.select(_keys(distance), "fp").select("fp", F.lag("fp").over(w).alias("prev"), F.first("fp").over(w).alias("first"))
     near = near.select("fp", F.explode(F.array("prev", "first")).alias("other")).where(F.col("other").isNotNull() & (F.col("fp") != F.col("other")) & _near("fp", "other", distance))
     first = store(components(near.select(F.col("fp").alias("u"), F.col("other").alias("v"))), "groups")
 
     labelled = fps.join(first, fps.fp == first.node, "left").select("fp", F.coalesce("root", "fp").alias("label"))
     whole = Window.partitionBy("key")
-    index = labelled.select(_keys(), "fp", "label").select("key", "fp", "label", F.min("label").over(whole).alias("lo"), F.max("label").over(whole).alias("hi")).where("lo <> hi")
+    index = labelled.select(_keys(distance), "fp", "label").select("key", "fp", "label", F.min("label").over(whole).alias("lo"), F.max("label").over(whole).alias("hi")).where("lo <> hi")
     a = index.where("label <> lo").select("key", F.col("fp").alias("fa"), F.col("label").alias("la"))
     b = index.select("key", F.col("fp").alias("fb"), F.col("label").alias("lb"))
     # A pair with one side in the bucket's lowest group comes once, any other pair twice.

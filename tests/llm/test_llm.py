@@ -155,14 +155,15 @@ def test_simhash(request, source):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_link_finds_every_pair(spark):
+@pytest.mark.parametrize("distance", [2, 4, 7])
+def test_link_finds_every_pair(spark, distance):
     g = random.Random(9)
     seeds = [g.getrandbits(64) for _ in range(12)]
     fps = list({s ^ sum(1 << b for b in g.sample(range(64), g.randrange(7))) for s in seeds for _ in range(25)})
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    got = {r["node"]: r["root"] for r in simhash.link(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()}
+    got = {r["node"]: r["root"] for r in simhash.link(spark.createDataFrame([(f,) for f in signed], "fp long"), distance).collect()}
     groups = lambda roots: {frozenset(i for i in range(len(fps)) if roots[i] == r) for r in set(roots)}
-    assert groups([got[f] for f in signed]) == groups(plain_components(signed, fps))
+    assert groups([got[f] for f in signed]) == groups(plain_components(signed, fps, distance))
 
 
 def test_components(spark):
