@@ -30,6 +30,8 @@ from .common import store, worker_state
 
 #: Sources beyond this many, smallest last, share one queue; it bounds what the driver reads.
 MAX_QUEUES = 256
+#: Rows of offsets (about 40 bytes each) up to which they are broadcast.
+MAX_BROADCAST = 100_000
 
 
 def default_tokenizer() -> str:
@@ -186,8 +188,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     per_queue = {r["queue"]: r["n"] for r in sources.groupBy("queue").agg(F.sum("total").alias("n")).collect()}
     plan = Schedule([per_queue[q] for q in range(len(per_queue))], window, quantum)
     inside = Window.partitionBy("queue").orderBy(F.col("t.source").asc_nulls_last(), "part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.alias("t").join(sources.alias("s"), F.expr("t.source <=> s.source")).select(F.col("t.source").alias("s"), F.col("part").alias("p"), "queue", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("base"))
-    placed = tokens.join(bases, F.expr("source <=> s and part = p")).select("id", "n", "ids", "source", "queue", (F.col("base") + F.col("at")).alias("first"))
+    bases = store(totals.alias("t").join(sources.alias("s"), F.expr("t.source <=> s.source")).select(F.col("t.source").alias("s"), F.col("part").alias("p"), "queue", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("base")), "bases")
+    # One row for each source and partition: counted, it may go to every task, and then no token is shuffled.
+    placed = tokens.join(F.broadcast(bases) if bases.count() <= MAX_BROADCAST else bases, F.expr("source <=> s and part = p")).select("id", "n", "ids", "source", "queue", (F.col("base") + F.col("at")).alias("first"))
 
     def run(batches):
         names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
