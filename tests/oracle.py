@@ -1,12 +1,13 @@
 """Compare a query's rows with those of its SQL, order aside."""
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def cell(v):
-    if v is None or v != v:
+    if pd.api.types.is_scalar(v) and pd.isna(v):
         return ""
     if isinstance(v, float):
         return repr(round(v, 6) + 0.0)
