@@ -6,7 +6,7 @@ goes through a GRU in both directions; attention pools its states into one
 logit. Windows overlap by half and cover the whole text; a text's score is
 that of its most toxic window. Training sees only texts' labels: a text's
 logit is the log-sum-exp of its windows', by Adam, in numpy on the driver,
-from a sample bounded by MAX_TRAIN.
+from a sample bounded by MAX_TRAIN and MAX_TRAIN_CHARS.
 
 Edge cases: a null or blank text is scored as one window without words; rows
 that share an id are scored one by one, and a label of theirs counts for each
@@ -31,6 +31,8 @@ from .common import table, worker_state
 
 #: At most this many labelled texts train the model: those whose hashed ids are smallest.
 MAX_TRAIN = 4000
+#: Longer texts are scored as any other but not trained on; with MAX_TRAIN it bounds the driver's memory.
+MAX_TRAIN_CHARS = 100_000
 STEPS, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN, BUCKETS, MAX_VOCAB = 8, 16, 8, 1 << 13, 20_000
 EPOCHS, BATCH, RATE, TOXIC_WEIGHT = 4, 32, 0.01, 2.0
@@ -301,7 +303,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     own = own.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.md5(F.col("id").cast("string")), "id").limit(most)
     # ``most`` rows at the most.
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(own), "id").orderBy(F.md5(F.col("id").cast("string")), "id", "text").limit(most).collect()
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.length("text") <= MAX_TRAIN_CHARS).join(F.broadcast(own), "id").orderBy(F.md5(F.col("id").cast("string")), "id", "text").limit(most).collect()
     return [r["text"].encode() for r in rows], [r["y"] for r in rows]
 
 
