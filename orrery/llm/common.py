@@ -41,9 +41,18 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def worker_state() -> dict:
-    """A dict that lives as long as the Python process: caches that outlast a task."""
-    return sys.modules.setdefault("_orrery_worker_state", types.ModuleType("_orrery_worker_state")).__dict__
+def worker_state(owner: str) -> dict:
+    """A dict that lives as long as the Python process: an operator's caches that outlast a task.
+
+    Only the operator that ran last has one; a worker that goes on to another
+    gives the memory back.
+    """
+    kept = sys.modules.setdefault("_orrery_worker_state", types.ModuleType("_orrery_worker_state")).__dict__
+    if kept.get("owner") != owner:
+        kept.clear()
+        kept |= {"owner": owner, "state": {}}
+        gc.collect()
+    return kept["state"]
 
 
 def shared_dir(spark: SparkSession) -> str:

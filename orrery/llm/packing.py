@@ -63,7 +63,7 @@ class WordIds(dict):
     a bound on memory, not on what is encoded.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 150_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -89,7 +89,7 @@ class WordIds(dict):
 
 
 def word_ids(path: str) -> WordIds:
-    kept = worker_state()
+    kept = worker_state("packing")
     if path not in kept:
         kept[path] = WordIds(path)
     return kept[path]

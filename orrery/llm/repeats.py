@@ -43,7 +43,7 @@ PACKED = "part int, probe boolean, n int, hashes binary, ids binary, places bina
 class WordHashes(dict):
     """XXH64 of a word; forgets when full."""
 
-    def __init__(self, seed: int, most: int = 300_000):
+    def __init__(self, seed: int, most: int = 150_000):
         self.seed, self.most = seed, most
 
     def __missing__(self, word: bytes) -> int:
@@ -54,9 +54,10 @@ class WordHashes(dict):
 
 
 def word_hashes(words: list[bytes], seed: int) -> np.ndarray:
-    kept = worker_state().setdefault(f"word_hashes_{seed}", None) or WordHashes(seed)
-    worker_state()[f"word_hashes_{seed}"] = kept
-    return np.fromiter(map(kept.__getitem__, words), np.uint64, len(words))
+    kept = worker_state("repeats")
+    if seed not in kept:
+        kept[seed] = WordHashes(seed)
+    return np.fromiter(map(kept[seed].__getitem__, words), np.uint64, len(words))
 
 
 def rolling(h: np.ndarray, size: int, factor: int) -> np.ndarray:

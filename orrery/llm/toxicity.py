@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -172,9 +171,12 @@ class Words:
         self.vocab = vocab
 
     def features(self, words: list[str]):
-        grams = [ngrams(w) for w in words]
-        n = np.array([len(x) for x in grams], np.int64)
-        return np.array([self.vocab.get(w, 0) for w in words], np.int64), np.array([x for y in grams for x in y], np.int64), n
+        n, grams = np.empty(len(words), np.int64), []
+        for at in range(0, len(words), 10_000):
+            own = [ngrams(w) for w in words[at : at + 10_000]]
+            n[at : at + len(own)] = [len(x) for x in own]
+            grams.append(np.array([x for y in own for x in y], np.int32))
+        return np.array([self.vocab.get(w, 0) for w in words], np.int64), np.concatenate(grams), n
 
 
 def inputs(p, ids, grams, n):
@@ -187,23 +189,32 @@ def train(texts: list[bytes], labels: list[int], seed: int = 11):
     """(parameters, vocabulary) from whole texts; None without both classes."""
     if len(set(labels)) < 2:
         return None
-    docs = [[plain(w) for w in t.split()] for t in texts]
-    df = Counter(w for d in docs for w in set(d))
-    words = [w for w, c in sorted(df.items(), key=lambda x: (-x[1], x[0])) if c >= 3][:MAX_VOCAB]
+    place: dict[str, int] = {}
+    raw: dict[bytes, int] = {}
+    coded = []
+    for t in texts:
+        ws = t.split()
+        for w in ws:
+            if w not in raw:
+                raw[w] = place.setdefault(plain(w), len(place) + 1)
+        coded.append(np.fromiter((raw[w] - 1 for w in ws), np.int32, len(ws)))
+    every = list(place) or [""]
+    del raw, place
+    df = np.zeros(len(every), np.int64)
+    for c in coded:
+        df[np.unique(c)] += 1
+    words = [every[i] for i in sorted(np.flatnonzero(df >= 3).tolist(), key=lambda i: (-df[i], every[i]))][:MAX_VOCAB]
     vocab = {w: i + 1 for i, w in enumerate(words)}
-    every = sorted(df) or [""]
-    place = {w: i for i, w in enumerate(every)}
     ids, grams, n = Words(vocab).features(every)
     gram_at = np.concatenate(([0], np.cumsum(n)))
-    coded = [np.array([place[w] for w in d], np.int64) for d in docs]
     y = np.array(labels, np.float32)
     p = init(words, seed)
     m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     rng, step = np.random.default_rng(seed), 0
-    epochs = max(EPOCHS, min(40, EPOCHS * 1000 // len(docs)))
-    total = epochs * -(-len(docs) // BATCH)
+    epochs = max(EPOCHS, min(40, EPOCHS * 1000 // len(coded)))
+    total = epochs * -(-len(coded) // BATCH)
     for _ in range(epochs):
-        order = rng.permutation(len(docs))
+        order = rng.permutation(len(coded))
         for lo in range(0, len(order), BATCH):
             own = order[lo : lo + BATCH]
             lengths = [len(coded[i]) for i in own]
@@ -248,7 +259,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = 11):
 class Scorer(dict):
     """Scores of whole texts; keeps the projected inputs of words met, up to ``most``."""
 
-    def __init__(self, p: dict, vocab: dict[str, int], most: int = 300_000):
+    def __init__(self, p: dict, vocab: dict[str, int], most: int = 150_000):
         self.p, self.words, self.most = p, Words(vocab), most
         self.proj = np.empty((most, 6 * HIDDEN), np.float32)
         self.new: list[bytes] = []
@@ -313,9 +324,9 @@ def _scorer(model, docs: DataFrame, base_rate: float):
     name = hashlib.md5(b"".join(v.tobytes() for v in model[0].values())).hexdigest() if model else ""
 
     def scores(texts: pa.Array) -> np.ndarray:
-        kept = worker_state()
         if not name:
             return np.full(len(texts), base_rate)
+        kept = worker_state("toxicity")
         if kept.get("toxicity", (None,))[0] != name:
             kept["toxicity"] = (name, Scorer(*shared.value))
         return kept["toxicity"][1].scores([t.as_py() or b"" for t in texts.cast(pa.binary())])
