@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import sys
 import tempfile
+import time
 import types
 import uuid
 
@@ -85,9 +86,14 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    Twice, a moment apart: just after a job its last events still hold its plan.
+    """
+    for _ in range(2):
+        time.sleep(0.7)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
