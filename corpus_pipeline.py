@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import lines, mixing, packing, simhash, toxicity
+from orrery.llm import lines, mixing, packing, similar, toxicity
 from orrery.llm.common import shared_dir, table, unused
 
 
@@ -31,13 +31,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; rows without an id stay.
 
-    Seven bits instead of the query's four: copies of a similarity around 0.9
-    differ in about six. Unrelated fingerprints are as near as that once in
-    26 billion pairs.
+    Near copies have a Jaccard similarity of their five-word shingles of 0.8
+    or more; groups are what such pairs connect.
     """
-    found = simhash.near_duplicates(docs, size=5, distance=7)
-    gone = found.where("id <> component_id").select(F.col("id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    found = similar.near_copies(docs, size=5, bound=0.8)
+    gone, key = unused(docs, "gone", "gone_key")
+    found = found.where("id <> component_id").select(F.col("id").alias(gone), F.col("text_key").alias(key)).distinct()
+    return docs.join(found, (docs["doc_id"].cast("long") == found[gone]) & (similar.text_key(docs["text"].cast("string")) == found[key]), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from oracle import check
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orrery.llm import exact, graph, lines, minhash, mixing, packing, pii, queries, repeats, simhash, toolcalls, toxicity
+from orrery.llm import exact, graph, lines, minhash, mixing, packing, pii, queries, repeats, similar, simhash, toolcalls, toxicity
 
 WS = " \t\n\x0b\x0c\r"
 
@@ -457,3 +457,51 @@ def test_pipeline(spark, docs, sf_dir, tmp_path):
         now = spark.read.parquet(str(tmp_path / str(k)))
     assert now.count()
     assert corpus_pipeline.run(spark, sf_dir).count()
+
+
+def edited(g, ws, part):
+    """The words with so many of them changed that about ``part`` of five-word shingles stay."""
+    out = list(ws)
+    for i in g.sample(range(0, len(out), 5), round((1 - part) * len(out) / 5)):
+        out[i] = f"new{g.randrange(10**9)}"
+    return out
+
+
+def test_near_copies_are_those_of_brute_force(spark):
+    g = random.Random(11)
+    rows = []
+    for k in range(60):
+        base = [f"w{g.randrange(3000)}" for _ in range(g.randrange(60, 400))]
+        rows += [base, *(edited(g, base, part) for part in (0.97, 0.92, 0.9, 0.88, 0.8))]
+    # A large group around one text, whose members are less alike among themselves.
+    base = [f"v{g.randrange(3000)}" for _ in range(200)]
+    rows += [base, *(edited(g, base, 0.9) for _ in range(80))]
+    # Short and blank texts, which have one shingle or none.
+    rows += [["a", "b"], ["a", "b"], ["a", "c"], [], []]
+    texts = [" ".join(x) for x in rows]
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    near = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                near += 1
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in similar.near_copies(df).collect()}
+    assert near > 300 and got == {i: find(i) for i in range(len(texts))}
+    assert similar.near_copies(df.limit(0)).count() == 0
+
+
+def test_near_dedup_keeps_other_rows_of_an_id(spark, sf_dir):
+    long = " ".join(f"w{i}" for i in range(50))
+    df = spark.createDataFrame([(1, long), (2, long), (2, "a text of its own here"), (None, long)], "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_copies(spark, df, sf_dir).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(1, long), (2, "a text of its own here"), (None, long)], key=str)
