@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import lines, mixing, packing, similar, toxicity
-from orrery.llm.common import shared_dir, table, unused
+from orrery.llm.common import shared_dir, table, text_key, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = similar.near_copies(docs, size=5, bound=0.8)
     gone, key = unused(docs, "gone", "gone_key")
     found = found.where("id <> component_id").select(F.col("id").alias(gone), F.col("text_key").alias(key)).distinct()
-    return docs.join(found, (docs["doc_id"].cast("long") == found[gone]) & (similar.text_key(docs["text"].cast("string")) == found[key]), "left_anti")
+    return docs.join(found, (docs["doc_id"].cast("long") == found[gone]) & (text_key(docs["text"].cast("string")) == found[key]), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,6 +37,11 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def text_key(text: Column) -> Column:
+    """Hash of ``text`` that tells rows which share an id, or have none, apart; null counts as an empty text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def word_count(text: Column) -> Column:
     """Number of words as long; null counts as an empty text."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")

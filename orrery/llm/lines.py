@@ -8,9 +8,10 @@ line that a later one covers is removed. Windows are judged on the input.
 Edge cases: a null text counts as empty; fewer than three lines that aren't
 blank make no window, so nothing goes; blank lines stay; rows that share an
 id count as one place, so equal windows at one position of such rows both
-stay; rows with a null id come after all others, and keep their lines but
-for those seen earlier; an empty table gives an empty table. Only the named
-columns are read, so further columns can't clash.
+stay; rows with a null id share the last place, after all others; a row loses
+only lines that its own windows cover, whatever its id; an empty table gives
+an empty table. Only the named columns are read, so further columns can't
+clash.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store, table, unused
+from .common import store, table, text_key, unused
 
 TRIM = "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$"
 LAST = (1 << 63) - 1
@@ -35,33 +36,33 @@ def _shown(lines):
 
 
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """(id, a, b, first, lines): two hashes of each window, its number, and the lines that it covers."""
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), _shown(_lines(F.col(text_col).cast("string"))).alias("s"))
+    """(id, text_key, a, b, first, lines): two hashes of each window, its number, and the lines that it covers."""
+    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), text_key(F.col(text_col).cast("string")).alias("text_key"), _shown(_lines(F.col(text_col).cast("string"))).alias("s"))
     src = src.where(F.size("s") >= size)
     # Each line is hashed once; a window's hashes are made from those of its lines.
-    src = src.select("id", F.transform("s", lambda x: x["at"]).alias("at"), F.transform("s", lambda x: F.xxhash64(x["line"])).alias("h"), F.transform("s", lambda x: F.xxhash64(F.lit("2"), x["line"])).alias("g"))
+    src = src.select("id", "text_key", F.transform("s", lambda x: x["at"]).alias("at"), F.transform("s", lambda x: F.xxhash64(x["line"])).alias("h"), F.transform("s", lambda x: F.xxhash64(F.lit("2"), x["line"])).alias("g"))
     start = F.sequence(F.lit(0), F.size("h") - size)
     window = F.transform(start, lambda i: F.struct(F.xxhash64(*[F.get("h", i + k) for k in range(size)]).alias("a"), F.xxhash64(*[F.get("g", i + k) for k in range(size)]).alias("b"), F.transform(F.sequence(i, i + size - 1), lambda j: F.get("at", j)).alias("lines")))
-    return src.select("id", F.posexplode(window).alias("first", "w")).select("id", "first", "w.a", "w.b", "w.lines")
+    return src.select("id", "text_key", F.posexplode(window).alias("first", "w")).select("id", "text_key", "first", "w.a", "w.b", "w.lines")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """(id, gone): the positions of lines to remove, for documents that lose any."""
+    """(id, text_key, gone): the positions of lines to remove, for documents that lose any."""
     w = store(windows(docs, id_col, text_col, size), "windows")
     first = w.groupBy("a", "b").agg(F.min(F.struct("id", "first")).alias("kept"), F.count("*").alias("n")).where("n > 1")
     later = w.join(first, ["a", "b"]).where(F.struct("id", "first") > F.col("kept"))
-    return later.select("id", F.explode("lines").alias("at")).groupBy("id").agg(F.collect_set("at").alias("gone"))
+    return later.select("id", "text_key", F.explode("lines").alias("at")).groupBy("id", "text_key").agg(F.collect_set("at").alias("gone"))
 
 
 def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """All columns of ``docs`` with the text after removal, and n_lines, n_removed."""
-    key, out = unused(docs, "line_id", "lines_gone")
-    gone = repeated_lines(docs, id_col, text_col, size).select(F.col("id").alias(key), F.col("gone").alias(out))
+    key, own, out = unused(docs, "line_id", "line_key", "lines_gone")
+    gone = repeated_lines(docs, id_col, text_col, size).select(F.col("id").alias(key), F.col("text_key").alias(own), F.col("gone").alias(out))
     lines = _lines(F.col(text_col).cast("string"))
-    joined = docs.join(gone, F.coalesce(docs[id_col].cast("long"), F.lit(LAST)) == gone[key], "left")
+    joined = docs.join(gone, (F.coalesce(docs[id_col].cast("long"), F.lit(LAST)) == gone[key]) & (text_key(docs[text_col].cast("string")) == gone[own]), "left")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(out, i)), "\n")
     made = {"n_lines": F.size(lines).cast("long"), "n_removed": F.coalesce(F.size(out), F.lit(0)).cast("long"), text_col: F.when(F.col(out).isNull(), F.col(text_col)).otherwise(kept)}
-    return joined.withColumns(made).drop(key, out)
+    return joined.withColumns(made).drop(key, own, out)
 
 
 def op9(spark, sf_dir):

@@ -15,10 +15,11 @@ that very many documents share is one row of the index and one probe for
 each of them.
 
 Edge cases: a null text has no words; fewer than 13 words make no window, so
-nothing goes; of rows that share an id each is judged alike (a window of the
-same id is no smaller one); rows with a null id come after all others; an
-empty table gives an empty table. Only the named columns are read, so
-further columns can't clash.
+nothing goes; a window of the same id is no smaller one; rows with a null id come
+after all others; rows that share an id, or have none, are told apart by a
+hash of their text, and each loses only words of its own windows; an empty
+table gives an empty table. Only the named columns are read, so further
+columns can't clash.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, shuffle_partitions, store, worker_state
+from .common import free_shuffles, shuffle_partitions, store, text_key, worker_state
 
 WINDOW = 13
 LAST = (1 << 63) - 1
@@ -79,8 +80,8 @@ FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def _packed(hashes: np.ndarray, ids: np.ndarray, places: np.ndarray):
-    """Bytes of hashes, of ids by runs (ids, then lengths), and of places in as few bytes as the largest needs."""
-    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    """Bytes of hashes, of ids (n, 2: id, text key) by runs (ids, then lengths), and of places in as few bytes as the largest needs."""
+    first = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]).any(axis=1))))
     lengths = np.diff(np.append(first, len(ids))).astype(np.int32)
     kind = np.uint16 if places.max() < 1 << 16 else np.int32
     return len(ids), hashes.tobytes(), ids[first].tobytes() + lengths.tobytes(), places.astype(kind).tobytes()
@@ -91,10 +92,10 @@ def _unpacked(n: int, hashes: bytes, ids: bytes, places: bytes, cells: int):
     h = np.frombuffer(hashes, np.uint16).reshape(n, cells)
     if cells % 4:
         h = np.concatenate((h, np.zeros((n, 4 - cells % 4), np.uint16)), axis=1)
-    runs = len(ids) // 12
-    keys, lengths = np.frombuffer(ids[: 8 * runs], np.int64), np.frombuffer(ids[8 * runs :], np.int32)
+    runs = len(ids) // 20
+    keys, lengths = np.frombuffer(ids[: 16 * runs], np.int64).reshape(-1, 2), np.frombuffer(ids[16 * runs :], np.int32)
     at = np.frombuffer(places, np.uint16 if len(places) == 2 * n else np.int32)
-    return np.ascontiguousarray(h).view(np.uint64), np.repeat(keys, lengths), at.astype(np.int32)
+    return np.ascontiguousarray(h).view(np.uint64), np.repeat(keys, lengths, axis=0), at.astype(np.int32)
 
 
 def _deal(parts: int, hashes: list, ids: list, places: list, probe: bool, second: list | None = None):
@@ -122,7 +123,7 @@ def _batch(rows: list) -> pa.RecordBatch:
 
 
 def _runs(batches, parts: int, block: int):
-    """Packed blocks and probes of whole texts (columns id, text)."""
+    """Packed blocks and probes of whole texts (columns id, text, text_key)."""
     held: list[list] = [[] for _ in range(6)]
     size = 0
 
@@ -137,7 +138,7 @@ def _runs(batches, parts: int, block: int):
             yield _batch(rows[at : at + 256])
 
     for b in batches:
-        for key, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
+        for *key, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1).cast(pa.binary())):
             ws = (text.as_py() or b"").split()
             if len(ws) < WINDOW:
                 continue
@@ -145,7 +146,7 @@ def _runs(batches, parts: int, block: int):
             at = np.arange(len(h), dtype=np.int32)
             for k, step in ((0, block), (3, 1)):
                 own = at[::step]
-                for x, v in zip(held[k : k + 3], (h[::step], np.full(len(own), key, np.int64), own)):
+                for x, v in zip(held[k : k + 3], (h[::step], np.full((len(own), 2), key, np.int64), own)):
                     x.append(v)
             size += len(h)
             if size >= CHUNK:
@@ -164,7 +165,7 @@ def _rows(batches, cells: int):
 
 def _pairs(ids: np.ndarray, places: np.ndarray):
     for at in range(0, len(ids), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 100_000]), pa.array(places[at : at + 100_000].astype(np.int32))], ["id", "place"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(ids[at : at + 100_000, k]) for k in (0, 1)), pa.array(places[at : at + 100_000].astype(np.int32))], ["id", "text_key", "place"])
 
 
 def _least(h: np.ndarray, ids: np.ndarray):
@@ -176,13 +177,13 @@ def _least(h: np.ndarray, ids: np.ndarray):
 
 
 def _match(batches):
-    """Hits from one partition's blocks and then its probes: (id, place) of the runs on both sides."""
+    """Hits from one partition's blocks and then its probes: (id, text key, place) of the runs on both sides."""
     parts: list = [[], [], []]
     index = None
 
     def build():
-        h, ids, places = (np.concatenate(x) if x else e for x, e in zip(parts, (np.empty((0, 1), np.uint64), np.empty(0, np.int64), np.empty(0, np.int32))))
-        order, group, least = _least(h, ids)
+        h, ids, places = (np.concatenate(x) if x else e for x, e in zip(parts, (np.empty((0, 1), np.uint64), np.empty((0, 2), np.int64), np.empty(0, np.int32))))
+        order, group, least = _least(h, ids[:, 0])
         keys = h[order, 0][np.concatenate(([0], np.nonzero(np.diff(group))[0] + 1))] if len(h) else np.empty(0, np.uint64)
         return keys, least, group, ids[order], places[order], np.zeros(len(least), bool)
 
@@ -198,7 +199,7 @@ def _match(batches):
         if not len(keys):
             continue
         at = np.minimum(np.searchsorted(keys, h[:, 0]), len(keys) - 1)
-        hit = (keys[at] == h[:, 0]) & (least[at] < ids)
+        hit = (keys[at] == h[:, 0]) & (least[at] < ids[:, 0])
         met[at[hit]] = True
         yield from _pairs(ids[hit], places[hit])
     if index is not None:
@@ -208,7 +209,7 @@ def _match(batches):
 
 
 def _around(batches, parts: int, block: int):
-    """Packed windows of 13 around hits (columns id, text, places)."""
+    """Packed windows of 13 around hits (columns id, text, text_key, places)."""
     held: list[list] = [[] for _ in range(4)]
     size = 0
 
@@ -221,7 +222,7 @@ def _around(batches, parts: int, block: int):
             x.clear()
 
     for b in batches:
-        for key, text, places in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2)):
+        for *key, text, places in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1).cast(pa.binary()), b.column(3)):
             ws = (text.as_py() or b"").split()
             n = len(ws) - WINDOW + 1
             if n <= 0:
@@ -232,7 +233,7 @@ def _around(batches, parts: int, block: int):
             np.add.at(near, p + 1, -1)
             at = np.nonzero(np.cumsum(near)[:n] > 0)[0]
             a, b2 = (rolling(word_hashes(ws, i), WINDOW, FACTORS[i])[at] for i in (0, 1))
-            for x, v in zip(held, (a, b2, np.full(len(at), key, np.int64), at)):
+            for x, v in zip(held, (a, b2, np.full((len(at), 2), key, np.int64), at)):
                 x.append(v)
             size += len(at)
             if size >= CHUNK:
@@ -242,35 +243,36 @@ def _around(batches, parts: int, block: int):
 
 
 def _later(batches):
-    """(id, place) of one partition's windows that also start in a document with a smaller id."""
+    """(id, text key, place) of one partition's windows that also start in a document with a smaller id."""
     rows = [x[1:] for x in _rows(batches, 8)]
     if rows:
         h, ids, places = (np.concatenate(x) for x in zip(*rows))
-        order, group, least = _least(h, ids)
-        late = least[group] < ids[order]
+        order, group, least = _least(h, ids[:, 0])
+        late = least[group] < ids[order, 0]
         yield from _pairs(ids[order][late], places[order][late])
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 7) -> DataFrame:
-    """(id, starts): where windows of 13 words start that also start in a smaller id."""
+    """(id, text_key, starts): where windows of 13 words start that also start in a smaller id."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), text.alias("text"), text_key(text).alias("text_key"))
     dealt = src.mapInArrow(lambda it: _runs(it, parts, block), PACKED).repartition(parts, "part").sortWithinPartitions("probe")
-    hits = store(dealt.mapInArrow(_match, "id long, place int"), "hits")
+    hits = store(dealt.mapInArrow(_match, "id long, text_key long, place int"), "hits")
     free_shuffles(spark)
-    hits = hits.groupBy("id").agg(F.collect_set("place").alias("places"))
-    dealt = src.join(hits, "id").mapInArrow(lambda it: _around(it, parts, block), PACKED).repartition(parts, "part")
-    late = store(dealt.mapInArrow(_later, "id long, place int"), "repeats")
+    hits = hits.groupBy("id", "text_key").agg(F.collect_set("place").alias("places"))
+    dealt = src.join(hits, ["id", "text_key"]).select("id", "text", "text_key", "places").mapInArrow(lambda it: _around(it, parts, block), PACKED).repartition(parts, "part")
+    late = store(dealt.mapInArrow(_later, "id long, text_key long, place int"), "repeats")
     free_shuffles(spark)
-    return late.groupBy("id").agg(F.collect_set("place").alias("starts"))
+    return late.groupBy("id", "text_key").agg(F.collect_set("place").alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 7) -> DataFrame:
     """(id, n_words, n_removed, spans, kept): kept words joined by one space; spans are the removed runs of words."""
-    starts = repeats(docs, id_col, text_col, block).withColumnRenamed("id", "k")
+    starts = repeats(docs, id_col, text_col, block).withColumnsRenamed({"id": "k", "text_key": "t"})
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    src = src.join(starts, F.coalesce("id", F.lit(LAST)) == F.col("k"), "left").select("id", "text", "starts")
+    src = src.join(starts, (F.coalesce("id", F.lit(LAST)) == F.col("k")) & (text_key(F.col("text")) == F.col("t")), "left").select("id", "text", "starts")
 
     def run(batches):
         for b in batches:
@@ -287,7 +289,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         continue
                     edge = np.zeros(len(ws) + 1, np.int64)
                     p = starts.values.to_numpy(zero_copy_only=False)
-                    p = p[p <= len(ws) - WINDOW]
                     np.add.at(edge, p, 1)
                     np.add.at(edge, p + WINDOW, -1)
                     out = np.cumsum(edge)[:-1] > 0

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, store
+from .common import free_shuffles, store, text_key
 from .graph import components
 from .simhash import SEED, shingle_hashes
 
@@ -74,11 +74,6 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
     return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), text_key(text).alias("text_key")).mapInArrow(run, MADE)
 
 
-def text_key(text):
-    """Tells rows that share an id apart."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def alike(pairs: DataFrame, sets: DataFrame, bound: float) -> DataFrame:
     """The pairs (u, v) of nodes whose sets (node, n, hashes) reach the bound."""
     a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("hashes").alias(f"h_{x}")) for x in "uv")

@@ -505,3 +505,19 @@ def test_near_dedup_keeps_other_rows_of_an_id(spark, sf_dir):
     df = spark.createDataFrame([(1, long), (2, long), (2, "a text of its own here"), (None, long)], "doc_id long, text string")
     kept = corpus_pipeline.drop_near_copies(spark, df, sf_dir).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(1, long), (2, "a text of its own here"), (None, long)], key=str)
+
+
+def test_rows_without_an_id_of_their_own_lose_only_their_lines(spark):
+    seen, other = "\n".join(f"line {i}" for i in range(6)), "\n".join(f"other {i}" for i in range(9))
+    rows = [(1, seen), (None, "top\n" + seen), (None, other), (7, "a\n" + seen), (7, other.upper())]
+    got = lines.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, seen, 0), (None, "top", 6), (None, other, 0), (7, "a", 6), (7, other.upper(), 0)]
+    assert sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_rows_without_an_id_of_their_own_lose_only_their_repeats(spark):
+    seen, other = " ".join(f"s{i}" for i in range(40)), " ".join(f"o{i}" for i in range(60))
+    rows = [(1, seen), (None, "top " + seen), (None, other), (7, "a " + seen), (7, other.upper())]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, seen, 0), (None, "top", 40), (None, other, 0), (7, "a", 40), (7, other.upper(), 0)]
+    assert sorted(((r["id"], r["kept"], r["n_removed"]) for r in got), key=str) == sorted(want, key=str)
