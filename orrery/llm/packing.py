@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import store, worker_state
 
-#: Sources beyond this many, smallest last, share one queue; it bounds what the driver reads.
-MAX_QUEUES = 256
+#: Cells of the table of rounds and queues that a task has at a time.
+CELLS = 1 << 20
 #: Rows of offsets (about 40 bytes each) up to which they are broadcast.
 MAX_BROADCAST = 100_000
 
@@ -145,10 +145,11 @@ class Schedule:
         keep = b > a
         w, a, b, edge = w[:-1][keep], a[keep], b[keep], edge[:-1][keep]
         pos = np.empty(len(w), np.int64)
-        for at in range(0, len(w), 4096):
-            x = w[at : at + 4096, None]
-            now = self.served(x)
-            pos[at : at + 4096] = now.sum(axis=1) + (self.served(x + 1, slice(q)) - now[:, :q]).sum(axis=1)
+        step = max(1, CELLS // len(self.totals))
+        for at in range(0, len(w), step):
+            x = w[at : at + step, None]
+            # Queues before q have had their turn in the round, q and those after it have not.
+            pos[at : at + step] = self.served(x + 1, slice(q)).sum(axis=1) + self.served(x, slice(q, None)).sum(axis=1)
         return a - first, pos + a - edge, b - a
 
     def cut(self, start: np.ndarray, pos: np.ndarray, n: np.ndarray):
@@ -183,11 +184,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     tokens = store(tokenize(docs, id_col, text_col, source_col, tokenizer or default_tokenizer(), end_id), "tokens")
     totals = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
     sources = totals.groupBy("source").agg(F.sum("n").alias("total"))
-    queue = F.least(F.row_number().over(Window.orderBy(F.desc("total"), F.col("source").asc_nulls_last())), F.lit(MAX_QUEUES)) - 1
+    queue = F.row_number().over(Window.orderBy(F.desc("total"), F.col("source").asc_nulls_last())) - 1
     sources = store(sources.select("source", "total", queue.alias("queue")), "queues")
-    per_queue = {r["queue"]: r["n"] for r in sources.groupBy("queue").agg(F.sum("total").alias("n")).collect()}
+    # One number a source.
+    per_queue = {r["queue"]: r["total"] for r in sources.select("queue", "total").collect()}
     plan = Schedule([per_queue[q] for q in range(len(per_queue))], window, quantum)
-    inside = Window.partitionBy("queue").orderBy(F.col("t.source").asc_nulls_last(), "part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = store(totals.alias("t").join(sources.alias("s"), F.expr("t.source <=> s.source")).select(F.col("t.source").alias("s"), F.col("part").alias("p"), "queue", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("base")), "bases")
     # One row for each source and partition: counted, it may go to every task, and then no token is shuffled.
     placed = tokens.join(F.broadcast(bases) if bases.count() <= MAX_BROADCAST else bases, F.expr("source <=> s and part = p")).select("id", "n", "ids", "source", "queue", (F.col("base") + F.col("at")).alias("first"))

@@ -521,3 +521,13 @@ def test_rows_without_an_id_of_their_own_lose_only_their_repeats(spark):
     got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(1, seen, 0), (None, "top", 40), (None, other, 0), (7, "a", 40), (7, other.upper(), 0)]
     assert sorted(((r["id"], r["kept"], r["n_removed"]) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_every_source_keeps_its_share_beyond_256(spark):
+    n = 300
+    df = spark.range(n * 30).select("id", (F.col("id") % n).alias("s"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.lit("the"))).alias("text"))
+    df = df.select(F.col("id").alias("doc_id"), "text", F.concat(F.lit("s"), F.col("s").cast("string")).alias("source"))
+    got = packing.pack(df).groupBy("sequence_id", "source").agg(F.sum("length").alias("n")).collect()
+    total = sum(r["n"] for r in got)
+    most = max(r["n"] for r in got if r["sequence_id"] < total // 4096)
+    assert total == n * 30 * 61 and most <= 4096 / n + 32
