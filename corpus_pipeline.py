@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import lines, mixing, packing, similar, toxicity
-from orrery.llm.common import shared_dir, table, text_key, unused
+from orrery.llm.common import shared_dir, store, table, text_key, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +42,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
-    mixed = mixing.mix(docs, mixing.quality_weights(table(spark, sf_dir, "labels")))
-    key, n, turn = unused(docs, "mix_id", "mix_times", "mix_turn")
-    times = mixed.where("taken > 0").groupBy(F.col("id").alias(key)).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias(n))
-    taken = docs.join(times, docs["doc_id"] == times[key])
+    row, key, n, turn = unused(docs, "mix_row", "mix_key", "mix_times", "mix_turn")
+    # Written once, so that a row's number stays the same in both readings.
+    rows = store(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    mixed = mixing.mix(rows, mixing.quality_weights(table(spark, sf_dir, "labels")), row_col=row)
+    times = mixed.where("taken > 0").select(F.col("row").alias(key), F.col("times").cast("int").alias(n))
+    taken = rows.join(times, rows[row] == times[key])
     # A row for each time that the mix takes the document.
     return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col(n))).alias(turn)).select(*docs.columns)
 

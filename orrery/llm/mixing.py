@@ -50,12 +50,15 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float =
     return s.select("source", "source_size", "n_docs", F.least("most", F.col("level") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 7, row_col: str | None = None) -> DataFrame:
     """(id, source, size, source_size, target, taken), one row per row of ``docs``.
 
     ``quality`` is (id, weight); the mean counts where an id repeats.
+    ``row_col`` names a long that is unique among the rows; the result then
+    has it too, as row, and how often the row is taken, as times.
     """
-    rows = store(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
+    own = [F.col(row_col).alias("row")] if row_col else []
+    rows = store(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *own), "sizes")
     goal = store(targets(rows, weights, share, cap), "targets").withColumnRenamed("source", "s")
     rows = rows.join(F.broadcast(goal) if goal.count() <= 10_000 else goal, F.expr("source <=> s")).drop("s")
     if quality is not None:
@@ -67,7 +70,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id
     key = -F.log((draw + 0.5) / float(1 << 48)) / F.coalesce("weight", F.lit(1.0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     buckets = F.ceil(F.sqrt("n_docs"))
-    rows = rows.select("id", "source", "size", "source_size", "target", key.alias("key"), epochs.alias("epochs"), F.floor((1 - F.exp(-key)) * buckets).alias("bucket"), F.monotonically_increasing_id().alias("row"), F.lit(0).alias("picked"))
+    rows = rows.select("id", "source", "size", "source_size", "target", key.alias("key"), epochs.alias("epochs"), F.floor((1 - F.exp(-key)) * buckets).alias("bucket"), F.col("row") if row_col else F.monotonically_increasing_id().alias("row"), F.lit(0).alias("picked"))
     rows = store(rows, "drawn")
     for turn in range(PASSES + 1):
         used = rows.where("picked = 1").groupBy("source").agg(F.sum("size").alias("used"))
@@ -83,7 +86,8 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id
         open_ = running_total(open_.withColumn("g", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), ["g"], "bucket", ["key", "id", "size", "row"], "size", "before")
         picks = open_.where("before + size <= room").select("row", F.lit(1).alias("now"))
         rows = store(rows.join(picks, "row", "left").select("id", "source", "size", "source_size", "target", "key", "epochs", "bucket", "row", F.greatest("picked", F.coalesce("now", F.lit(0))).alias("picked")), "drawn")
-    return rows.select("id", "source", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("picked"))).alias("taken"))
+    times = F.col("epochs") + F.col("picked")
+    return rows.select("id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"), *(["row", times.alias("times")] if row_col else []))
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:

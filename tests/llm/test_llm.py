@@ -531,3 +531,19 @@ def test_every_source_keeps_its_share_beyond_256(spark):
     total = sum(r["n"] for r in got)
     most = max(r["n"] for r in got if r["sequence_id"] < total // 4096)
     assert total == n * 30 * 61 and most <= 4096 / n + 32
+
+
+def test_mix_takes_rows_without_an_id_of_their_own(spark, tmp_path):
+    g = random.Random(8)
+    rows = [(g.choice([None, k, k % 50]), " ".join(["w"] * g.randrange(1, 30)) + f" {k}", "abc"[k % 3]) for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = corpus_pipeline.mix_sources(spark, df, str(tmp_path)).collect()
+    assert any(r["doc_id"] is None for r in got)
+    sizes, taken = Counter(), Counter()
+    for _, t, s in rows:
+        sizes[s] += len(words(t))
+    for r in got:
+        taken[r["source"]] += len(words(r["text"]))
+    want = plain_targets(sizes)
+    assert all(abs(taken[s] - want[s]) <= 16 for s in sizes)
