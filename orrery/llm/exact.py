@@ -165,14 +165,18 @@ class Snapshot:
         return rows.mapInArrow(run, schema)
 
 
-def same_bytes(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pairs (digest, a, b) whose documents' normalised texts are equal byte for byte."""
-    sides = pairs.select("digest", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("id")), F.struct(F.lit(1).alias("side"), F.col("b").alias("id")))).alias("s")).select("digest", "s.side", "s.id")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), normalized(F.col(text_col).cast("string")).alias("text"))
-    # An id that repeats brings several texts; those of this digest count.
-    met = texts.join(sides, "id").where(F.sha2(F.col("text").cast("binary"), 256) == F.col("digest")).dropDuplicates(["digest", "side"])
-    a, b = (met.where(F.col("side") == i).select("digest", F.col("text").alias(f"t{i}")) for i in (0, 1))
-    return pairs.join(a.join(b, "digest").where("t0 = t1").select("digest"), "digest", "left_semi")
+def same_bytes(old: DataFrame, new: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
+    """The digests of ``found`` for which a text of either side is equal byte for byte.
+
+    The texts are met by digest, the least of each side, so rows need no id.
+    """
+
+    def texts(docs: DataFrame, name: str) -> DataFrame:
+        text = normalized(F.col(text_col).cast("string"))
+        all_ = docs.select(text.alias("text")).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
+        return all_.join(found.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min("text").alias(name))
+
+    return texts(old, "t0").join(texts(new, "t1"), "digest").where("t0 = t1").select("digest")
 
 
 def deduplicate(batch: DataFrame, snapshot_docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 200_000) -> DataFrame:
@@ -185,9 +189,8 @@ def deduplicate(batch: DataFrame, snapshot_docs: DataFrame, id_col: str = "doc_i
     snap = Snapshot.build(old, max(1, -(-old.count() // per_bucket), shuffle_partitions(spark)))
     fresh = store(new.groupBy("digest").agg(F.min("id").alias("new_id"), F.count("*").alias("new_n")), "batch")
     maybe = store(snap.screen(fresh), "maybe")
-    found = maybe.join(snap.rows, "digest").select("digest", F.col("first_id").alias("a"), F.col("new_id").alias("b"))
-    every = snapshot_docs.select(id_col, text_col).unionByName(batch.select(id_col, text_col))
-    both = store(same_bytes(every, found, id_col, text_col).select("digest"), "equal")
+    found = store(maybe.join(snap.rows, "digest").select("digest"), "found")
+    both = store(same_bytes(snapshot_docs, batch, found, text_col), "equal")
     groups = snap.rows.select("digest", F.col("first_id").alias("keep_id"), F.col("n").alias("group_size"))
     joined = fresh.join(both.withColumn("seen", F.lit(True)), "digest", "left").select("digest", F.col("new_id").alias("keep_id"), F.col("new_n").alias("group_size"), F.coalesce("seen", F.lit(False)).alias("seen"))
     merged = groups.union(joined.where("seen").drop("seen")).groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")).withColumn("with_old", F.lit(True))

@@ -547,3 +547,11 @@ def test_mix_takes_rows_without_an_id_of_their_own(spark, tmp_path):
         taken[r["source"]] += len(words(r["text"]))
     want = plain_targets(sizes)
     assert all(abs(taken[s] - want[s]) <= 16 for s in sizes)
+
+
+def test_exact_copies_without_an_id_on_one_side(spark):
+    schema = "doc_id long, text string"
+    old = spark.createDataFrame([(None, "same text"), (None, "same  text"), (1, "other")], schema)
+    new = spark.createDataFrame([(5, "same text"), (6, "same text"), (7, "new")], schema)
+    got = sorted(((r["id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact.deduplicate(new, old).collect()), key=str)
+    assert got == sorted([(None, 5, 4, False), (None, 5, 4, False), (5, 5, 4, True), (6, 5, 4, False), (1, 1, 1, True), (7, 7, 1, True)], key=str)
