@@ -127,10 +127,12 @@ PART_YEARS = "w AS (SELECT unnest(string_split(p_name, ' ')) AS term, year(o_ord
 
 @query("rising_terms", f"WITH {PART_YEARS} SELECT term, sum(n)::BIGINT AS n, round(regr_slope(n, year), 6) AS slope FROM c WHERE year < 2001 GROUP BY 1")
 def rising_terms(spark, sf_dir):
-    """Yearly slope of each word of the parts ordered, whole years only."""
+    """Yearly slope of each word of the parts ordered, whole years only: the last one counts if orders reach its last day."""
     li, p, o = (table(spark, sf_dir, t) for t in ("lineitem", "part", "orders"))
     j = li.join(p, li.l_partkey == p.p_partkey).join(o, li.l_orderkey == o.o_orderkey)
-    c = j.select(F.explode(F.split("p_name", " ")).alias("term"), F.year("o_orderdate").alias("year")).where("year < 2001").groupBy("term", "year").agg(F.count("*").alias("n"))
+    c = j.select(F.explode(F.split("p_name", " ")).alias("term"), F.year("o_orderdate").alias("year"))
+    end = o.agg(F.year(F.date_add(F.max("o_orderdate"), 1)).alias("end"))  # one row
+    c = c.join(F.broadcast(end)).where("year < end").groupBy("term", "year").agg(F.count("*").alias("n"))
     return growth.trends(c, "term").join(c.groupBy("term").agg(F.sum("n").alias("n")), "term").select("term", "n", F.round("slope", 6).alias("slope"))
 
 
