@@ -26,7 +26,7 @@ from .graph import components
 from .simhash import SEED, shingle_hashes
 
 BANDS, ROWS = 28, 6
-#: Bits of the two sketches of 64 that may differ: at similarity 0.8 12.8 do on average, over 32 in 1 of 10 million pairs.
+#: Bits of the two sketches of 64 that may differ: at similarity 0.8 12.8 do on average, over 32 in 3 of 10 million pairs.
 SKETCH_BITS = 32
 _RANDOM = np.random.default_rng(SEED)
 FACTORS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
