@@ -9,6 +9,9 @@ import time
 import types
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +50,26 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def text_slices(texts: pa.Array, most: int = 8 << 20):
+    """Consecutive (start, stop) of rows of at most ``most`` bytes of text together, one row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(size):
+        end = max(int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")), at + 1)
+        yield at, end
+        at = end
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words, codes, counts): the distinct words of whole texts, every word in turn as its place among them, and the number of each text's."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    coded = lists.flatten().dictionary_encode()
+    words, codes = coded.dictionary, coded.indices.to_numpy()
+    shown = np.append(pc.not_equal(words, "").to_numpy(zero_copy_only=False), False)[codes]
+    ends = np.concatenate(([0], np.cumsum(shown)))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    return words, codes[shown], np.diff(ends)
+
+
 def worker_state(owner: str) -> dict:
     """A dict that lives as long as the Python process: an operator's caches that outlast a task.
 

@@ -17,16 +17,17 @@ each, which need no padding.
 
 from __future__ import annotations
 
-import unicodedata
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store, worker_state
+from .common import split_words, store, text_slices, worker_state
 
 #: Cells of the table of rounds and queues that a task has at a time.
 CELLS = 1 << 20
@@ -40,11 +41,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Words of these characters take the short way: no white space, no character
-#: whose lower case depends on its context or differs between libraries.
+#: Words of these characters take the short way: no white space, composed already, and
+#: no character whose lower case depends on its context or differs between libraries.
 PLAIN = "[\x21-\x7e\u00a1-\u012f\u0131-\u024f]+"
 #: The tokenizer file's own pre-token pattern (fixed value).
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: Letters of plain words, and marks: neither letters, digits nor white space, so that a run of them is one pre-token.
+LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha())
+MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum())
 
 
 def byte_letters() -> list[str]:
@@ -54,38 +58,79 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
-class WordIds(dict):
-    """Ids of a word as bytes (unsigned 16 bits), from a tokenizer that drops white space.
+class Lately(dict):
+    """f(key) of keys met lately; holds up to twice ``most``: a bound on memory, not on what is computed."""
+
+    def __init__(self, f, most: int):
+        self.f, self.most, self.old = f, most, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.f(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
+def rows_of(table: np.ndarray, n: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, counts): rows of a ragged table, given as its values and row lengths ``n``, one after the other."""
+    first, m = (np.cumsum(n) - n)[rows], n[rows]
+    ends = np.cumsum(m)
+    return table[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + m, m)], m
+
+
+class WordIds:
+    """Ids of words, from a tokenizer that drops white space.
 
     No token spans ASCII white space, so a text's ids are its words' ids in
-    turn. Words not met lately are encoded: plain ones by the tokenizer's
-    model, any other by the whole tokenizer. Holds up to twice ``most`` words:
-    a bound on memory, not on what is encoded.
+    turn. Only the distinct words of a batch are encoded: simple ones, which
+    are cut into their pre-tokens all at once, by the tokenizer's model, other
+    plain ones likewise but one by one, any other by the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 250_000):
         import regex
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
-        self.whole, self.model, self.most, self.old = whole.encode, whole.model.tokenize, most, {}
-        self.plain, self.pretokens, self.letters = regex.compile(PLAIN).fullmatch, regex.compile(PRETOKEN).findall, byte_letters()
+        self.whole, self.model = whole.encode, whole.model.tokenize
+        self.kind = np.dtype("<u2" if whole.get_vocab_size() <= 1 << 16 else "<u4")
+        self.plain, self.pretokens, self.letters = re.compile(PLAIN).fullmatch, regex.compile(PRETOKEN).findall, byte_letters()
+        self.words, self.parts = Lately(self.word, most // 5), Lately(self.part, most)
 
-    def ids(self, word: str) -> list[int]:
-        if "<|" in word or not self.plain(word):
-            return self.whole(word, add_special_tokens=False).ids
-        parts = self.pretokens((word if word.isascii() else unicodedata.normalize("NFC", word)).lower())
-        return [t.id for p in parts for t in self.model(p if p.isascii() else "".join(self.letters[b] for b in p.encode()))]
+    def part(self, p: str) -> bytes:
+        """Ids of one pre-token in lower case."""
+        return np.array([t.id for t in self.model(p if p.isascii() else "".join(self.letters[b] for b in p.encode()))], self.kind).tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
-        found = self.old.get(word)
-        if found is None:
-            found = np.array(self.ids(word.decode()), "<u2").tobytes()
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[word] = found
-        return found
+    def word(self, word: str) -> bytes:
+        """Ids of any word."""
+        if "<|" in word or not self.plain(word):
+            return np.array(self.whole(word, add_special_tokens=False).ids, self.kind).tobytes()
+        return b"".join(self.parts[p] for p in self.pretokens(word.lower()))
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts): the ids of whole texts, each with the end token, and the number of each text's."""
+        words, codes, counts = split_words(texts)
+        low = pc.utf8_lower(words)
+        core, tail = pc.utf8_rtrim(low, MARKS), pc.utf8_ltrim(low, LETTERS)
+        # Letters, then marks: two pre-tokens at the most, as no contraction begins with a letter.
+        simple = pc.and_(pc.and_(pc.match_substring_regex(words, f"^{PLAIN}$"), pc.utf8_is_alpha(core)), pc.invert(pc.match_substring(words, "<|")))
+        parts = pa.concat_arrays([core.filter(simple), tail.filter(simple)]).dictionary_encode()
+        rest = words.filter(pc.invert(simple)).to_pylist()
+        each = [self.parts[p] if p else b"" for p in parts.dictionary.to_pylist()] + [self.words[w] for w in rest] + [b"", end_id.to_bytes(self.kind.itemsize, "little")]
+        table, n = np.frombuffer(b"".join(each), self.kind), np.fromiter(map(len, each), np.int64, len(each)) // self.kind.itemsize
+        simple = simple.to_numpy(zero_copy_only=False)
+        rows = np.full((len(words) + 1, 2), len(each) - 2)
+        rows[:-1][simple] = parts.indices.to_numpy().reshape(2, -1).T
+        rows[:-1, 0][~simple] = len(parts.dictionary) + np.arange(len(rest))
+        rows[-1, 0] = len(each) - 1
+        table, n = rows_of(table, n, rows.ravel())
+        ids, n = rows_of(table, n.reshape(-1, 2).sum(axis=1), np.insert(codes, np.cumsum(counts), len(words)))
+        ends = np.cumsum(n)
+        return ids, np.diff(ends[np.cumsum(counts + 1) - 1], prepend=0)
 
 
 def word_ids(path: str) -> WordIds:
@@ -95,28 +140,24 @@ def word_ids(path: str) -> WordIds:
     return kept[path]
 
 
-def encode(text: bytes | None, ids: WordIds, end_id: int) -> bytes:
-    """Little-endian 16-bit ids of a whole text and the end token."""
-    return b"".join(map(ids.__getitem__, (text or b"").split())) + end_id.to_bytes(2, "little")
-
-
 def tokenize(docs: DataFrame, id_col: str, text_col: str, source_col: str, tokenizer: str, end_id: int) -> DataFrame:
     """(part, at, id, source, n, ids): a document's tokens, and how many its source has before it in the partition."""
 
     def run(batches):
-        ids, part, done = word_ids(tokenizer), TaskContext.get().partitionId(), {}
+        known, part, done = word_ids(tokenizer), TaskContext.get().partitionId(), {}
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                c = b.slice(at, 1000)
-                toks = [encode(t.as_py(), ids, end_id) for t in c.column(1).cast(pa.binary())]
+            for lo, hi in text_slices(b.column(1)):
+                c = b.slice(lo, hi - lo)
+                ids, n = known.encode(c.column(1), end_id)
                 before = []
-                for s, t in zip(c.column(2).to_pylist(), toks):
+                for s, k in zip(c.column(2).to_pylist(), n.tolist()):
                     before.append(done.get(s, 0))
-                    done[s] = before[-1] + len(t) // 2
-                cols = [pa.array([part] * len(toks), pa.int32()), pa.array(before, pa.int64()), c.column(0), c.column(2), pa.array([len(t) // 2 for t in toks], pa.int64()), pa.array(toks, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["part", "at", "id", "source", "n", "ids"])
+                    done[s] = before[-1] + k
+                ends = np.concatenate(([0], np.cumsum(n) * known.kind.itemsize)).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), pa.array(before, pa.int64()), c.column(0), c.column(2), pa.array(n, pa.int64()), packed], ["part", "at", "id", "source", "n", "ids"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"))
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.make_valid_utf8(F.col(text_col).cast("string")).alias("text"), F.col(source_col).cast("string").alias("source"))
     return src.mapInArrow(run, "part int, at long, id long, source string, n long, ids binary")
 
 
@@ -200,7 +241,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         for b in batches:
             rows: list[list] = [[] for _ in names]
             for k, n, ids, source, q, first in zip(*(b.column(i).to_pylist() for i in range(6))):
-                wide = np.frombuffer(ids, "<u2").astype("<u4")
+                wide = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4")
                 for row in plan.cut(*plan.pieces(q, first, n)):
                     crc = zlib.crc32(wide[row[0] : row[0] + row[1]].tobytes())
                     for col, v in zip(rows, (k, row[0], row[1], crc, n, row[2], row[3], source)):

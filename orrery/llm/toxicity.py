@@ -18,15 +18,13 @@ columns can't clash. Labels, language, source and id are never inputs.
 
 from __future__ import annotations
 
-import hashlib
-import zlib
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, worker_state
+from .common import split_words, table, text_slices, unused
 
 #: At most this many labelled texts train the model: those whose hashed ids are smallest.
 MAX_TRAIN = 4000
@@ -38,14 +36,44 @@ EPOCHS, BATCH, RATE, TOXIC_WEIGHT = 4, 32, 0.01, 2.0
 MARKS = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>|*#$%&-_=+/\\~`^"
 
 
-def plain(word: bytes) -> str:
-    return word.decode("utf-8", "replace").lower().strip(MARKS)
+#: Multipliers of the hashes of character runs: odd, so that no character is lost.
+RUN, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def plain(words: pa.Array) -> pa.Array:
+    """Words in lower case without the marks around them."""
+    return pc.utf8_trim(pc.utf8_lower(words), MARKS)
+
+
+def bucket(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((h * SPREAD) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32)
+
 
+def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, counts): the character runs of three and five of each word, with its ends marked, and the whole.
 
-def ngrams(word: str) -> list[int]:
-    """Buckets of a word's character runs of three and five, with its ends marked, and of the whole."""
-    b = f"<{word}>"
-    return [zlib.crc32(b[i : i + n].encode()) % BUCKETS for n in (3, 5) for i in range(max(len(b) - n + 1, 1))] + [zlib.crc32(b.encode()) % BUCKETS]
+    A run's hash is a polynomial of its code points. All words are hashed at
+    once: runs that cross from one word into the next are left out.
+    """
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    c = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), size)
+    starts = np.cumsum(size) - size
+    left = np.repeat(starts + size, size) - np.arange(len(c))
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(int(size.max(initial=1)), RUN, np.uint64))
+        found, whose = [np.add.reduceat(c * power[left - 1], starts)], [np.arange(len(words))]
+        for n in (3, 5):
+            h = c[: len(c) - n + 1].copy()
+            for k in range(1, n):
+                h *= RUN
+                h += c[k : len(c) - n + 1 + k]
+            whole = left[: len(h)] >= n
+            found.append(h[whole] + np.uint64(n))
+            whose.append(owner[: len(h)][whole])
+    whose = np.concatenate(whose)
+    return bucket(np.concatenate(found))[np.argsort(whose, kind="stable")], np.bincount(whose, minlength=len(words))
 
 
 def window_starts(n: int) -> range:
@@ -164,19 +192,9 @@ def layout(lengths: list[int], starts_at: np.ndarray):
     return np.where(mask, at, 0), mask.astype(np.float32), text
 
 
-class Words:
-    """Inputs of distinct words: vocabulary place and n-gram buckets."""
-
-    def __init__(self, vocab: dict[str, int]):
-        self.vocab = vocab
-
-    def features(self, words: list[str]):
-        n, grams = np.empty(len(words), np.int64), []
-        for at in range(0, len(words), 10_000):
-            own = [ngrams(w) for w in words[at : at + 10_000]]
-            n[at : at + len(own)] = [len(x) for x in own]
-            grams.append(np.array([x for y in own for x in y], np.int32))
-        return np.array([self.vocab.get(w, 0) for w in words], np.int64), np.concatenate(grams), n
+def features(words: list[str], vocab: dict[str, int]):
+    """(vocabulary places, n-gram buckets, their counts) of distinct words."""
+    return np.array([vocab.get(w, 0) for w in words], np.int64), *ngrams(words)
 
 
 def inputs(p, ids, grams, n):
@@ -185,27 +203,31 @@ def inputs(p, ids, grams, n):
     return np.concatenate((p["word"][ids], chars), axis=1).astype(np.float32)
 
 
-def train(texts: list[bytes], labels: list[int], seed: int = 11):
+def coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words, codes, counts) as split_words, of plain words."""
+    words, codes, counts = split_words(texts)
+    own = plain(words).dictionary_encode()
+    return own.dictionary, own.indices.to_numpy()[codes], counts
+
+
+def train(texts: list[str], labels: list[int], seed: int = 11):
     """(parameters, vocabulary) from whole texts; None without both classes."""
     if len(set(labels)) < 2:
         return None
     place: dict[str, int] = {}
-    raw: dict[bytes, int] = {}
     coded = []
-    for t in texts:
-        ws = t.split()
-        for w in ws:
-            if w not in raw:
-                raw[w] = place.setdefault(plain(w), len(place) + 1)
-        coded.append(np.fromiter((raw[w] - 1 for w in ws), np.int32, len(ws)))
+    for at in range(0, len(texts), 500):
+        words, codes, counts = coded_words(pa.array(texts[at : at + 500], pa.string()))
+        codes = np.array([place.setdefault(w, len(place)) for w in words.to_pylist()], np.int32)[codes]
+        coded += np.split(codes, np.cumsum(counts)[:-1])
     every = list(place) or [""]
-    del raw, place
+    del place
     df = np.zeros(len(every), np.int64)
     for c in coded:
         df[np.unique(c)] += 1
     words = [every[i] for i in sorted(np.flatnonzero(df >= 3).tolist(), key=lambda i: (-df[i], every[i]))][:MAX_VOCAB]
     vocab = {w: i + 1 for i, w in enumerate(words)}
-    ids, grams, n = Words(vocab).features(every)
+    ids, grams, n = features(every, vocab)
     gram_at = np.concatenate(([0], np.cumsum(n)))
     y = np.array(labels, np.float32)
     p = init(words, seed)
@@ -256,52 +278,22 @@ def train(texts: list[bytes], labels: list[int], seed: int = 11):
     return p, vocab
 
 
-class Scorer(dict):
-    """Scores of whole texts; keeps the projected inputs of words met, up to ``most``."""
-
-    def __init__(self, p: dict, vocab: dict[str, int], most: int = 150_000):
-        self.p, self.words, self.most = p, Words(vocab), most
-        self.proj = np.empty((most, 6 * HIDDEN), np.float32)
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = at = len(self)
-        self.new.append(word)
-        return at
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        out = np.empty(len(texts))
-        lo, size = 0, 0
-        held: list[list[bytes]] = []
-        for i, t in enumerate(texts):
-            held.append(t.split())
-            size += len(held[-1])
-            if size >= 60_000 or i == len(texts) - 1:
-                out[lo : i + 1] = self._scores(held)
-                held, size, lo = [], 0, i + 1
-        return out
-
-    def _scores(self, docs: list[list[bytes]]) -> np.ndarray:
-        lengths = [len(d) for d in docs]
-        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        need = sum(lengths)
-        if len(self) + need + 1 > self.most:
-            self.clear()
-            if need + 1 > len(self.proj):
-                self.proj = np.empty((need + 1, 6 * HIDDEN), np.float32)
-        flat = np.fromiter((self[w] for d in docs for w in d), np.int64, need)
-        if self.new:
-            first = len(self) - len(self.new)
-            for at in range(0, len(self.new), 20_000):
-                part = [plain(w) for w in self.new[at : at + 20_000]]
-                self.proj[first + at : first + at + len(part)] = inputs(self.p, *self.words.features(part)) @ self.p["wx"] + self.p["b"]
-            self.new = []
-        flat = np.concatenate((flat, np.zeros(1, np.int64)))
-        at, mask, text = layout(lengths, starts)
-        logit = np.concatenate([forward(self.p, self.proj, flat[at[:, i : i + 1024]], mask[:, i : i + 1024]) for i in range(0, at.shape[1], 1024)])
-        top = np.full(len(docs), -np.inf)
+def scores(p: dict, vocab: dict[str, int], texts: pa.Array) -> np.ndarray:
+    """Scores of whole texts: that of each text's most toxic window."""
+    out = [np.empty(0)]
+    for lo, hi in text_slices(texts, 2 << 20):
+        words, codes, counts = coded_words(texts.slice(lo, hi - lo))
+        words = words.to_pylist() or [""]
+        proj = np.empty((len(words), 6 * HIDDEN), np.float32)
+        for at in range(0, len(words), 10_000):
+            proj[at : at + 10_000] = inputs(p, *features(words[at : at + 10_000], vocab)) @ p["wx"] + p["b"]
+        flat = np.append(codes, 0)
+        at, mask, text = layout(counts.tolist(), np.cumsum(counts) - counts)
+        logit = np.concatenate([forward(p, proj, flat[at[:, i : i + 1024]], mask[:, i : i + 1024]) for i in range(0, at.shape[1], 1024)])
+        top = np.full(len(counts), -np.inf)
         np.maximum.at(top, text, logit)
-        return sigmoid(top.astype(np.float64))
+        out.append(sigmoid(top.astype(np.float64)))
+    return np.concatenate(out)
 
 
 def held_out(id_col):
@@ -314,47 +306,42 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     own = own.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.md5(F.col("id").cast("string")), "id").limit(most)
     # ``most`` rows at the most.
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.length("text") <= MAX_TRAIN_CHARS).join(F.broadcast(own), "id").orderBy(F.md5(F.col("id").cast("string")), "id", "text").limit(most).collect()
-    return [r["text"].encode() for r in rows], [r["y"] for r in rows]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.make_valid_utf8(F.col(text_col).cast("string")), F.lit("")).alias("text")).where(F.length("text") <= MAX_TRAIN_CHARS).join(F.broadcast(own), "id").orderBy(F.md5(F.col("id").cast("string")), "id", "text").limit(most).collect()
+    return [r["text"] for r in rows], [r["y"] for r in rows]
 
 
 def _scorer(model, docs: DataFrame, base_rate: float):
     """A function from texts (Arrow array) to scores, for use in tasks."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    name = hashlib.md5(b"".join(v.tobytes() for v in model[0].values())).hexdigest() if model else ""
 
-    def scores(texts: pa.Array) -> np.ndarray:
-        if not name:
-            return np.full(len(texts), base_rate)
-        kept = worker_state("toxicity")
-        if kept.get("toxicity", (None,))[0] != name:
-            kept["toxicity"] = (name, Scorer(*shared.value))
-        return kept["toxicity"][1].scores([t.as_py() or b"" for t in texts.cast(pa.binary())])
+    def of(texts: pa.Array) -> np.ndarray:
+        return scores(*shared.value, texts) if shared.value else np.full(len(texts), base_rate)
 
-    return scores
+    return of
 
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", base_rate: float = 0.0) -> DataFrame:
     """(id, score) of every row; model from ``train``."""
-    scores = _scorer(model, docs, base_rate)
+    of = _scorer(model, docs, base_rate)
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(b.column(1)), pa.float64())], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(of(b.column(1)), pa.float64())], ["id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.make_valid_utf8(F.col(text_col).cast("string")).alias("text")).mapInArrow(run, "id long, score double")
 
 
 def keep(docs: DataFrame, model, text_col: str = "text", base_rate: float = 0.0, below: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores less than ``below``."""
-    scores = _scorer(model, docs, base_rate)
-    place = docs.columns.index(text_col)
+    of = _scorer(model, docs, base_rate)
+    (text,) = unused(docs, "toxicity_text")
+    own = list(range(len(docs.columns)))
 
     def run(batches):
         for b in batches:
-            yield b.filter(pa.array(scores(b.column(place).cast(pa.string())) < below))
+            yield b.select(own).filter(pa.array(of(b.column(len(own))) < below))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.withColumn(text, F.make_valid_utf8(docs[text_col].cast("string"))).mapInArrow(run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

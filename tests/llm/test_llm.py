@@ -3,10 +3,13 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from oracle import check
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from orrery.llm import exact, graph, lines, minhash, mixing, packing, pii, queries, repeats, similar, simhash, toolcalls, toxicity
+from orrery.llm.common import split_words, text_slices
 
 WS = " \t\n\x0b\x0c\r"
 
@@ -316,6 +320,57 @@ def test_toxicity(spark, docs):
     assert all(r["score"] == 0 for r in toxicity.classify(docs, df.select("doc_id", "toxic").limit(0)).collect())
 
 
+def plain_score(p, vocab, text):
+    """A text's score word by word and step by step, in plain Python."""
+    h_dim, mix, factor = toxicity.HIDDEN, int(toxicity.SPREAD), int(toxicity.RUN)
+    sig = lambda x: 1 / (1 + np.exp(-np.float64(x)))
+
+    def bucket(h):
+        return (h * mix % (1 << 64)) >> (64 - toxicity.BUCKETS.bit_length() + 1)
+
+    def run(chars):
+        h = 0
+        for c in chars:
+            h = (h * factor + ord(c)) % (1 << 64)
+        return h
+
+    def vector(word):
+        w = word.lower().strip(toxicity.MARKS)
+        b = f"<{w}>"
+        grams = [bucket((run(b[i : i + n]) + n) % (1 << 64)) for n in (3, 5) for i in range(len(b) - n + 1)] + [bucket(run(b + "\0"))]
+        x = np.concatenate((p["word"][vocab.get(w, 0)], np.mean([p["char"][g] for g in grams], axis=0)))
+        return x @ p["wx"] + p["b"]
+
+    def states(xs, u):
+        h, out = np.zeros(h_dim), []
+        for x in xs:
+            q = h @ u
+            r, z = sig(x[:h_dim] + q[:h_dim]), sig(x[h_dim : 2 * h_dim] + q[h_dim : 2 * h_dim])
+            h = z * h + (1 - z) * np.tanh(x[2 * h_dim :] + r * q[2 * h_dim :])
+            out.append(h)
+        return out
+
+    ws, best = words(text), -np.inf
+    for lo in toxicity.window_starts(len(ws)):
+        xs = [vector(w) for w in ws[lo : lo + toxicity.STEPS]]
+        ahead, back = states([x[: 3 * h_dim] for x in xs], p["u0"]), states([x[3 * h_dim :] for x in xs][::-1], p["u1"])[::-1]
+        s = [np.concatenate(x) for x in zip(ahead, back)]
+        e = [np.exp(np.tanh(x @ p["wa"]) @ p["va"]) for x in s]
+        pooled = sum(x * y for x, y in zip(s, e)) / sum(e) if s else np.zeros(2 * h_dim)
+        best = max(best, pooled @ p["out"] + p["bias"][0])
+    return sig(best)
+
+
+def test_scores_are_those_of_a_plain_forward_pass(small):
+    texts = [t for _, t in pairs(small)[:40]] + ["", " \n", "a", "É!! (Straße) x²", "one two " * 40]
+    vocab = {w: i + 1 for i, w in enumerate(sorted({w.lower().strip(toxicity.MARKS) for w in words(texts[0])}))}
+    p = toxicity.init(sorted(vocab), 5)
+    p["bias"][:] = 0
+    got = toxicity.scores(p, vocab, pa.array(texts))
+    assert max(abs(a - plain_score(p, vocab, t)) for a, t in zip(got, texts)) < 1e-4
+    assert len(toxicity.scores(p, vocab, pa.array([], pa.string()))) == 0 and np.std(got) > 0.01
+
+
 def test_windows_cover_texts():
     for n in (0, 1, 31, 32, 33, 48, 49, 1000):
         at, mask, text = toxicity.layout([n], np.array([0]))
@@ -442,7 +497,27 @@ def test_word_ids_match_the_tokenizer():
 
     tok, ids = Tokenizer.from_file(packing.default_tokenizer()), packing.WordIds(packing.default_tokenizer(), 50)
     for t in ["a<|endoftext|> b", "e ́ x", "don't 12 's 3rd x y\u0085z", "日本語 テスト", "", " İstanbul ﬁ   z", "́a ḅ́", "ΑΣ ΟΔΟΣ.", "I'LL we've '' ½ x²", "\x1ca\x1db"] * 2:
-        assert np.frombuffer(packing.encode(t.encode(), ids, 2), "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids + [2]
+        assert ids.encode(pa.array([t]), 2)[0].tolist() == tok.encode(t, add_special_tokens=False).ids + [2]
+
+
+def test_plain_words_need_no_normal_form():
+    for c in map(chr, range(0x21, 0x250)):
+        if re.fullmatch(packing.PLAIN, c):
+            assert unicodedata.normalize("NFC", c) == c and pc.utf8_lower(pa.array([c]))[0].as_py() == c.lower()
+
+
+@pytest.mark.parametrize("most", [1, 40, 1 << 20])
+def test_split_words(most):
+    texts = ["a b  a", None, "", " \t\n", "\x0bx\x0c y\r\x1cz\x85 é", "b"]
+    out = []
+    for lo, hi in text_slices(pa.array(texts), most):
+        own, codes, counts = split_words(pa.array(texts)[lo:hi])
+        assert len(set(own.to_pylist())) == len(own)
+        flat = [own[int(c)].as_py() for c in codes]
+        for n in counts.tolist():
+            out.append(flat[:n])
+            flat = flat[n:]
+    assert out == [words(t) for t in texts] and list(text_slices(pa.array([], pa.string()))) == []
 
 
 # -- pipeline -----------------------------------------------------------
