@@ -6,6 +6,10 @@ segments. So each fingerprint is indexed under 64 keys: for every bit, its
 segment without that bit. An equality join on the keys finds every pair of
 interest.
 
+``near_duplicates`` links by differing bits. ``near_copies`` links by the
+Jaccard similarity of shingles: it indexes a wide print, several independent
+fingerprints, the same way, and verifies each pair that meets in any of them.
+
 Edge cases: a null or blank text has no words and gets fingerprint zero; a
 text of fewer than four words has one shingle, its whole word sequence; equal
 texts are one node of the graph; rows that share an id are kept as they are
@@ -17,17 +21,31 @@ can't clash.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import split_words, store, text_key, text_slices
 from .graph import components
 
 BITS = 64
 SEED = 42
+FACTOR, FACTOR2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
+#: Of near copies by similarity: words of a wide print, and words of the shingles that it is made of.
+PRINTS, PRINT_SIZE = 4, 2
+#: Each word is indexed for so many differing bits, in three segments.
+KEYED = 5
+#: Bits that may differ in the word by which a pair was met, and in all: at a
+#: similarity of 0.8 a bit differs with probability 0.15 at the most, so that a
+#: pair is ruled out by the first in 1 case of 300 a word, by the second in 1 of 10^8.
+WORD_BITS, WIDE_BITS = 14, 73
+#: Rows of eight bytes up to which nodes are broadcast.
+MAX_BROADCAST = 1_000_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -86,44 +104,176 @@ def _keys(distance: int):
     return F.explode(F.array(*out)).alias("key")
 
 
-def _near(a: str, b: str, distance: int):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+def _near(a: str, b: str, most: int):
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
 
 
-def link(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """Distinct fingerprints (fp) to (node, root); one without a link is its own root.
+def bucket_neighbours(fps: DataFrame, distance: int, most: int) -> DataFrame:
+    """(u, v): fingerprints (fp, distinct) of a bucket that are neighbours in it, or one of them its smallest, at most ``most`` bits apart.
 
-    First every fingerprint is compared with its neighbour and with the
-    smallest in each bucket; that joins large groups of near copies without
-    their pairs. Then all pairs of a bucket whose groups still differ are
-    compared in the join's condition, so none within a group is emitted. A
-    bucket whose fingerprints are all in one group is left out, and one side
-    leaves out the group of its first fingerprint.
+    This joins large groups of near copies without their pairs.
     """
     w = Window.partitionBy("key").orderBy("fp")
     near = fps.select(_keys(distance), "fp").select("fp", F.lag("fp").over(w).alias("prev"), F.first("fp").over(w).alias("first"))
-    near = near.select("fp", F.explode(F.array("prev", "first")).alias("other")).where(F.col("other").isNotNull() & (F.col("fp") != F.col("other")) & _near("fp", "other", distance))
-    first = store(components(near.select(F.col("fp").alias("u"), F.col("other").alias("v"))), "groups")
+    near = near.select("fp", F.explode(F.array("prev", "first")).alias("other"))
+    return near.where(F.col("other").isNotNull() & (F.col("fp") != F.col("other")) & _near("fp", "other", most)).select(F.col("fp").alias("u"), F.col("other").alias("v"))
 
-    labelled = fps.join(first, fps.fp == first.node, "left").select("fp", F.coalesce("root", "fp").alias("label"))
+
+def bucket_pairs(labelled: DataFrame, distance: int, most: int) -> DataFrame:
+    """(fu, fv, u, v): all pairs of a bucket of (fp, label) whose labels u and v differ, at most ``most`` bits apart.
+
+    They are compared in the join's condition, so none within a group is
+    emitted. A bucket of one label is left out, and one side leaves out the
+    bucket's smallest label: a pair with one side in it comes once, any other
+    twice.
+    """
     whole = Window.partitionBy("key")
     index = labelled.select(_keys(distance), "fp", "label").select("key", "fp", "label", F.min("label").over(whole).alias("lo"), F.max("label").over(whole).alias("hi")).where("lo <> hi")
-    a = index.where("label <> lo").select("key", F.col("fp").alias("fa"), F.col("label").alias("la"))
-    b = index.select("key", F.col("fp").alias("fb"), F.col("label").alias("lb"))
-    # A pair with one side in the bucket's lowest group comes once, any other pair twice.
-    pairs = a.join(b, (a.key == b.key) & (F.col("la") != F.col("lb")) & _near("fa", "fb", distance)).select(F.col("la").alias("u"), F.col("lb").alias("v"))
-    second = store(components(pairs), "groups")
-    roots = labelled.join(second, labelled.label == second.node, "left").select(F.col("fp").alias("node"), F.coalesce("root", "label").alias("root"))
-    return roots
+    a = index.where("label <> lo").select("key", F.col("fp").alias("fu"), F.col("label").alias("u"))
+    b = index.select("key", F.col("fp").alias("fv"), F.col("label").alias("v"))
+    return a.join(b, (a.key == b.key) & (F.col("u") != F.col("v")) & _near("fu", "fv", most)).select("fu", "fv", "u", "v")
+
+
+def link(fps: DataFrame, distance: int = 4) -> DataFrame:
+    """Distinct fingerprints (fp) to (node, root); one without a link is its own root.
+
+    First neighbours in a bucket are linked, then all pairs of a bucket whose
+    groups still differ.
+    """
+    first = store(components(bucket_neighbours(fps, distance, distance)), "groups")
+    labelled = fps.join(first, fps.fp == first.node, "left").select("fp", F.coalesce("root", "fp").alias("label"))
+    second = store(components(bucket_pairs(labelled, distance, distance).select("u", "v")), "groups")
+    return labelled.join(second, labelled.label == second.node, "left").select(F.col("fp").alias("node"), F.coalesce("root", "label").alias("root"))
+
+
+def smallest_ids(rows: DataFrame, key: str, roots: DataFrame) -> DataFrame:
+    """(key, component_id): the smallest id of ``rows`` (id, key) that each key of ``roots`` (node, root) reaches.
+
+    Keys and groups may be hot: both are reduced and stored before they meet,
+    so that the joins can be split.
+    """
+    own = store(rows.groupBy(F.col(key).alias("node")).agg(F.min("id").alias("id")), "own-ids")
+    # Keys that roots doesn't have are their own root.
+    rooted = store(own.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "id"), "rooted")
+    least = store(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "least")
+    return store(rooted.join(least, "root").select(F.col("node").alias(key), "component_id"), "smallest")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, distance: int = 4) -> DataFrame:
     """(id, fp, component_id): component_id is the smallest id reachable by links."""
     fps = store(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    roots = store(link(fps.select("fp").distinct(), distance).withColumnRenamed("node", "fp"), "roots")
-    rooted = fps.join(roots, "fp")
-    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    return rooted.join(least, "root").select("id", "fp", "component_id")
+    roots = store(link(fps.select("fp").distinct(), distance), "roots")
+    return fps.join(smallest_ids(fps, "fp", roots), "fp").select("id", "fp", "component_id")
+
+
+def rolling(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of ``size`` word hashes; fewer words are one run; none has none."""
+    n = max(len(h) - size + 1, min(len(h), 1))
+    out = h[:n].copy()
+    for k in range(1, min(size, len(h))):
+        out *= np.uint64(FACTOR)
+        out += h[k : k + n]
+    return _mixed(out)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(32))
+    x *= np.uint64(FACTOR2)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(FACTOR)
+    return x ^ (x >> np.uint64(32))
+
+
+def wide_print(hashes: np.ndarray) -> np.ndarray:
+    """PRINTS words of 64 bits: SimHashes of distinct hashes, each mixed anew for every word."""
+    out = np.zeros(PRINTS, np.uint64)
+    for k in range(PRINTS if len(hashes) else 0):
+        x = _mixed(hashes + np.uint64((k + 1) * FACTOR2 % (1 << 64)))
+        counts = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0]
+    return out
+
+
+def described(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """One row per row of ``docs``: id, text_key, node, n, prints, hashes.
+
+    Hashes are 32 bits of each distinct shingle of ``size`` words; node stands
+    for the set of them; prints is the SimHash of the distinct pairs of words.
+    """
+
+    def run(batches):
+        for b in batches:
+            for lo, hi in text_slices(b.column(1), 2 << 20):
+                c = b.slice(lo, hi - lo)
+                words, codes, counts = split_words(pc.ascii_lower(c.column(1)))
+                known = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+                sets, prints = [], []
+                with np.errstate(over="ignore"):
+                    for h in np.split(known[codes], np.cumsum(counts)[:-1]):
+                        sets.append(np.unique((rolling(h, size) >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+                        prints.append(wide_print(np.unique(rolling(h, PRINT_SIZE))))
+                n = np.fromiter(map(len, sets), np.int32, len(sets))
+                nodes = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets))
+                cols = [
+                    c.column(0), c.column(2), pa.array(nodes.view(np.int64)), pa.array(n),
+                    pa.ListArray.from_arrays(np.arange(0, PRINTS * len(sets) + 1, PRINTS, dtype=np.int32), np.concatenate(prints).view(np.int64)),
+                    pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(n))).astype(np.int32), np.concatenate(sets)),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "text_key", "node", "n", "prints", "hashes"])
+
+    text = F.make_valid_utf8(F.col(text_col).cast("string"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), text_key(F.col(text_col).cast("string")).alias("text_key")).mapInArrow(run, "id long, text_key long, node long, n int, prints array<long>, hashes array<int>")
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, bound: float) -> DataFrame:
+    """The distinct pairs (u, v) of nodes whose sets have a Jaccard similarity of ``bound`` or more.
+
+    Counts and wide prints rule most others out before the sets are read.
+    """
+    own = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("prints").alias(f"p_{x}"))
+    apart = F.aggregate(F.zip_with("p_u", "p_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
+    pairs = pairs.join(own("u"), "u").join(own("v"), "v").where((apart <= WIDE_BITS) & (F.least("n_u", "n_v") >= bound * F.greatest("n_u", "n_v")))
+    pairs = store(pairs.select("u", "v", "n_u", "n_v"), "pairs")
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    # Eight bytes a node, counted first.
+    sets = rows.select("node", "hashes").join(F.broadcast(asked) if asked.count() <= MAX_BROADCAST else asked, "node", "left_semi")
+    sets = store(sets.groupBy("node").agg(F.first("hashes").alias("h")), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("h").alias("h_u")), "u").join(sets.select(F.col("node").alias("v"), F.col("h").alias("h_v")), "v")
+    common = F.size(F.array_intersect("h_u", "h_v"))
+    return both.withColumn("common", common).where(F.col("common") >= bound * (F.col("n_u") + F.col("n_v") - F.col("common"))).select("u", "v")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, bound: float = 0.8) -> DataFrame:
+    """(id, text_key, component_id): component_id is the smallest id reachable by links.
+
+    Two texts are linked where the Jaccard similarity of their sets of
+    ``size``-word shingles is ``bound`` or more. Pairs to verify come from the
+    deletion-variant index of each of the PRINTS words of a wide print, as in
+    ``link``: neighbours in buckets of all words first, then, once the groups
+    that these make are known, all pairs across groups. Texts of one set are
+    one node, and nodes that share a word are compared with the least of them.
+    """
+    rows = store(described(docs, id_col, text_col, size), "shingles")
+    nodes = store(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("prints").alias("prints")), "nodes")
+    # Per word of the print: its values, each with the least of its nodes.
+    values = [store(nodes.groupBy(F.get("prints", F.lit(k)).alias("fp")).agg(F.min("node").alias("node")), "values") for k in range(PRINTS)]
+    found = []
+    for k, own in enumerate(values):
+        shared = nodes.select("node", F.get("prints", F.lit(k)).alias("fp")).join(own.withColumnRenamed("node", "v"), "fp").where("node <> v").select(F.col("node").alias("u"), "v")
+        a, b = (own.select(F.col("fp").alias(x), F.col("node").alias(y)) for x, y in (("u", "nu"), ("v", "nv")))
+        near = bucket_neighbours(own.select("fp"), KEYED, WORD_BITS).distinct().join(a, "u").join(b, "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"))
+        found.append(store(near.union(shared).distinct(), "neighbours"))
+    first = store(alike(reduce(DataFrame.union, found), nodes, rows, bound), "links")
+    roots = store(components(first), "groups")
+    found = []
+    for own in values:
+        labelled = own.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("label"))
+        a, b = (own.select(F.col("fp").alias(x), F.col("node").alias(y)) for x, y in (("fu", "u"), ("fv", "v")))
+        found.append(store(bucket_pairs(labelled, KEYED, WORD_BITS).select("fu", "fv").distinct().join(a, "fu").join(b, "fv").select("u", "v"), "across"))
+    second = alike(reduce(DataFrame.union, found), nodes, rows, bound)
+    roots = store(components(store(second.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), "links")), "groups")
+    return rows.select("id", "text_key", "node").join(smallest_ids(rows, "node", roots), "node").select("id", "text_key", "component_id")
 
 
 def op3(spark, sf_dir):

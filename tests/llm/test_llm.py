@@ -16,7 +16,7 @@ from oracle import check
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orrery.llm import exact, graph, lines, minhash, mixing, packing, pii, queries, repeats, similar, simhash, toolcalls, toxicity
+from orrery.llm import exact, graph, lines, minhash, mixing, packing, pii, queries, repeats, simhash, toolcalls, toxicity
 from orrery.llm.common import split_words, text_slices
 
 WS = " \t\n\x0b\x0c\r"
@@ -570,9 +570,15 @@ def test_near_copies_are_those_of_brute_force(spark):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["id"]: r["component_id"] for r in similar.near_copies(df).collect()}
+    got = {r["id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
     assert near > 300 and got == {i: find(i) for i in range(len(texts))}
-    assert similar.near_copies(df.limit(0)).count() == 0
+    assert simhash.near_copies(df.limit(0)).count() == 0
+
+
+def test_near_copies_odd(docs):
+    got = simhash.near_copies(docs).collect()
+    one = {r["id"]: r["component_id"] for r in got}
+    assert len(got) == docs.count() and one[1] == one[2] == 1 and one[8] == one[7] == 7 and one[4] == one[5] == one[6] == 4
 
 
 def test_near_dedup_keeps_other_rows_of_an_id(spark, sf_dir):
