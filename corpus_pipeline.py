@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import lines, mixing, packing, similar, toxicity
+from orrery.llm import lines, mixing, packing, simhash, toxicity
 from orrery.llm.common import shared_dir, store, table, text_key, unused
 
 
@@ -34,7 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Near copies have a Jaccard similarity of their five-word shingles of 0.8
     or more; groups are what such pairs connect.
     """
-    found = similar.near_copies(docs, size=5, bound=0.8)
+    found = simhash.near_copies(docs, size=5, bound=0.8)
     gone, key = unused(docs, "gone", "gone_key")
     found = found.where("id <> component_id").select(F.col("id").alias(gone), F.col("text_key").alias(key)).distinct()
     return docs.join(found, (docs["doc_id"].cast("long") == found[gone]) & (text_key(docs["text"].cast("string")) == found[key]), "left_anti")
