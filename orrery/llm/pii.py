@@ -2,7 +2,8 @@
 
 One scan finds candidate spans: every match of the four base patterns, valid
 or not, and matches of looser ones (national phone numbers, addresses with
-"(at)"). Labelers vote yes, no or nothing on each: the strict pattern check,
+"(at)"), of long strings with digits, which may be secrets, and of account and
+social security numbers. Labelers vote yes, no or nothing on each: the strict pattern check,
 the candidate's shape, small gazetteers, the words before it, and what it
 touches. Expectation-maximisation over the counts of equal ballots, at most
 243 for each kind, estimates how reliable each labeler is. The resulting
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import store, table
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret", "id")
 #: The base patterns. Possessive repeats and the look-behinds keep the search
 #: linear; they match what the plain patterns match, leftmost first.
 LOCAL = "A-Za-z0-9._%+-"
@@ -36,9 +37,13 @@ BASE = {
     "card": "[0-9](?:[\\x20-]?[0-9]){11,}+",
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
 }
+#: Characters of keys and tokens in common encodings.
+SECRET = "A-Za-z0-9+/_-"
 LOOSE = {
     "email": f"(?<![{LOCAL}])[{LOCAL}]++\\x20?[(\\[]at[)\\]]\\x20?[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++",
     "phone": "(?<![0-9+(.-])(?<!\\+[0-9]{1,3}\\x20)\\(?[0-9]{3}\\)?[\\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])",
+    "secret": f"(?<![{SECRET}])(?=[A-Za-z+/_-]*+[0-9])(?=[{SECRET}]{{16}})[{SECRET}]++={{0,2}}",
+    "id": "(?<![A-Za-z0-9-])(?:[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]{4}){2,7}(?:\\x20?[A-Z0-9]{1,3})?|[0-9]{3}-[0-9]{2}-[0-9]{4})(?![A-Za-z0-9-])",
 }
 #: A text without this character can't match.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
@@ -48,9 +53,13 @@ HINTS = {
     "email": "mail|contact|write|reach|kontakt|correo|courriel",
     "ip": "\\bip\\b|host|server|address|adresse|node|gateway|login",
     "card": "card|visa|credit|debit|karte|tarjeta|carte|pay|iban",
+    "secret": "token|key|secret|passw|pwd|auth|bearer|credential|api",
+    "id": "iban|\\bssn|social|passport|account|konto|cuenta|compte|tax|steuer|\\bid\\b",
     "phone": "phone|call|tel\\b|tel:|mobile|fax|cell|anruf|llamar|appel",
 }
 AGAINST = "order|invoice|version|serial|isbn|token|hash|build|ticket|article|ref\\b"
+AGAINST_SECRET = "hash|\\bsha|md5|checksum|commit|digest|build|version|isbn|uuid|etag|https?:"
+SECRET_HEADS = ("sk", "pk", "gh", "AKIA", "xox", "eyJ", "AIza", "glpat")
 ROUNDS = 30
 
 
@@ -104,6 +113,42 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return src.select("id", F.expr(f"concat({', '.join(parts)})").alias("found"))
 
 
+def account_number(m: Column) -> Column:
+    """The number leaves 1 by 97 after its first four characters move to the end and letters count from 10."""
+    chars = F.regexp_replace(m, " ", "")
+    moved = F.split(F.concat(F.substring(chars, 5, 40), F.substring(chars, 1, 4)), "")
+
+    def take(rest: Column, x: Column) -> Column:
+        v = F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), x) - 1
+        return (rest * F.when(v > 9, 100).otherwise(10) + v) % 97
+
+    return F.aggregate(F.filter(moved, lambda x: x != ""), F.lit(0), take) == 1
+
+
+def hinted(c: Column) -> Column:
+    """1, -1 or 0: the words before a candidate speak for its kind, against it, or neither."""
+    kind, secret = c["kind"], c["kind"] == KINDS.index("secret")
+    hint = F.lit(False)
+    for i, k in enumerate(KINDS):
+        hint = hint | ((kind == i) & c["before"].rlike(HINTS[k]))
+    against = F.when(secret, c["before"].rlike(AGAINST_SECRET)).otherwise(c["before"].rlike(AGAINST))
+    # What is named a hash is none of the secrets, whatever else is near.
+    return F.when(secret & against, -1).when(hint, 1).when(against, -1).otherwise(0)
+
+
+def char_classes(m: Column) -> Column:
+    """How many of small letters, capitals, digits and other marks a string has."""
+    return sum((m.rlike(p).cast("int") for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")), F.lit(0))
+
+
+def checks(c: Column) -> Column:
+    """1, -1 or 0: a candidate passes its kind's rule or checksum, fails it, or there is none."""
+    kind, m = c["kind"], c["m"]
+    number = F.when(m.rlike("^[0-9]"), ~m.rlike("^(000|666|9)|-00-|-0000$")).otherwise(account_number(m))
+    own = F.when(kind == KINDS.index("id"), F.when(number, 1).otherwise(-1)).when(kind.isin(KINDS.index("email"), KINDS.index("secret")), 0)
+    return F.when(c["base"], 1).otherwise(own.otherwise(-1))
+
+
 def ballot(c: Column) -> list[Column]:
     """The labelers' votes on a candidate: 1, 0 or -1 each."""
     kind, m = c["kind"], c["m"]
@@ -116,26 +161,27 @@ def ballot(c: Column) -> list[Column]:
 
     digits = F.regexp_replace(m, "[^0-9]", "")
     n = F.length(digits)
-    strict = F.when(c["base"], 1).otherwise(F.when(kind == KINDS.index("email"), 0).otherwise(-1))
     shape = by_kind(
         yes_no(m.rlike(r"^[^.].*[^.]@|at[)\]]")),
         yes_no(~m.rlike(r"(^|\.)0[0-9]")),
         yes_no(n.isin(13, 15, 16)),
         yes_no(m.rlike(r"^\+?[0-9]{0,3} ?\(?[0-9]{2,4}\)?([ .-]?[0-9]{2,4}){2,4}$")),
+        yes_no(m.rlike("^([0-9a-f]{2}){14,}$|^([0-9A-F]{2}){14,}$") | ((char_classes(m) >= 3) & (n * 12 >= F.length(m)) & ~m.rlike("/.*/"))),
+        F.lit(0),
     )
-    starts = lambda heads: F.exists(F.array(*[F.lit(h) for h in heads]), lambda h: F.startswith(digits, h))
+    starts = lambda heads, x=digits: F.exists(F.array(*[F.lit(h) for h in heads]), lambda h: F.startswith(x, h))
     gazetteer = by_kind(
         F.when(F.lower(F.element_at(F.split(m, "[.]"), -1)).isin(*TOP_DOMAINS), 1).otherwise(0),
         F.when(m.rlike(r"^(0|127|255)\."), -1).otherwise(F.lit(0)),
         yes_no(starts(CARD_HEADS)),
         F.when(starts(("1", "33", "34", "44", "49")) & m.startswith("+"), 1).otherwise(0),
+        F.when(starts(SECRET_HEADS, m), 1).otherwise(0),
+        F.lit(0),
     )
-    hint = F.lit(False)
-    for i, k in enumerate(KINDS):
-        hint = hint | ((kind == i) & c["before"].rlike(HINTS[k]))
-    context = F.when(hint, 1).when(c["before"].rlike(AGAINST), -1).otherwise(0)
-    touches = F.when((c["before"] != "") & c["before"].rlike(r"[\p{L}0-9_=#/\"']$") | c["after"].rlike(r"[\p{L}0-9_=#/\"']"), -1).otherwise(F.lit(1))
-    return [strict, shape, gazetteer, context, touches]
+    assigned = c["before"].rlike("""[=:] ?["']?$""")
+    touches = F.when(kind == KINDS.index("secret"), F.when(assigned, 1).when(c["before"].rlike(r"[\p{L}0-9.#@]$") | c["after"].rlike(r"[\p{L}0-9.@]"), -1).otherwise(F.lit(0)))
+    touches = touches.when((c["before"] != "") & c["before"].rlike(r"[\p{L}0-9_=#/\"']$") | c["after"].rlike(r"[\p{L}0-9_=#/\"']"), -1).otherwise(F.when(kind == KINDS.index("id"), 0).otherwise(1))
+    return [checks(c), shape, gazetteer, hinted(c), touches]
 
 
 def features(c: Column) -> list[Column]:
@@ -149,6 +195,10 @@ def features(c: Column) -> list[Column]:
         F.concat(F.lit("marks|"), k, F.substring(F.regexp_replace(F.regexp_replace(c["m"], r"[A-Za-z0-9]+", ""), r"(.)\1+", "$1"), 1, 3)),
         F.concat(F.lit("head|"), k, F.regexp_extract(c["m"], "^[^0-9]?([0-9])", 1)),
         F.concat(F.lit("before|"), k, F.when(c["before"] == "", "none").when(c["before"].rlike(r"\s$"), "space").when(c["before"].rlike(r"[\p{L}0-9]$"), "word").otherwise("mark")),
+        F.concat(F.lit("checks|"), k, checks(c).cast("string")),
+        F.concat(F.lit("context|"), k, hinted(c).cast("string")),
+        F.concat(F.lit("classes|"), k, char_classes(c["m"]).cast("string")),
+        F.concat(F.lit("assigned|"), k, c["before"].rlike("""[=:] ?["']?$""").cast("string")),
         F.concat(F.lit("after|"), k, F.when(c["after"] == "", "none").when(c["after"].rlike(r"\s"), "space").when(c["after"].rlike(r"[\p{L}0-9]"), "word").otherwise("mark")),
     ]
 
@@ -230,5 +280,8 @@ def listed(spans: Column) -> Column:
 
 def op8(spark, sf_dir):
     out = find(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return out.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.array_sort(F.concat("base", "added"))).alias("spans"))
+    every = F.array_sort(F.concat("base", "added"))
+    count = lambda spans, i: F.size(F.filter(spans, lambda x: x["kind"] == i)).cast("long")
+    counts = [count("base", i).alias(f"n_{k}") for i, k in enumerate(KINDS[: len(BASE)])]
+    more = [count("added", i).alias(f"n_{k}") for i, k in enumerate(KINDS) if k not in BASE]
+    return out.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(every).alias("spans"), *more, F.size(every).cast("long").alias("n_spans"))

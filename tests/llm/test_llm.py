@@ -408,6 +408,31 @@ def test_pii(spark, docs, small):
     assert pii.find(docs.limit(0)).count() == 0
 
 
+def test_classifier_adds_secrets_and_ids_and_rejects_look_alikes(spark):
+    g = random.Random(6)
+    hexes = lambda n: "".join(g.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda n: "".join(g.choice("ABCDEFGHKLMNPQRSTuvwxyzabcdef0123456789") for _ in range(n))
+
+    def account(good):
+        body = f"{g.randrange(10**18):018d}"
+        return f"DE{98 - int(body + '131400') % 97 + (0 if good else 1):02d}{body}"
+
+    made = {
+        True: [lambda: f'token = "{hexes(40)}"', lambda: f"api_key: {mixed(32)}1", lambda: f"password={mixed(20)}7", lambda: f"iban {account(True)}", lambda: f"ssn {g.randrange(100, 600)}-{g.randrange(10, 99)}-{g.randrange(1000, 9999)}"],
+        False: [lambda: f"commit {hexes(40)} fixed", lambda: f"sha1 {hexes(40)}", lambda: "see reports/archive/pages/item2024/list", lambda: f"number {account(False)} there", lambda: f"order 000-{g.randrange(10, 99)}-{g.randrange(1000, 9999)}", lambda: "internationalization-2-of-everything"],
+    }
+    rows = []
+    for k in range(1500):
+        good = k % 2 == 0
+        rows.append((k, "some words " + g.choice(made[good])() + " and more text", good))
+    df = spark.createDataFrame(rows, "doc_id long, text string, good boolean")
+    got = {r["id"]: r["added"] for r in pii.find(df).collect()}
+    found = {good: np.mean([len(got[k]) > 0 for k, _, y in rows if y == good]) for good in (True, False)}
+    assert found[True] > 0.95 and found[False] < 0.03, [t for k, t, good in rows if not good and got[k]][:9]
+    for k, t, good in rows:
+        assert all(t[x["s"] : x["e"]] in t and not t[x["s"] : x["e"]].startswith(" ") for x in got[k])
+
+
 def test_reliabilities():
     """Labelers of known reliability are told apart from one that guesses."""
     g = random.Random(4)
