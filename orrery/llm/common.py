@@ -5,7 +5,6 @@ from __future__ import annotations
 import gc
 import sys
 import tempfile
-import time
 import types
 import uuid
 
@@ -18,6 +17,8 @@ from pyspark.sql import functions as F
 #: ASCII white space, in Java's and in RE2's syntax.
 SPACES = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: Whether a query's shuffle files go when it ends (a setting of Spark's).
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,23 +106,23 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back.
 
     This cuts the lineage: what follows re-reads files that survive the loss
-    of executors. Column types and names stay.
+    of executors. Column types and names stay. Nothing comes back to the
+    plan's shuffles, so Spark is told to delete them once the table is there.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more.
-
-    Twice, a moment apart: just after a job its last events still hold its plan.
-    """
-    for _ in range(2):
-        time.sleep(0.7)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+def broadcast_small(df: DataFrame, row_bytes: int, most: int = 32 << 20) -> DataFrame:
+    """``df``, a stored table, to be broadcast if its rows of ``row_bytes`` bytes, counted, take ``most`` at the most."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -10,9 +10,12 @@ each hit to the maximal exact repeats that contain it, and each word covered
 by a window that also starts in a document with a smaller id is removed.
 
 Hashes travel in packed blocks, dealt over partitions by hash value; a task
-holds its partition's share of the index and streams the probes. A block
-that very many documents share is one row of the index and one probe for
-each of them.
+holds its partition's share of the index and streams the probes. What very
+many documents share is settled where they are: within a slice of texts, runs
+behind a block of a smaller id are hits already, and windows behind an equal
+one of a smaller id go already. Of such runs and windows only those of the
+slice's smallest id travel (and of the runs the one of the largest, by which
+the blocks of other slices learn that they are met).
 
 Edge cases: a null text has no words; fewer than 13 words make no window, so
 nothing goes; a window of the same id is no smaller one; rows with a null id come
@@ -26,39 +29,25 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, shuffle_partitions, store, text_key, worker_state
+from .common import shuffle_partitions, split_words, store, text_key, text_slices
 
 WINDOW = 13
 LAST = (1 << 63) - 1
-#: Words whose hashes are packed together; bounds a task's memory.
-CHUNK = 1 << 18
-#: 16-bit cells of a probe's hash.
-PROBE_CELLS = 3
-PACKED = "part int, probe boolean, n int, hashes binary, ids binary, places binary"
-
-
-class WordHashes(dict):
-    """XXH64 of a word; forgets when full."""
-
-    def __init__(self, seed: int, most: int = 150_000):
-        self.seed, self.most = seed, most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, self.seed)
-        return h
-
-
-def word_hashes(words: list[bytes], seed: int) -> np.ndarray:
-    kept = worker_state("repeats")
-    if seed not in kept:
-        kept[seed] = WordHashes(seed)
-    return np.fromiter(map(kept[seed].__getitem__, words), np.uint64, len(words))
+#: 16-bit cells of a run's hash: a false hit costs a look at its windows, which keep 128 bits.
+RUN_CELLS, WINDOW_CELLS = 3, 8
+#: Text of which a partition of the exchange takes the hashes.
+TEXT_EACH = 64 << 20
+#: Bytes of places up to which they are broadcast.
+MAX_BROADCAST = 32 << 20
+#: Kinds of packed rows, in the order in which a task wants them.
+BLOCKS, ASKED, SETTLED = 0, 1, 2
+PACKED = "part int, kind int, n int, hashes binary, ids binary, places binary"
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def rolling(h: np.ndarray, size: int, factor: int) -> np.ndarray:
@@ -76,96 +65,64 @@ def rolling(h: np.ndarray, size: int, factor: int) -> np.ndarray:
         return out ^ (out >> np.uint64(29))
 
 
-FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-
-
-def _packed(hashes: np.ndarray, ids: np.ndarray, places: np.ndarray):
-    """Bytes of hashes, of ids (n, 2: id, text key) by runs (ids, then lengths), and of places in as few bytes as the largest needs."""
-    first = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]).any(axis=1))))
-    lengths = np.diff(np.append(first, len(ids))).astype(np.int32)
-    kind = np.uint16 if places.max() < 1 << 16 else np.int32
-    return len(ids), hashes.tobytes(), ids[first].tobytes() + lengths.tobytes(), places.astype(kind).tobytes()
+def _slices(batches, seeds):
+    """(rows, keys, doc, place, hashes) of slices of texts (columns id, text, text_key).
 
+    Keys are (id, text key) of each text; then, for every word in turn, its
+    text, its place there and a hash of it for each seed.
+    """
+    for b in batches:
+        for lo, hi in text_slices(b.column(1)):
+            c = b.slice(lo, hi - lo)
+            words, codes, counts = split_words(c.column(1))
+            words = words.cast(pa.binary()).to_pylist()
+            hashes = [np.fromiter((xxhash.xxh64_intdigest(w, s) for w in words), np.uint64, len(words))[codes] for s in seeds]
+            doc = np.repeat(np.arange(len(counts)), counts)
+            yield c, np.stack([c.column(i).to_numpy() for i in (0, 2)], axis=1), doc, np.arange(len(doc)) - (np.cumsum(counts) - counts)[doc], hashes, counts
 
-def _unpacked(n: int, hashes: bytes, ids: bytes, places: bytes, cells: int):
-    """Hashes (n, cells of 16 bits as 64-bit columns), ids and places."""
-    h = np.frombuffer(hashes, np.uint16).reshape(n, cells)
-    if cells % 4:
-        h = np.concatenate((h, np.zeros((n, 4 - cells % 4), np.uint16)), axis=1)
-    runs = len(ids) // 20
-    keys, lengths = np.frombuffer(ids[: 16 * runs], np.int64).reshape(-1, 2), np.frombuffer(ids[16 * runs :], np.int32)
-    at = np.frombuffer(places, np.uint16 if len(places) == 2 * n else np.int32)
-    return np.ascontiguousarray(h).view(np.uint64), np.repeat(keys, lengths, axis=0), at.astype(np.int32)
 
+def _cells(h: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(h).view(np.uint16).reshape(len(h), -1)
 
-def _deal(parts: int, hashes: list, ids: list, places: list, probe: bool, second: list | None = None):
-    """Packed rows of one chunk, one for each partition that it has hashes for.
 
-    Probes and blocks keep 48 bits: a false hit costs a look at its windows,
-    which keep 128.
-    """
-    h, d, p = np.concatenate(hashes), np.concatenate(ids), np.concatenate(places)
-    at = (h >> np.uint64(40)).astype(np.int64) % parts
-    order = np.argsort(at, kind="stable")
-    ends = np.cumsum(np.bincount(at, minlength=parts))
-    cells = h.view(np.uint16).reshape(-1, 4)[:, :PROBE_CELLS]
-    if second is not None:
-        cells = np.concatenate((h.view(np.uint16).reshape(-1, 4), np.concatenate(second).view(np.uint16).reshape(-1, 4)), axis=1)
-    for part, end in enumerate(ends.tolist()):
-        own = order[ends[part - 1] if part else 0 : end]
+def _dealt(parts: int, kind: int, part: np.ndarray, cells: np.ndarray, keys: np.ndarray, doc: np.ndarray, place: np.ndarray):
+    """Packed rows of one slice, one for each partition: hashes, keys as runs (keys, then lengths), and places."""
+    order = np.argsort(part, kind="stable")
+    ends = np.cumsum(np.bincount(part, minlength=parts))
+    for at, end in enumerate(ends.tolist()):
+        own = order[ends[at - 1] if at else 0 : end]
         if len(own):
-            yield part, probe, *_packed(cells[own], d[own], p[own])
+            d, p = doc[own], place[own]
+            first = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+            lengths = np.diff(np.append(first, len(d))).astype(np.int32)
+            small = np.uint16 if p.max() < 1 << 16 else np.int32
+            yield at, kind, len(own), cells[own].tobytes(), keys[d[first]].tobytes() + lengths.tobytes(), p.astype(small).tobytes()
 
 
-def _batch(rows: list) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], ["part", "probe", "n", "hashes", "ids", "places"])
-
-
-def _runs(batches, parts: int, block: int):
-    """Packed blocks and probes of whole texts (columns id, text, text_key)."""
-    held: list[list] = [[] for _ in range(6)]
-    size = 0
-
-    def flush():
-        rows = []
-        for k, probe in ((0, False), (3, True)):
-            if held[k]:
-                rows += _deal(parts, *held[k : k + 3], probe)
-            for x in held[k : k + 3]:
-                x.clear()
-        for at in range(0, len(rows), 256):
-            yield _batch(rows[at : at + 256])
-
-    for b in batches:
-        for *key, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1).cast(pa.binary())):
-            ws = (text.as_py() or b"").split()
-            if len(ws) < WINDOW:
-                continue
-            h = rolling(word_hashes(ws, 0), block, FACTORS[0])
-            at = np.arange(len(h), dtype=np.int32)
-            for k, step in ((0, block), (3, 1)):
-                own = at[::step]
-                for x, v in zip(held[k : k + 3], (h[::step], np.full((len(own), 2), key, np.int64), own)):
-                    x.append(v)
-            size += len(h)
-            if size >= CHUNK:
-                yield from flush()
-                size = 0
-    yield from flush()
+def _batches(rows):
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    rows = list(rows)
+    for at in range(0, len(rows), 256):
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows[at : at + 256]), kinds)], ["part", "kind", "n", "hashes", "ids", "places"])
 
 
 def _rows(batches, cells: int):
-    """(probe, hashes, ids, places) of each packed row."""
+    """(kind, hashes, keys, places) of each packed row; hashes as columns of 64 bits."""
     for b in batches:
         for i in range(b.num_rows):
-            probe, n, *parts = (b.column(c)[i].as_py() for c in range(1, 6))
-            yield probe, *_unpacked(n, *parts, cells)
+            kind, n, hashes, ids, places = (b.column(c)[i].as_py() for c in range(1, 6))
+            h = np.frombuffer(hashes, np.uint16).reshape(n, -1) if hashes else np.zeros((n, cells), np.uint16)
+            if cells % 4:
+                h = np.concatenate((h, np.zeros((n, 4 - cells % 4), np.uint16)), axis=1)
+            runs = len(ids) // 20
+            keys, lengths = np.frombuffer(ids[: 16 * runs], np.int64).reshape(-1, 2), np.frombuffer(ids[16 * runs :], np.int32)
+            at = np.frombuffer(places, np.uint16 if len(places) == 2 * n else np.int32)
+            yield kind, np.ascontiguousarray(h).view(np.uint64), np.repeat(keys, lengths, axis=0), at.astype(np.int32)
 
 
-def _pairs(ids: np.ndarray, places: np.ndarray):
-    for at in range(0, len(ids), 100_000):
-        yield pa.RecordBatch.from_arrays([*(pa.array(ids[at : at + 100_000, k]) for k in (0, 1)), pa.array(places[at : at + 100_000].astype(np.int32))], ["id", "text_key", "place"])
+def _places(keys: np.ndarray, places: np.ndarray):
+    for at in range(0, len(keys), 100_000):
+        yield pa.RecordBatch.from_arrays([*(pa.array(keys[at : at + 100_000, k]) for k in (0, 1)), pa.array(places[at : at + 100_000].astype(np.int32))], ["id", "text_key", "place"])
 
 
 def _least(h: np.ndarray, ids: np.ndarray):
@@ -176,103 +133,139 @@ def _least(h: np.ndarray, ids: np.ndarray):
     return order, np.cumsum(new) - 1, ids[new]
 
 
+def _part(h: np.ndarray, parts: int) -> np.ndarray:
+    return (h >> np.uint64(40)).astype(np.int64) % parts
+
+
+def _runs(batches, parts: int, block: int):
+    """Packed blocks and runs of whole texts."""
+    for turn, (_, keys, doc, place, (h,), counts) in enumerate(_slices(batches, (0,))):
+        h = rolling(h, block, FACTORS[0])
+        n = counts[doc[: len(h)]]
+        whole = (n - place[: len(h)] >= block) & (n >= WINDOW)
+        h, d, p = h[whole], doc[: len(h)][whole], place[: len(h)][whole]
+        if not len(h):
+            continue
+        ids = keys[d, 0]
+        b = np.flatnonzero(p % block == 0)
+        order, group, least = _least(h[b, None], ids[b])
+        # One block for each hash: that of the smallest id.
+        b = b[order[np.flatnonzero(np.diff(group, prepend=-1))]]
+        at = np.minimum(np.searchsorted(h[b], h), len(b) - 1)
+        settled = np.flatnonzero((h[b][at] == h) & (least[at] < ids))
+        last = np.lexsort((ids[settled], at[settled]))
+        last = settled[last[np.flatnonzero(np.diff(at[settled][last], append=-1))]]
+        asked = np.ones(len(h), bool)
+        asked[settled] = False
+        asked[last] = True
+        asked = np.flatnonzero(asked)
+        cells, part = _cells(h)[:, :RUN_CELLS], _part(h, parts)
+        for kind, own in ((BLOCKS, b), (ASKED, asked)):
+            yield from _batches(_dealt(parts, kind, part[own], cells[own], keys, d[own], p[own]))
+        yield from _batches(_dealt(parts, SETTLED, np.full(len(settled), turn % parts), np.empty((len(settled), 0), np.uint16), keys, d[settled], p[settled]))
+
+
 def _match(batches):
-    """Hits from one partition's blocks and then its probes: (id, text key, place) of the runs on both sides."""
-    parts: list = [[], [], []]
+    """Hits from one partition's blocks and then its runs: (id, text key, place) on both sides."""
+    held: list = [[], [], []]
     index = None
 
     def build():
-        h, ids, places = (np.concatenate(x) if x else e for x, e in zip(parts, (np.empty((0, 1), np.uint64), np.empty((0, 2), np.int64), np.empty(0, np.int32))))
-        order, group, least = _least(h, ids[:, 0])
-        keys = h[order, 0][np.concatenate(([0], np.nonzero(np.diff(group))[0] + 1))] if len(h) else np.empty(0, np.uint64)
-        return keys, least, group, ids[order], places[order], np.zeros(len(least), bool)
-
-    for probe, h, ids, places in _rows(batches, PROBE_CELLS):
-        if not probe:
-            for x, v in zip(parts, (h, ids, places)):
+        h, keys, places = (np.concatenate(x) if x else e for x, e in zip(held, (np.empty((0, 1), np.uint64), np.empty((0, 2), np.int64), np.empty(0, np.int32))))
+        order, group, least = _least(h, keys[:, 0])
+        first = h[order, 0][np.flatnonzero(np.diff(group, prepend=-1))]
+        return first, least, group, keys[order], places[order], np.zeros(len(least), bool)
+
+    for kind, h, keys, places in _rows(batches, RUN_CELLS):
+        if kind == BLOCKS:
+            for x, v in zip(held, (h, keys, places)):
                 x.append(v)
             continue
+        if kind == SETTLED:
+            yield from _places(keys, places)
+            continue
         if index is None:
             index = build()
-            parts = [[], [], []]
-        keys, least, _, _, _, met = index
-        if not len(keys):
-            continue
-        at = np.minimum(np.searchsorted(keys, h[:, 0]), len(keys) - 1)
-        hit = (keys[at] == h[:, 0]) & (least[at] < ids[:, 0])
-        met[at[hit]] = True
-        yield from _pairs(ids[hit], places[hit])
+            held = [[], [], []]
+        first, least, _, _, _, met = index
+        if len(first):
+            at = np.minimum(np.searchsorted(first, h[:, 0]), len(first) - 1)
+            hit = (first[at] == h[:, 0]) & (least[at] < keys[:, 0])
+            met[at[hit]] = True
+            yield from _places(keys[hit], places[hit])
     if index is not None:
-        _, _, group, ids, places, met = index
-        hit = met[group]
-        yield from _pairs(ids[hit], places[hit])
+        _, _, group, keys, places, met = index
+        yield from _places(keys[met[group]], places[met[group]])
 
 
 def _around(batches, parts: int, block: int):
     """Packed windows of 13 around hits (columns id, text, text_key, places)."""
-    held: list[list] = [[] for _ in range(4)]
-    size = 0
+    for turn, (c, keys, doc, place, hashes, counts) in enumerate(_slices(batches, (0, 1))):
+        starts = np.cumsum(counts) - counts
+        lists = c.column(3)
+        hit = lists.flatten().to_numpy(zero_copy_only=False) + np.repeat(starts, pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        hit_doc = doc[hit]
+        near = np.zeros(len(doc) + 1, np.int32)
+        np.add.at(near, np.maximum(hit - (WINDOW - block), starts[hit_doc]), 1)
+        np.add.at(near, hit + 1, -1)
+        n = max(len(doc) - WINDOW + 1, 0)
+        at = np.flatnonzero((np.cumsum(near)[:n] > 0) & (counts[doc[:n]] - place[:n] >= WINDOW))
+        if not len(at):
+            continue
+        both = np.stack([rolling(h, WINDOW, f)[at] for h, f in zip(hashes, FACTORS)], axis=1)
+        d, p = doc[at], place[at]
+        ids = keys[d, 0]
+        order, group, least = _least(both, ids)
+        late = np.zeros(len(at), bool)
+        late[order] = least[group] < ids[order]
+        for kind, own in ((ASKED, np.flatnonzero(~late)), (SETTLED, np.flatnonzero(late))):
+            cells = _cells(both[own]) if kind == ASKED else np.empty((len(own), 0), np.uint16)
+            part = _part(both[own, 0], parts) if kind == ASKED else np.full(len(own), turn % parts)
+            yield from _batches(_dealt(parts, kind, part, cells, keys, d[own], p[own]))
 
-    def flush():
-        if held[0]:
-            rows = list(_deal(parts, held[0], held[2], held[3], True, held[1]))
-            for at in range(0, len(rows), 256):
-                yield _batch(rows[at : at + 256])
-        for x in held:
-            x.clear()
 
-    for b in batches:
-        for *key, text, places in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1).cast(pa.binary()), b.column(3)):
-            ws = (text.as_py() or b"").split()
-            n = len(ws) - WINDOW + 1
-            if n <= 0:
-                continue
-            near = np.zeros(len(ws) + 1, np.int32)
-            p = places.values.to_numpy(zero_copy_only=False)
-            np.add.at(near, np.maximum(p - (WINDOW - block), 0), 1)
-            np.add.at(near, p + 1, -1)
-            at = np.nonzero(np.cumsum(near)[:n] > 0)[0]
-            a, b2 = (rolling(word_hashes(ws, i), WINDOW, FACTORS[i])[at] for i in (0, 1))
-            for x, v in zip(held, (a, b2, np.full((len(at), 2), key, np.int64), at)):
+def _later(batches):
+    """(id, text key, place) of one partition's windows that also start in a document with a smaller id."""
+    held: list = [[], [], []]
+    for kind, *row in _rows(batches, WINDOW_CELLS):
+        if kind == SETTLED:
+            yield from _places(*row[1:])
+        else:
+            for x, v in zip(held, row):
                 x.append(v)
-            size += len(at)
-            if size >= CHUNK:
-                yield from flush()
-                size = 0
-    yield from flush()
+    if held[0]:
+        h, keys, places = map(np.concatenate, held)
+        order, group, least = _least(h, keys[:, 0])
+        late = least[group] < keys[order, 0]
+        yield from _places(keys[order][late], places[order][late])
 
 
-def _later(batches):
-    """(id, text key, place) of one partition's windows that also start in a document with a smaller id."""
-    rows = [x[1:] for x in _rows(batches, 8)]
-    if rows:
-        h, ids, places = (np.concatenate(x) for x in zip(*rows))
-        order, group, least = _least(h, ids[:, 0])
-        late = least[group] < ids[order, 0]
-        yield from _pairs(ids[order][late], places[order][late])
+def _gathered(places: DataFrame, name: str) -> DataFrame:
+    """(id, text_key, ``name``): the places of each text in one array; stored, and broadcast where it is small."""
+    found = store(store(places, "places").groupBy("id", "text_key").agg(F.collect_set("place").alias(name)), name)
+    size = found.agg(F.count("*"), F.sum(F.size(name))).first()
+    return F.broadcast(found) if size[0] * 40 + (size[1] or 0) * 4 <= MAX_BROADCAST else found
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 7) -> DataFrame:
     """(id, text_key, starts): where windows of 13 words start that also start in a smaller id."""
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    text = F.col(text_col).cast("string")
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), text.alias("text"), text_key(text).alias("text_key"))
-    dealt = src.mapInArrow(lambda it: _runs(it, parts, block), PACKED).repartition(parts, "part").sortWithinPartitions("probe")
-    hits = store(dealt.mapInArrow(_match, "id long, text_key long, place int"), "hits")
-    free_shuffles(spark)
-    hits = hits.groupBy("id", "text_key").agg(F.collect_set("place").alias("places"))
-    dealt = src.join(hits, ["id", "text_key"]).select("id", "text", "text_key", "places").mapInArrow(lambda it: _around(it, parts, block), PACKED).repartition(parts, "part")
-    late = store(dealt.mapInArrow(_later, "id long, text_key long, place int"), "repeats")
-    free_shuffles(spark)
-    return late.groupBy("id", "text_key").agg(F.collect_set("place").alias("starts"))
+    text = F.make_valid_utf8(F.col(text_col).cast("string"))
+    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), text.alias("text"), text_key(F.col(text_col).cast("string")).alias("text_key"))
+    size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(shuffle_partitions(docs.sparkSession), -(-size // TEXT_EACH))
+    found = "id long, text_key long, place int"
+    dealt = src.mapInArrow(lambda it: _runs(it, parts, block), PACKED).repartitionById(parts, F.col("part")).sortWithinPartitions("kind")
+    hits = _gathered(dealt.mapInArrow(_match, found), "places")
+    dealt = src.join(hits, ["id", "text_key"]).select("id", "text", "text_key", "places").mapInArrow(lambda it: _around(it, parts, block), PACKED).repartitionById(parts, F.col("part"))
+    return _gathered(dealt.mapInArrow(_later, found), "starts")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 7) -> DataFrame:
     """(id, n_words, n_removed, spans, kept): kept words joined by one space; spans are the removed runs of words."""
     starts = repeats(docs, id_col, text_col, block).withColumnsRenamed({"id": "k", "text_key": "t"})
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    src = src.join(starts, (F.coalesce("id", F.lit(LAST)) == F.col("k")) & (text_key(F.col("text")) == F.col("t")), "left").select("id", "text", "starts")
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.make_valid_utf8(text).alias("text"), text_key(text).alias("own"))
+    src = src.join(starts, (F.coalesce("id", F.lit(LAST)) == F.col("k")) & (F.col("own") == F.col("t")), "left").select("id", "text", "starts")
 
     def run(batches):
         for b in batches:

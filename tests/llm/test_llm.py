@@ -257,6 +257,56 @@ def test_repeats(request, source):
     assert repeats.remove_repeats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 400, 1 << 20])
+def test_repeats_are_settled_the_same_in_slices_of_any_size(monkeypatch, most):
+    """The steps of the operator in one process, over slices so small that copies meet in one or in several."""
+    monkeypatch.setattr(repeats, "text_slices", lambda texts: text_slices(texts, most))
+    g = random.Random(12)
+    shared = [[f"s{k}{i}" for i in range(g.randrange(13, 40))] for k in range(6)]
+    texts = []
+    for _ in range(120):
+        own = [f"o{g.randrange(10**6)}" for _ in range(g.randrange(0, 30))]
+        for part in g.sample(shared, g.randrange(3)):
+            at = g.randrange(len(own) + 1)
+            own[at:at] = part
+        texts.append(" ".join(own))
+    ids = g.sample(range(1000), len(texts))
+    parts = 5
+
+    def exchange(rows):
+        by = defaultdict(list)
+        for b in rows:
+            for r in b.to_pylist():
+                by[r["part"]].append(r)
+        for rs in by.values():
+            rs.sort(key=lambda r: r["kind"])
+            yield repeats._batches(tuple(r.values()) for r in rs)
+
+    def batch(extra=None):
+        cols = [pa.array(ids, pa.int64()), pa.array(texts), pa.array([0] * len(ids), pa.int64())]
+        names = ["id", "text", "text_key"]
+        return pa.RecordBatch.from_arrays(cols + ([pa.array(extra, pa.list_(pa.int32()))] if extra else []), names + (["places"] if extra else []))
+
+    def gathered(step, rows):
+        out = defaultdict(set)
+        for batches in exchange(rows):
+            for b in step(batches):
+                for r in b.to_pylist():
+                    out[r["id"]].add(r["place"])
+        return out
+
+    hits = gathered(repeats._match, repeats._runs([batch()], parts, 7))
+    starts = gathered(repeats._later, repeats._around([batch([sorted(hits[i]) for i in ids])], parts, 7))
+    first = {}
+    for i, t in zip(ids, texts):
+        w = words(t)
+        for k in range(len(w) - 12):
+            key = tuple(w[k : k + 13])
+            first[key] = min(first.get(key, i), i)
+    want = {i: {k for k in range(len(words(t)) - 12) if first[tuple(words(t)[k : k + 13])] < i} for i, t in zip(ids, texts)}
+    assert {i: s for i, s in starts.items() if s} == {i: s for i, s in want.items() if s} and sum(map(len, want.values())) > 300
+
+
 # -- 6 ------------------------------------------------------------------
 
 def test_fuse_filter():
