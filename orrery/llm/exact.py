@@ -131,7 +131,8 @@ class Snapshot:
                 f = FuseFilter.build(np.concatenate(parts))
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([x], pa.int32()), "seed": pa.array([f.seed], pa.int32()), "segment": pa.array([f.segment], pa.int32()), "count": pa.array([f.count], pa.int32()), "cells": pa.array([f.cells.tobytes()], pa.binary())})
 
-        filters = rows.select("bucket", _key().alias("key")).repartition(shuffle_partitions(rows.sparkSession), "bucket")
+        parts = shuffle_partitions(rows.sparkSession)
+        filters = rows.select("bucket", _key().alias("key")).repartitionById(parts, F.pmod("bucket", F.lit(parts)))
         filters = filters.mapInArrow(make, "bucket int, seed int, segment int, count int, cells binary")
         return cls(rows, store(filters, "filters"), buckets)
 
@@ -141,9 +142,9 @@ class Snapshot:
         Filters and digests are dealt by bucket, filters first in each task,
         so that a task holds its own buckets' filters and streams the rest.
         """
-        cols = batch.columns
+        cols, parts = batch.columns, shuffle_partitions(batch.sparkSession)
         asked = batch.withColumn("bucket", F.pmod(_key(), F.lit(self.buckets)).cast("int")).withColumn("key", _key())
-        rows = self.filters.unionByName(asked, allowMissingColumns=True).repartition(shuffle_partitions(batch.sparkSession), "bucket").sortWithinPartitions(F.col("cells").isNull())
+        rows = self.filters.unionByName(asked, allowMissingColumns=True).repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions(F.col("cells").isNull())
         schema = batch.schema
 
         def run(batches):

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store, table, text_key, unused
+from .common import broadcast_small, store, table, text_key, unused
 
 TRIM = "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$"
 LAST = (1 << 63) - 1
@@ -49,19 +49,21 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """(id, text_key, gone): the positions of lines to remove, for documents that lose any."""
     w = store(windows(docs, id_col, text_col, size), "windows")
-    first = w.groupBy("a", "b").agg(F.min(F.struct("id", "first")).alias("kept"), F.count("*").alias("n")).where("n > 1")
-    later = w.join(first, ["a", "b"]).where(F.struct("id", "first") > F.col("kept"))
-    return later.select("id", "text_key", F.explode("lines").alias("at")).groupBy("id", "text_key").agg(F.collect_set("at").alias("gone"))
+    # Stored, so that a common window's rows can be split when they meet its one row.
+    first = store(w.groupBy("a", "b").agg(F.min(F.struct("id", "first")).alias("kept"), F.count("*").alias("n")).where("n > 1").select("a", "b", "kept"), "first")
+    later = w.join(broadcast_small(first, 64), ["a", "b"]).where(F.struct("id", "first") > F.col("kept"))
+    gone = store(later.select("id", "text_key", F.explode("lines").alias("at")).groupBy("id", "text_key").agg(F.collect_set("at").alias("gone")), "gone")
+    return broadcast_small(gone, 40 + 4 * (gone.agg(F.max(F.size("gone"))).first()[0] or 0))
 
 
 def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """All columns of ``docs`` with the text after removal, and n_lines, n_removed."""
-    key, own, out = unused(docs, "line_id", "line_key", "lines_gone")
+    """All columns of ``docs`` with the text after removal, and n_lines, n_removed (with an underscore where ``docs`` has such columns)."""
+    key, own, out, n_lines, n_removed = unused(docs, "line_id", "line_key", "lines_gone", "n_lines", "n_removed")
     gone = repeated_lines(docs, id_col, text_col, size).select(F.col("id").alias(key), F.col("text_key").alias(own), F.col("gone").alias(out))
     lines = _lines(F.col(text_col).cast("string"))
     joined = docs.join(gone, (F.coalesce(docs[id_col].cast("long"), F.lit(LAST)) == gone[key]) & (text_key(docs[text_col].cast("string")) == gone[own]), "left")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(out, i)), "\n")
-    made = {"n_lines": F.size(lines).cast("long"), "n_removed": F.coalesce(F.size(out), F.lit(0)).cast("long"), text_col: F.when(F.col(out).isNull(), F.col(text_col)).otherwise(kept)}
+    made = {n_lines: F.size(lines).cast("long"), n_removed: F.coalesce(F.size(out), F.lit(0)).cast("long"), text_col: F.when(F.col(out).isNull(), F.col(text_col)).otherwise(kept)}
     return joined.withColumns(made).drop(key, own, out)
 
 

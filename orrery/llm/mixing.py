@@ -20,12 +20,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running_total, store, table, word_count
+from .common import broadcast_small, running_total, store, table, word_count
 
 WEIGHTS = (5, 2, 1)
 #: Weight of documents by labels.quality; documents without a label get 1.
 QUALITY = {1: 2.0, 0: 0.5}
 PASSES = 4
+#: Bytes that a source's row is held to take at the most.
+SOURCE_BYTES = 256
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -60,7 +62,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id
     own = [F.col(row_col).alias("row")] if row_col else []
     rows = store(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *own), "sizes")
     goal = store(targets(rows, weights, share, cap), "targets").withColumnRenamed("source", "s")
-    rows = rows.join(F.broadcast(goal) if goal.count() <= 10_000 else goal, F.expr("source <=> s")).drop("s")
+    rows = rows.join(broadcast_small(goal, SOURCE_BYTES), F.expr("source <=> s")).drop("s")
     if quality is not None:
         rows = rows.join(quality.groupBy("id").agg(F.avg("weight").alias("weight")), "id", "left")
     else:
@@ -70,23 +72,26 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id
     key = -F.log((draw + 0.5) / float(1 << 48)) / F.coalesce("weight", F.lit(1.0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     buckets = F.ceil(F.sqrt("n_docs"))
-    rows = rows.select("id", "source", "size", "source_size", "target", key.alias("key"), epochs.alias("epochs"), F.floor((1 - F.exp(-key)) * buckets).alias("bucket"), F.col("row") if row_col else F.monotonically_increasing_id().alias("row"), F.lit(0).alias("picked"))
+    rows = rows.select("id", "source", "size", "source_size", "target", key.alias("key"), epochs.alias("epochs"), F.floor((1 - F.exp(-key)) * buckets).alias("bucket"), F.col("row") if row_col else F.monotonically_increasing_id().alias("row"))
     rows = store(rows, "drawn")
+    whole = goal.select("s", (F.col("target") - F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0) * F.col("source_size")).alias("rest"))
+    candidates = rows.where("size > 0").select("row", "id", "source", "size", "key", "bucket")
+    picked = store(candidates.limit(0).select("row", "source", "size"), "picked")
     for turn in range(PASSES + 1):
-        used = rows.where("picked = 1").groupBy("source").agg(F.sum("size").alias("used"))
-        left = rows.select("source", "source_size", "target", "epochs").distinct().join(used.withColumnRenamed("source", "s"), F.expr("source <=> s"), "left")
-        left = left.select(F.col("source").alias("s"), (F.col("target") - F.col("epochs") * F.col("source_size") - F.coalesce("used", F.lit(0))).alias("room"))
-        open_ = rows.where("picked = 0 and size > 0").join(left, F.expr("source <=> s")).drop("s")
+        used = picked.groupBy(F.col("source").alias("u")).agg(F.sum("size").alias("used"))
+        left = store(whole.join(used, F.expr("s <=> u"), "left").select("s", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("room")), "room")
+        # One row a source: a source's documents stay where they are.
+        open_ = candidates.join(picked.select("row"), "row", "left_anti").join(broadcast_small(left, SOURCE_BYTES), F.expr("source <=> s")).drop("s")
         if turn == PASSES:
             # What is left is less than most documents: one more if that comes nearer.
-            picks = open_.where("size < 2 * room").groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("room")), "key", "row")).alias("m")).select("m.row", F.lit(1).alias("now"))
-            rows = rows.join(picks, "row", "left").withColumn("picked", F.greatest("picked", F.coalesce("now", F.lit(0))))
-            break
-        open_ = open_.where("size <= room")
-        open_ = running_total(open_.withColumn("g", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), ["g"], "bucket", ["key", "id", "size", "row"], "size", "before")
-        picks = open_.where("before + size <= room").select("row", F.lit(1).alias("now"))
-        rows = store(rows.join(picks, "row", "left").select("id", "source", "size", "source_size", "target", "key", "epochs", "bucket", "row", F.greatest("picked", F.coalesce("now", F.lit(0))).alias("picked")), "drawn")
-    times = F.col("epochs") + F.col("picked")
+            least = F.min(F.struct(F.abs(F.col("size") - F.col("room")).alias("off"), "key", "row", "size")).alias("m")
+            picks = open_.where("size < 2 * room").groupBy("source").agg(least).select("m.row", "source", "m.size")
+        else:
+            open_ = running_total(open_.where("size <= room").withColumn("g", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), ["g"], "bucket", ["key", "id", "size", "row"], "size", "before")
+            picks = open_.where("before + size <= room").select("row", "source", "size")
+        picked = picked.union(store(picks, "picks"))
+    times = F.col("epochs") + F.coalesce("now", F.lit(0))
+    rows = rows.join(picked.select("row", F.lit(1).alias("now")), "row", "left")
     return rows.select("id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"), *(["row", times.alias("times")] if row_col else []))
 
 
