@@ -5,8 +5,8 @@ rare) and as the mean embedding of its character n-grams. A window of 32 words
 goes through a GRU in both directions; attention pools its states into one
 logit. Windows overlap by half and cover the whole text; a text's score is
 that of its most toxic window. Training sees only texts' labels: a text's
-logit is the log-sum-exp of its windows', by Adam, in numpy on the driver,
-from a sample bounded by MAX_TRAIN and MAX_TRAIN_CHARS.
+logit is the log-sum-exp of its windows', by Adam, in numpy in one task, from a
+sample bounded by MAX_TRAIN and MAX_TRAIN_CHARS.
 
 Edge cases: a null or blank text is scored as one window without words; rows
 that share an id are scored one by one, and a label of theirs counts for each
@@ -18,6 +18,8 @@ columns can't clash. Labels, language, source and id are never inputs.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,7 +30,7 @@ from .common import split_words, table, text_slices, unused
 
 #: At most this many labelled texts train the model: those whose hashed ids are smallest.
 MAX_TRAIN = 4000
-#: Longer texts are scored as any other but not trained on; with MAX_TRAIN it bounds the driver's memory.
+#: Longer texts are scored as any other but not trained on; with MAX_TRAIN it bounds the memory of the task that trains.
 MAX_TRAIN_CHARS = 100_000
 STEPS, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN, BUCKETS, MAX_VOCAB = 8, 16, 8, 1 << 13, 20_000
@@ -73,7 +75,7 @@ def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             found.append(h[whole] + np.uint64(n))
             whose.append(owner[: len(h)][whole])
     whose = np.concatenate(whose)
-    return bucket(np.concatenate(found))[np.argsort(whose, kind="stable")], np.bincount(whose, minlength=len(words))
+    return bucket(np.concatenate(found))[np.argsort(whose, kind="stable")], np.bincount(whose, minlength=len(words)).astype(np.int32)
 
 
 def window_starts(n: int) -> range:
@@ -192,9 +194,10 @@ def layout(lengths: list[int], starts_at: np.ndarray):
     return np.where(mask, at, 0), mask.astype(np.float32), text
 
 
-def features(words: list[str], vocab: dict[str, int]):
-    """(vocabulary places, n-gram buckets, their counts) of distinct words."""
-    return np.array([vocab.get(w, 0) for w in words], np.int64), *ngrams(words)
+def features(words: list[str], vocab: dict[str, int], most: int = 5_000):
+    """(vocabulary places, n-gram buckets, their counts) of distinct words, so many at a time."""
+    made = [ngrams(words[at : at + most]) for at in range(0, len(words), most)] or [ngrams([])]
+    return np.array([vocab.get(w, 0) for w in words], np.int32), *(np.concatenate(x) for x in zip(*made))
 
 
 def inputs(p, ids, grams, n):
@@ -285,8 +288,8 @@ def scores(p: dict, vocab: dict[str, int], texts: pa.Array) -> np.ndarray:
         words, codes, counts = coded_words(texts.slice(lo, hi - lo))
         words = words.to_pylist() or [""]
         proj = np.empty((len(words), 6 * HIDDEN), np.float32)
-        for at in range(0, len(words), 10_000):
-            proj[at : at + 10_000] = inputs(p, *features(words[at : at + 10_000], vocab)) @ p["wx"] + p["b"]
+        for at in range(0, len(words), 5_000):
+            proj[at : at + 5_000] = inputs(p, *features(words[at : at + 5_000], vocab)) @ p["wx"] + p["b"]
         flat = np.append(codes, 0)
         at, mask, text = layout(counts.tolist(), np.cumsum(counts) - counts)
         logit = np.concatenate([forward(p, proj, flat[at[:, i : i + 1024]], mask[:, i : i + 1024]) for i in range(0, at.shape[1], 1024)])
@@ -301,13 +304,27 @@ def held_out(id_col):
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MAX_TRAIN):
-    """Texts and labels of at most ``most`` labelled ids that are not held out."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MAX_TRAIN) -> DataFrame:
+    """(text, y) of at most ``most`` rows with labelled ids that are not held out, in one partition."""
     own = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     own = own.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.md5(F.col("id").cast("string")), "id").limit(most)
     # ``most`` rows at the most.
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.make_valid_utf8(F.col(text_col).cast("string")), F.lit("")).alias("text")).where(F.length("text") <= MAX_TRAIN_CHARS).join(F.broadcast(own), "id").orderBy(F.md5(F.col("id").cast("string")), "id", "text").limit(most).collect()
-    return [r["text"] for r in rows], [r["y"] for r in rows]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.make_valid_utf8(F.col(text_col).cast("string")), F.lit("")).alias("text")).where(F.length("text") <= MAX_TRAIN_CHARS).join(F.broadcast(own), "id")
+    return rows.orderBy(F.md5(F.col("id").cast("string")), "id", "text").limit(most).select("text", "y")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+    """(model, base rate) from the sample: one task trains, the driver gets the parameters, whose size is fixed."""
+
+    def run(batches):
+        texts, y = [], []
+        for b in batches:
+            texts += b.column(0).to_pylist()
+            y += b.column(1).to_pylist()
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps((train(texts, y), sum(y) / len(y) if y else 0.0))], pa.binary())})
+
+    made = sample(docs, labels, id_col, text_col).coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made["model"]) if made else (None, 0.0)
 
 
 def _scorer(model, docs: DataFrame, base_rate: float):
@@ -346,8 +363,8 @@ def keep(docs: DataFrame, model, text_col: str = "text", base_rate: float = 0.0,
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted) of every row of ``docs``."""
-    texts, y = sample(docs, labels, id_col, text_col)
-    out = score(docs, train(texts, y), id_col, text_col, float(np.mean(y)) if y else 0.0)
+    model, rate = fit(docs, labels, id_col, text_col)
+    out = score(docs, model, id_col, text_col, rate)
     return out.select("id", held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
