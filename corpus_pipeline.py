@@ -18,9 +18,8 @@ from orrery.llm.common import shared_dir, store, table, text_key, unused
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject; rows with a null id stay or go by their own score."""
-    texts, y = toxicity.sample(docs, table(spark, sf_dir, "labels"))
-    model = toxicity.train(texts, y)
-    return toxicity.keep(docs, model, base_rate=sum(y) / len(y) if y else 0.0)
+    model, rate = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.keep(docs, model, base_rate=rate)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
