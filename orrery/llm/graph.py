@@ -27,7 +27,6 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = store(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         big = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        big = store(big, "big")
         low = store(big.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = big.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v").union(low).distinct()
         e = store(small, "edges")

@@ -21,8 +21,6 @@ can't clash.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -95,12 +93,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return src.mapInArrow(run, "id long, fp long")
 
 
-def _keys(distance: int):
-    """The 64 one-wildcard segment variants of column fp, the wildcard's place in the high bits."""
+def _keys(distance: int, by: str | None = None):
+    """The 64 one-wildcard segment variants of column fp, the wildcard's place in the high bits, and above it the number in column ``by``."""
     out = []
     for at, n in segments(distance):
         seg = F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << n) - 1))
         out += [seg.bitwiseAND(F.lit(((1 << n) - 1) & ~(1 << i))).bitwiseOR(F.lit((at + i) << 32)) for i in range(n)]
+    if by:
+        out = [k.bitwiseOR(F.shiftleft(F.col(by).cast("long"), 40)) for k in out]
     return F.explode(F.array(*out)).alias("key")
 
 
@@ -108,19 +108,19 @@ def _near(a: str, b: str, most: int):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
 
 
-def bucket_neighbours(fps: DataFrame, distance: int, most: int) -> DataFrame:
-    """(u, v): fingerprints (fp, distinct) of a bucket that are neighbours in it, or one of them its smallest, at most ``most`` bits apart.
+def bucket_neighbours(fps: DataFrame, distance: int, most: int, by: str | None = None) -> DataFrame:
+    """(key, u, v): fingerprints (fp, distinct) of a bucket that are neighbours in it, or one of them its smallest, at most ``most`` bits apart.
 
     This joins large groups of near copies without their pairs.
     """
     w = Window.partitionBy("key").orderBy("fp")
-    near = fps.select(_keys(distance), "fp").select("fp", F.lag("fp").over(w).alias("prev"), F.first("fp").over(w).alias("first"))
-    near = near.select("fp", F.explode(F.array("prev", "first")).alias("other"))
-    return near.where(F.col("other").isNotNull() & (F.col("fp") != F.col("other")) & _near("fp", "other", most)).select(F.col("fp").alias("u"), F.col("other").alias("v"))
+    near = fps.select(_keys(distance, by), "fp").select("key", "fp", F.lag("fp").over(w).alias("prev"), F.first("fp").over(w).alias("first"))
+    near = near.select("key", "fp", F.explode(F.array("prev", "first")).alias("other"))
+    return near.where(F.col("other").isNotNull() & (F.col("fp") != F.col("other")) & _near("fp", "other", most)).select("key", F.col("fp").alias("u"), F.col("other").alias("v"))
 
 
-def bucket_pairs(labelled: DataFrame, distance: int, most: int) -> DataFrame:
-    """(fu, fv, u, v): all pairs of a bucket of (fp, label) whose labels u and v differ, at most ``most`` bits apart.
+def bucket_pairs(labelled: DataFrame, distance: int, most: int, by: str | None = None) -> DataFrame:
+    """(key, fu, fv, u, v): all pairs of a bucket of (fp, label) whose labels u and v differ, at most ``most`` bits apart.
 
     They are compared in the join's condition, so none within a group is
     emitted. A bucket of one label is left out, and one side leaves out the
@@ -128,10 +128,10 @@ def bucket_pairs(labelled: DataFrame, distance: int, most: int) -> DataFrame:
     twice.
     """
     whole = Window.partitionBy("key")
-    index = labelled.select(_keys(distance), "fp", "label").select("key", "fp", "label", F.min("label").over(whole).alias("lo"), F.max("label").over(whole).alias("hi")).where("lo <> hi")
+    index = labelled.select(_keys(distance, by), "fp", "label").select("key", "fp", "label", F.min("label").over(whole).alias("lo"), F.max("label").over(whole).alias("hi")).where("lo <> hi")
     a = index.where("label <> lo").select("key", F.col("fp").alias("fu"), F.col("label").alias("u"))
     b = index.select("key", F.col("fp").alias("fv"), F.col("label").alias("v"))
-    return a.join(b, (a.key == b.key) & (F.col("u") != F.col("v")) & _near("fu", "fv", most)).select("fu", "fv", "u", "v")
+    return a.join(b, (a.key == b.key) & (F.col("u") != F.col("v")) & _near("fu", "fv", most)).select(a.key, "fu", "fv", "u", "v")
 
 
 def link(fps: DataFrame, distance: int = 4) -> DataFrame:
@@ -140,7 +140,7 @@ def link(fps: DataFrame, distance: int = 4) -> DataFrame:
     First neighbours in a bucket are linked, then all pairs of a bucket whose
     groups still differ.
     """
-    first = store(components(bucket_neighbours(fps, distance, distance)), "groups")
+    first = store(components(bucket_neighbours(fps, distance, distance).select("u", "v")), "groups")
     labelled = fps.join(first, fps.fp == first.node, "left").select("fp", F.coalesce("root", "fp").alias("label"))
     second = store(components(bucket_pairs(labelled, distance, distance).select("u", "v")), "groups")
     return labelled.join(second, labelled.label == second.node, "left").select(F.col("fp").alias("node"), F.coalesce("root", "label").alias("root"))
@@ -189,40 +189,44 @@ def wide_print(hashes: np.ndarray) -> np.ndarray:
     out = np.zeros(PRINTS, np.uint64)
     for k in range(PRINTS if len(hashes) else 0):
         x = _mixed(hashes + np.uint64((k + 1) * FACTOR2 % (1 << 64)))
-        counts = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts = np.zeros(BITS, np.int64)
+        for at in range(0, len(x), 1 << 14):
+            counts += np.unpackbits(x[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         out[k] = np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0]
     return out
 
 
+def _describe(batches, size: int):
+    """Rows of ``described`` from whole texts (columns id, text, text_key)."""
+    for b in batches:
+        for lo, hi in text_slices(b.column(1), 1 << 20):
+            c = b.slice(lo, hi - lo)
+            words, codes, counts = split_words(pc.ascii_lower(c.column(1)))
+            known = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+            sets, prints = [], []
+            with np.errstate(over="ignore"):
+                for h in np.split(known[codes], np.cumsum(counts)[:-1]):
+                    sets.append(np.unique((rolling(h, size) >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+                    prints.append(wide_print(np.unique(rolling(h, PRINT_SIZE))))
+            n = np.fromiter(map(len, sets), np.int32, len(sets))
+            nodes = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets))
+            cols = [
+                c.column(0), c.column(2), pa.array(nodes.view(np.int64)), pa.array(n),
+                pa.ListArray.from_arrays(np.arange(0, PRINTS * len(sets) + 1, PRINTS, dtype=np.int32), np.concatenate(prints).view(np.int64)),
+                pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(n))).astype(np.int32), np.concatenate(sets)),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "text_key", "node", "n", "prints", "hashes"])
+
+
 def described(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """One row per row of ``docs``: id, text_key, node, n, prints, hashes.
 
     Hashes are 32 bits of each distinct shingle of ``size`` words; node stands
     for the set of them; prints is the SimHash of the distinct pairs of words.
     """
-
-    def run(batches):
-        for b in batches:
-            for lo, hi in text_slices(b.column(1), 2 << 20):
-                c = b.slice(lo, hi - lo)
-                words, codes, counts = split_words(pc.ascii_lower(c.column(1)))
-                known = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
-                sets, prints = [], []
-                with np.errstate(over="ignore"):
-                    for h in np.split(known[codes], np.cumsum(counts)[:-1]):
-                        sets.append(np.unique((rolling(h, size) >> np.uint64(32)).astype(np.uint32)).view(np.int32))
-                        prints.append(wide_print(np.unique(rolling(h, PRINT_SIZE))))
-                n = np.fromiter(map(len, sets), np.int32, len(sets))
-                nodes = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets))
-                cols = [
-                    c.column(0), c.column(2), pa.array(nodes.view(np.int64)), pa.array(n),
-                    pa.ListArray.from_arrays(np.arange(0, PRINTS * len(sets) + 1, PRINTS, dtype=np.int32), np.concatenate(prints).view(np.int64)),
-                    pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(n))).astype(np.int32), np.concatenate(sets)),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "text_key", "node", "n", "prints", "hashes"])
-
     text = F.make_valid_utf8(F.col(text_col).cast("string"))
-    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), text_key(F.col(text_col).cast("string")).alias("text_key")).mapInArrow(run, "id long, text_key long, node long, n int, prints array<long>, hashes array<int>")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), text_key(F.col(text_col).cast("string")).alias("text_key"))
+    return src.mapInArrow(lambda it: _describe(it, size), "id long, text_key long, node long, n int, prints array<long>, hashes array<int>")
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, bound: float) -> DataFrame:
@@ -256,22 +260,24 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = store(described(docs, id_col, text_col, size), "shingles")
     nodes = store(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("prints").alias("prints")), "nodes")
-    # Per word of the print: its values, each with the least of its nodes.
-    values = [store(nodes.groupBy(F.get("prints", F.lit(k)).alias("fp")).agg(F.min("node").alias("node")), "values") for k in range(PRINTS)]
-    found = []
-    for k, own in enumerate(values):
-        shared = nodes.select("node", F.get("prints", F.lit(k)).alias("fp")).join(own.withColumnRenamed("node", "v"), "fp").where("node <> v").select(F.col("node").alias("u"), "v")
-        a, b = (own.select(F.col("fp").alias(x), F.col("node").alias(y)) for x, y in (("u", "nu"), ("v", "nv")))
-        near = bucket_neighbours(own.select("fp"), KEYED, WORD_BITS).distinct().join(a, "u").join(b, "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"))
-        found.append(store(near.union(shared).distinct(), "neighbours"))
-    first = store(alike(reduce(DataFrame.union, found), nodes, rows, bound), "links")
+    # The values of each word of the print, with the least of their nodes.
+    prints = nodes.select("node", F.posexplode("prints").alias("word", "fp"))
+    values = store(prints.groupBy("word", "fp").agg(F.min("node").alias("node")), "values")
+    ends = lambda u, v: (values.select(F.col("word").alias(f"word_{x}"), F.col("fp").alias(x), F.col("node").alias(y)) for x, y in ((u, "nu"), (v, "nv")))
+
+    def met(found: DataFrame, u: str, v: str) -> DataFrame:
+        """Pairs of values in columns u and v as pairs of their nodes."""
+        a, b = ends(u, v)
+        found = found.select(F.shiftright("key", 40).cast("int").alias("w"), u, v).distinct()
+        return found.join(a, (F.col("w") == a["word_" + u]) & (found[u] == a[u])).drop(a[u]).join(b, (F.col("w") == b["word_" + v]) & (found[v] == b[v])).select(F.col("nu").alias("u"), F.col("nv").alias("v"))
+
+    shared = prints.join(values.withColumnRenamed("node", "v"), ["word", "fp"]).where("node <> v").select(F.col("node").alias("u"), "v")
+    near = store(met(bucket_neighbours(values, KEYED, WORD_BITS, "word"), "u", "v").union(shared), "neighbours")
+    first = store(alike(near, nodes, rows, bound), "links")
     roots = store(components(first), "groups")
-    found = []
-    for own in values:
-        labelled = own.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("label"))
-        a, b = (own.select(F.col("fp").alias(x), F.col("node").alias(y)) for x, y in (("fu", "u"), ("fv", "v")))
-        found.append(store(bucket_pairs(labelled, KEYED, WORD_BITS).select("fu", "fv").distinct().join(a, "fu").join(b, "fv").select("u", "v"), "across"))
-    second = alike(reduce(DataFrame.union, found), nodes, rows, bound)
+    labelled = store(values.join(roots, "node", "left").select("word", "fp", F.coalesce("root", "node").alias("label")), "labelled")
+    across = store(met(bucket_pairs(labelled, KEYED, WORD_BITS, "word"), "fu", "fv"), "across")
+    second = alike(across, nodes, rows, bound)
     roots = store(components(store(second.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), "links")), "groups")
     return rows.select("id", "text_key", "node").join(smallest_ids(rows, "node", roots), "node").select("id", "text_key", "component_id")
 
