@@ -158,10 +158,21 @@ def running_total(df: DataFrame, group: list[str], bucket: str, order: list, val
     """
     totals = df.groupBy(*group, bucket).agg(F.sum(value).alias("__t"))
     before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*group, bucket, F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__base"))
+    # Stored, so that Spark can split a bucket of very many rows when it meets its total.
+    totals = store(totals.select(*group, bucket, F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__base")), "totals")
     inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         df.join(totals, [*group, bucket])
         .withColumn(out, F.col("__base") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .drop("__base")
     )
+
+
+def last_before(df: DataFrame, group: list[str], bucket: str, order: list, value: str, out: str) -> DataFrame:
+    """Add ``out``: the last value that isn't null in earlier rows of the group, in the order (bucket, order); buckets as in running_total."""
+    inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ends = df.where(F.col(value).isNotNull()).groupBy(*group, bucket).agg(F.max_by(value, F.struct(*order)).alias("__last"))
+    every = df.select(*group, bucket).distinct().join(ends, [*group, bucket], "left")
+    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    carried = store(every.select(*group, bucket, F.last("__last", ignorenulls=True).over(before).alias("__carried")), "carried")
+    return df.join(carried, [*group, bucket]).withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(inside), "__carried")).drop("__carried")

@@ -121,6 +121,51 @@ def test_toolcalls(spark):
     assert toolcalls.link(calls.limit(0), results.limit(0), schemas).count() == 0
 
 
+def test_toolcalls_survive_odd_json_and_schemas(spark):
+    schemas = {"t": {"type": "object", "properties": {"a": {"type": ["string", "null"], "pattern": "^x"}, "n": {"type": "integer"}, "c": {"const": 1}, "o": {"anyOf": [{"type": "array", "items": {"type": "boolean"}}, {"enum": [True]}]}}}}
+    given = ['{"a": "\\ud800"}', '{"a": null, "n": 1.0, "c": 1, "o": [true]}', '{"a": "y", "n": 1.5, "c": true, "o": [1]}', '{"n": 1e999}', '{"n": NaN}', "[" * 5000, "null", "", '{"a": "' + "x" * 300_000 + '"}', '{"\\udc00": {"b": 1}}']
+    calls = spark.createDataFrame([("c", i, f"k{i}", "t", a, None) for i, a in enumerate(given)], "conv_id string, turn long, call_id string, name string, arguments string, depends_on array<string>")
+    calls = calls.unionByName(calls.limit(3))
+    results = spark.createDataFrame([], "conv_id string, turn long, call_id string, content string")
+    rows = toolcalls.link(calls, results, schemas).collect()
+    got = {r["turn"]: r for r in rows if r["status"] == "pending"}
+    assert len(rows) == 13 and len(got) == 10 and sum(r["status"] == "duplicate" for r in rows) == 3
+    assert [got[i]["valid"] for i in range(10)] == [False, True, False, False, False, False, False, False, True, True]
+    assert got[0]["canonical"].startswith('{"arguments":{"a":"\\ud800"}') and got[3]["canonical"].startswith('{"arguments":null')
+    assert got[2]["problems"] == "$.a: not of the pattern; $.c: not one of the values; $.n: not integer; $.o: none of the forms"
+    with pytest.raises(ValueError, match="patternProperties"):
+        toolcalls.link(calls, results, {"t": {"properties": {"x": {"patternProperties": {}}}}})
+
+
+@pytest.mark.parametrize("most", [3, 100_000])
+def test_order_is_the_longest_chain(spark, most):
+    g = random.Random(7)
+    rows = []
+    for conv in range(12):
+        n = g.randrange(1, 9)
+        rows += [(conv, g.randrange(20), f"k{i}", [f"k{g.randrange(n + 1)}" for _ in range(g.randrange(3))]) for i in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, call_id string, depends_on array<string>")
+    want = {}
+    for conv in range(12):
+        own = {k: (t, d) for c, t, k, d in rows if c == conv}
+
+        def depth(k, seen=()):
+            if k in seen:
+                return None
+            below = [depth(d, (*seen, k)) for d in own[k][1] if d in own]
+            return None if None in below else max((x + 1 for x in below), default=0)
+
+        plain = all(own[d][0] < t for t, ds in own.values() for d in ds if d in own)
+        want |= {(conv, k): 0 if plain else depth(k) for k in own}
+    assert {(r["conv_id"], r["call_id"]): r["round"] for r in toolcalls.order(df, most).collect()} == want
+
+
+def test_long_chains_are_ordered_in_one_pass(spark):
+    n = 1000
+    df = spark.createDataFrame([(1, -i, f"k{i}", [f"k{i - 1}"]) for i in range(n)], "conv_id long, turn long, call_id string, depends_on array<string>")
+    assert {r["call_id"]: r["round"] for r in toolcalls.order(df).collect()} == {f"k{i}": i for i in range(n)}
+
+
 # -- 3 ------------------------------------------------------------------
 
 def plain_simhash(t, n=4):
