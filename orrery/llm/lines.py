@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_small, store, table, text_key, unused
+from .common import store, table, text_key, unused
 
 TRIM = "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$"
 LAST = (1 << 63) - 1
@@ -51,9 +51,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     w = store(windows(docs, id_col, text_col, size), "windows")
     # Stored, so that a common window's rows can be split when they meet its one row.
     first = store(w.groupBy("a", "b").agg(F.min(F.struct("id", "first")).alias("kept"), F.count("*").alias("n")).where("n > 1").select("a", "b", "kept"), "first")
-    later = w.join(broadcast_small(first, 64), ["a", "b"]).where(F.struct("id", "first") > F.col("kept"))
-    gone = store(later.select("id", "text_key", F.explode("lines").alias("at")).groupBy("id", "text_key").agg(F.collect_set("at").alias("gone")), "gone")
-    return broadcast_small(gone, 40 + 4 * (gone.agg(F.max(F.size("gone"))).first()[0] or 0))
+    later = w.join(first, ["a", "b"]).where(F.struct("id", "first") > F.col("kept"))
+    return store(later.select("id", "text_key", F.explode("lines").alias("at")).groupBy("id", "text_key").agg(F.collect_set("at").alias("gone")), "gone")
 
 
 def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:

@@ -42,8 +42,6 @@ LAST = (1 << 63) - 1
 RUN_CELLS, WINDOW_CELLS = 3, 8
 #: Text of which a partition of the exchange takes the hashes.
 TEXT_EACH = 64 << 20
-#: Bytes of places up to which they are broadcast.
-MAX_BROADCAST = 32 << 20
 #: Kinds of packed rows, in the order in which a task wants them.
 BLOCKS, ASKED, SETTLED = 0, 1, 2
 PACKED = "part int, kind int, n int, hashes binary, ids binary, places binary"
@@ -241,10 +239,8 @@ def _later(batches):
 
 
 def _gathered(places: DataFrame, name: str) -> DataFrame:
-    """(id, text_key, ``name``): the places of each text in one array; stored, and broadcast where it is small."""
-    found = store(store(places, "places").groupBy("id", "text_key").agg(F.collect_set("place").alias(name)), name)
-    size = found.agg(F.count("*"), F.sum(F.size(name))).first()
-    return F.broadcast(found) if size[0] * 40 + (size[1] or 0) * 4 <= MAX_BROADCAST else found
+    """(id, text_key, ``name``): the places of each text in one array; stored, so that a join with the texts can be split."""
+    return store(store(places, "places").groupBy("id", "text_key").agg(F.collect_set("place").alias(name)), name)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 7) -> DataFrame:
