@@ -30,16 +30,27 @@ class DateParser:
 
     @classmethod
     def fit(cls, df: DataFrame, col: str) -> "DateParser":
-        """One aggregate over the column; nulls count against every format.
+        return cls.fit_all(df, [col])[col]
+
+    @classmethod
+    def fit_all(cls, df: DataFrame, cols: list[str]) -> dict[str, "DateParser"]:
+        """One aggregate over all the columns; nulls count against every format.
 
         The first format that parses over half the values wins. Without one,
         numbers of a mean above 30000 are serial days; failing that, years
         are read though few parse.
         """
-        c = F.col(col).cast("string")
-        number = F.try_to_number(c, F.lit("9999999"))
-        shares = [F.avg(_parsed(c, f).isNotNull().cast("int")).alias(f"f{i}") for i, f in enumerate(FORMATS)]
-        got = df.agg(*shares, F.avg(number).alias("mean"), F.avg(number.isNotNull().cast("int")).alias("numbers")).first()
+        asked = []
+        for k, col in enumerate(cols):
+            c = F.col(col).cast("string")
+            number = F.try_to_number(c, F.lit("9999999"))
+            shares = [F.avg(_parsed(c, f).isNotNull().cast("int")).alias(f"f{i}") for i, f in enumerate(FORMATS)]
+            asked += [x.alias(f"c{k}_{name}") for x, name in zip([*shares, F.avg(number), F.avg(number.isNotNull().cast("int"))], [*(f"f{i}" for i in range(len(FORMATS))), "mean", "numbers"])]
+        got = df.agg(*asked).first().asDict()
+        return {col: cls._chosen({k.removeprefix(f"c{i}_"): v for k, v in got.items() if k.startswith(f"c{i}_")}) for i, col in enumerate(cols)}
+
+    @classmethod
+    def _chosen(cls, got: dict) -> "DateParser":
         for i, f in enumerate(FORMATS):
             if (got[f"f{i}"] or 0) > 0.5:
                 return cls(f, got[f"f{i}"])

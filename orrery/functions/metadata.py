@@ -27,7 +27,7 @@ def _set(c: Column) -> Column:
 
 def ipc_codes(c: Column, delimiter: str = ";") -> Column:
     """Normalised codes in order, repeats kept: the full code without spaces, else the subclass; other parts are dropped."""
-    text = F.regexp_replace(nfkc_lower(F.coalesce(c, F.lit(""))), BRACKETED, "")
+    text = F.regexp_replace(nfkc_lower(F.coalesce(c, F.lit(""))), BRACKETED, " ")
 
     def code(p):
         full = F.concat(F.regexp_extract(p, FULL_CODE, 1), F.regexp_extract(p, FULL_CODE, 2))

@@ -91,7 +91,23 @@ def tokens(c: Column) -> Column:
 
 
 def percent(c: Column) -> Column:
-    return F.coalesce(F.format_string("%.1f%%", c * 100), F.lit("N/A"))
+    return F.when(c.isNotNull(), F.format_string("%.1f%%", c * 100)).otherwise("N/A")
+
+
+def stamp(c: Column) -> Column:
+    """Date and time of a saved record."""
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+def long_date(c: Column) -> Column:
+    """Date of a report's title page."""
+    return F.date_format(c, "MMMM dd, yyyy")
+
+
+def listed_names(c: Column) -> Column:
+    """Names of an array in one string, without missing ones; null without an array."""
+    kept = F.filter(c, lambda x: x.isNotNull() & (x != "") & (F.lower(x) != "nan"))
+    return F.array_join(F.transform(kept, trim_unicode), ", ")
 
 
 def full_width(c: Column) -> Column:

@@ -19,23 +19,32 @@ def trends(counts: DataFrame, *by: str) -> DataFrame:
     """(by..., cagr, slope, trend) from yearly counts.
 
     The slope is the regression of count on year over all years; growth
-    compares the last year with the first. Under two years both are 0 and the
-    trend is "stable".
+    compares the last year with the first. With one year both are 0 and the
+    trend is "stable"; without any all three are null.
     """
     span = F.greatest(F.lit(1), F.max("year") - F.min("year"))
     first, last = F.min_by("n", "year"), F.max_by("n", "year")
     a = counts.groupBy(*by).agg(F.count("*").alias("years"), F.regr_slope("n", "year").alias("s"), (F.pow(last / F.when(first > 0, first).otherwise(1), 1.0 / span) - 1).alias("g"))
     many = F.col("years") >= 2
-    s = F.when(many, F.col("s")).otherwise(0.0)
-    label = F.when(~many, "stable").when(s > SURGE, "surge").when(s > 0, "up").when(s > STALL, "down").otherwise("stall")
-    return a.select(*by, F.when(many, F.col("g")).otherwise(0.0).alias("cagr"), s.alias("slope"), label.alias("trend"))
+    s = F.when(many, F.col("s")).when(F.col("years") == 1, 0.0)
+    one = F.col("years") == 1
+    label = F.when(one, "stable").when(s > SURGE, "surge").when(s > 0, "up").when(s > STALL, "down").when(many, "stall")
+    return a.select(*by, F.when(many, F.col("g")).when(one, 0.0).alias("cagr"), s.alias("slope"), label.alias("trend"))
 
 
 def concentration(df: DataFrame, party: str, *by: str) -> DataFrame:
-    """(by..., hhi, hhi_status): sum of squared shares of the parties' counts."""
+    """(by..., hhi, hhi_status): sum of squared shares of the parties' counts; 0 and "no data" where there is none."""
     counts = df.groupBy(*by, party).agg(F.count("*").alias("n"))
     h = counts.groupBy(*by).agg((F.sum(F.col("n") * F.col("n")) / F.pow(F.sum("n"), F.lit(2))).alias("hhi"))
-    return h.withColumn("hhi_status", F.when(F.col("hhi") < COMPETITIVE, "competitive").when(F.col("hhi") < MODERATE, "moderate").otherwise("concentrated"))
+    none = F.col("hhi").isNull()
+    return h.select(*by, F.coalesce("hhi", F.lit(0.0)).alias("hhi"), F.when(none, "no data").when(F.col("hhi") < COMPETITIVE, "competitive").when(F.col("hhi") < MODERATE, "moderate").otherwise("concentrated").alias("hhi_status"))
+
+
+def with_empty_years(counts: DataFrame, *by: str) -> DataFrame:
+    """(by..., year, n): the counts, and 0 for the years of a group between its first and last that have none."""
+    span = counts.groupBy(*by).agg(F.sequence(F.min("year"), F.max("year")).alias("years"), F.map_from_entries(F.collect_list(F.struct("year", "n"))).alias("found"))
+    # A group's rows are its years: few.
+    return span.select(*by, F.explode("years").alias("year"), "found").select(*by, "year", F.coalesce(F.try_element_at("found", F.col("year")), F.lit(0)).alias("n"))
 
 
 def count_values(df: DataFrame, values: str, *by: str) -> DataFrame:

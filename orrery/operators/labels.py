@@ -33,6 +33,22 @@ def apply(df: DataFrame, cluster: str, labels: DataFrame) -> DataFrame:
     return df.join(text, cluster, "left")
 
 
+def merged(current: DataFrame, pasted: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(cluster_id, label, change): the current labels with the pasted ones put in as "[id] text".
+
+    A pasted label counts if its cluster is among the current labels or the
+    clusters (cluster_id); of several for one cluster the greatest does.
+    Change is "kept", "updated" or "added"; the last two are the count of
+    labels set.
+    """
+    known = current.select("cluster_id").union(clusters.select("cluster_id")).distinct()
+    new = pasted.join(known, "cluster_id", "left_semi").groupBy("cluster_id").agg(F.max("label").alias("new"))
+    text = F.concat(F.lit("["), F.col("cluster_id").cast("string"), F.lit("] "), "new")
+    both = current.groupBy("cluster_id").agg(F.max("label").alias("old"), F.lit(True).alias("had")).join(new, "cluster_id", "full")
+    change = F.when(F.col("new").isNull(), "kept").when(F.col("had"), "updated").otherwise("added")
+    return both.select("cluster_id", F.coalesce(text, "old").alias("label"), change.alias("change"))
+
+
 def editable(labels: DataFrame) -> DataFrame:
     """Labels for an editor: ids ascending with noise last; placeholders are left out."""
     return labels.where(F.col("label") != PLACEHOLDER).orderBy(F.col("cluster_id") == NOISE, "cluster_id")

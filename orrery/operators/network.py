@@ -28,6 +28,19 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"), F.sum("n").alias("weighted"))
 
 
+def clustering(edges: DataFrame) -> DataFrame:
+    """(node, degree, triangles, coefficient): the share of a node's pairs of neighbours that are linked; 0 under two neighbours.
+
+    Each triangle is found once, from its least node, by two joins.
+    """
+    ab, bc, ac = (edges.select(F.col("a").alias(x), F.col("b").alias(y)) for x, y in ("ab", "bc", "ac"))
+    corners = ab.join(bc, "b").join(ac, ["a", "c"]).select(F.explode(F.array("a", "b", "c")).alias("node"))
+    found = corners.groupBy("node").agg(F.count("*").alias("triangles"))
+    d = degrees(edges).select("node", "degree").join(found, "node", "left").withColumn("triangles", F.coalesce("triangles", F.lit(0)))
+    pairs = F.col("degree") * (F.col("degree") - 1) / 2
+    return d.select("node", "degree", "triangles", F.when(pairs > 0, F.round(F.col("triangles") / pairs, 6)).otherwise(0.0).alias("coefficient"))
+
+
 def strong(edges: DataFrame, times: float) -> DataFrame:
     """Edges of at least ``times`` the mean count."""
     return edges.join(F.broadcast(edges.agg(F.avg("n").alias("mean"))), F.col("n") >= F.col("mean") * times).drop("mean")  # one row

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bold_markup
+from ..functions.ordering import numbered
+from ..functions.text import bold_markup, trim_unicode
 
 # The marks that report lines are read by.
 RULE = "^[-*_]{3,}$"
 EVIDENCE = "(?i)\\[\\[Evidence (\\d+)\\]\\]"
 AROUND = "[、, \\t]+"
-EDGE = "^\\s+|\\s+$"
+BULLET = "• "
 
 
 def kind_of(line: Column) -> Column:
@@ -28,11 +29,14 @@ def blocks(df: DataFrame, key: str, text: str) -> DataFrame:
 
     Headings of the first two levels start a page unless they are the first line.
     """
-    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "raw")).withColumn("line", F.regexp_replace("raw", EDGE, ""))
+    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "raw")).withColumn("line", trim_unicode(F.col("raw")))
     kind = kind_of(F.col("line"))
     mark = F.length(F.regexp_extract("line", "^(#{1,4} |[-*] )", 1))
-    body = F.when(kind.isin("heading1", "heading2", "heading3", "strong", "bullet"), F.substring("line", mark + 1, F.length("line"))).when(kind.isin("rule", "spacer"), "").otherwise(F.col("line"))
-    out = lines.select(key, "line_no", kind.alias("kind"), bold_markup(body).alias("content"))
+    marked = trim_unicode(F.substring("line", mark + 1, F.length("line")))
+    body = F.when(kind.isin("heading1", "heading2", "heading3", "strong", "bullet"), marked).when(kind.isin("rule", "spacer"), "").otherwise(F.col("line"))
+    body = bold_markup(body)
+    body = F.when(kind == "strong", F.concat(F.lit("<b>"), body, F.lit("</b>"))).when(kind == "bullet", F.concat(F.lit(BULLET), body)).otherwise(body)
+    out = lines.select(key, "line_no", kind.alias("kind"), body.alias("content"))
     return out.withColumn("page_break", F.col("kind").isin("heading1", "heading2") & (F.col("line_no") > 0))
 
 
@@ -46,14 +50,29 @@ def evidence_refs(df: DataFrame, key: str, text: str, evidence: DataFrame) -> Da
 
 
 def text_parts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, part_no, content): the text between evidence marks, without separators next to them."""
-    parts = df.select(key, F.split(text, EVIDENCE, -1).alias("p")).select(key, F.size("p").alias("n"), F.posexplode("p").alias("part_no", "t"))
+    """(key, line_no, part_no, content): the text around evidence marks in the lines that have any, without separators next to them.
+
+    Lines are split and trimmed first; parts that are blank are left out.
+    """
+    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "raw")).where(F.col("raw").rlike(EVIDENCE))
+    parts = lines.select(key, "line_no", F.split(trim_unicode(F.col("raw")), EVIDENCE, -1).alias("p"))
+    parts = parts.select(key, "line_no", F.size("p").alias("n"), F.posexplode("p").alias("part_no", "t"))
     right = F.when(F.col("part_no") < F.col("n") - 1, F.regexp_replace("t", AROUND + "$", "")).otherwise(F.col("t"))
     both = F.when(F.col("part_no") > 0, F.regexp_replace(right, "^" + AROUND, "")).otherwise(right)
-    return parts.select(key, "part_no", both.alias("content"))
+    return parts.select(key, "line_no", "part_no", bold_markup(both).alias("content")).where(trim_unicode(F.col("content")) != "")
 
 
 def append_new(log: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """The log with the snapshots whose id it doesn't have, numbered on by id."""
+    """The log (ordinal, id, ...) with the snapshots whose id it doesn't have, all their fields, numbered on in the order of their ids.
+
+    The same snapshots offered again change nothing.
+    """
     fresh = snapshots.join(log.select("id"), "id", "left_anti").dropDuplicates(["id"])
-    return log.select("id", "title").unionByName(fresh.select("id", "title"))
+    last = log.agg(F.coalesce(F.max("ordinal"), F.lit(0)).alias("last"))  # one row
+    fresh = numbered(fresh, "id", "ordinal").join(F.broadcast(last)).withColumn("ordinal", F.col("ordinal") + F.col("last")).drop("last")
+    return log.unionByName(fresh, allowMissingColumns=True)
+
+
+def evidence_name(ordinal: Column) -> Column:
+    """File name of a piece of evidence, as reports refer to it."""
+    return F.concat(F.lit("Evidence "), ordinal.cast("string"), F.lit(".png"))

@@ -10,18 +10,26 @@ from pyspark.sql import functions as F
 #: Roles that must be bound before analysis.
 REQUIRED = ("title", "abstract", "claim", "app_num", "date", "applicant", "ipc")
 OPTIONAL = ("inventor", "fterm", "status")
-#: Keywords by priority, ours; projects may pass their own.
+# Header keywords of each role, by priority.
 KEYWORDS = {
-    "title": ("title", "name", "発明の名称"), "abstract": ("abstract", "summary", "要約"), "claim": ("claim", "請求"), "app_num": ("app_num", "application number", "出願番号"),
-    "date": ("date", "filing date", "出願日"), "applicant": ("applicant", "assignee", "出願人"), "ipc": ("ipc", "class"), "inventor": ("inventor", "発明者"), "fterm": ("fterm", "theme"), "status": ("status", "legal"),
+    "title": ("発明の名称", "名称", "Title", "Title of Invention"),
+    "abstract": ("要約", "要約(抄録)", "Abstract"),
+    "claim": ("請求項", "Claim"),
+    "app_num": ("出願番号", "Application Number", "App No"),
+    "date": ("出願日", "出願日（遡及）", "Date", "Filing"),
+    "applicant": ("出願人", "Applicant", "Assignee"),
+    "ipc": ("国際特許分類", "国際特許分類(IPC)", "IPC", "Int. Cl"),
+    "inventor": ("発明者", "Inventor"),
+    "fterm": ("Fターム", "テーマコード", "F-Term"),
+    "status": ("ステータス", "Status", "Legal Status", "法的状態"),
 }
 
 
 def match_column(current: str | None, options: list, keywords) -> int:
-    """Place of the column for a role: the current one if it is there, else the first keyword's exact and then partial match; 0 for none."""
+    """Place of the column for a role: the current one if it is there, else the first keyword's exact and then partial match, at last without regard to case; 0 for none."""
     if current is not None and current in options:
         return options.index(current)
-    for fits in (lambda k, c: c == k, lambda k, c: k in c):
+    for fits in (lambda k, c: c == k, lambda k, c: k in c, lambda k, c: k.lower() in c.lower()):
         for k in keywords:
             for i, c in enumerate(options):
                 if c is not None and fits(k, c):

@@ -43,6 +43,27 @@ def edit(current: DataFrame, matches: DataFrame, edited: DataFrame) -> DataFrame
     return mark(kept, "kept").union(mark(added, "added")).union(mark(removed.intersect(current.select("word")), "removed"))
 
 
+def counts(edited: DataFrame) -> DataFrame:
+    """(added, removed, total): one row of counts for an edit."""
+    n = lambda cond: F.count(F.when(cond, 1))
+    return edited.agg(n(F.col("change") == "added").alias("added"), n(F.col("change") == "removed").alias("removed"), n(F.col("change") != "removed").alias("total"))
+
+
+def replace(current: DataFrame, edited: DataFrame) -> DataFrame:
+    """(word, change): the whole list replaced by the edited one."""
+    return edit(current, current, edited)
+
+
+def imported(current: DataFrame, lines: DataFrame) -> DataFrame:
+    """(word, change): the list with the words of a file's lines (column value) put in; none goes."""
+    return edit(current, current.limit(0), from_lines(lines).join(current, "word", "left_anti"))
+
+
+def reset(current: DataFrame) -> DataFrame:
+    """(word, change): back to the default list."""
+    return replace(current, defaults(current.sparkSession))
+
+
 def from_lines(lines: DataFrame) -> DataFrame:
     """Trimmed, distinct words of a text file's lines (column value)."""
     return lines.select(trim_unicode(F.col("value")).alias("word")).where("word <> ''").distinct()

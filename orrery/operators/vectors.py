@@ -37,6 +37,23 @@ def nearest_in_plane(df: DataFrame, by: str, key: str, x: str, y: str, top: int
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
+def drill_down(df: DataFrame, key: str, vector: str, clusters: int, seed: int = 7) -> DataFrame:
+    """(key, drill_x, drill_y, drill_cluster): the rows projected anew on their two main axes and clustered again.
+
+    For the rows of one cluster, of one player or of one field: what was
+    alike in the whole map is told apart here.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
+    placed = PCA(k=2, inputCol="v", outputCol="p").fit(rows).transform(rows)
+    placed = KMeans(k=clusters, seed=seed, featuresCol="v", predictionCol="drill_cluster").fit(rows).transform(placed)
+    p = vector_to_array("p")
+    return placed.select(key, F.round(p[0], 6).alias("drill_x"), F.round(p[1], 6).alias("drill_y"), "drill_cluster")
+
+
 #: Coordinate columns by priority.
 COORDINATES = (("umap_x", "umap_y"), ("drill_x", "drill_y"), ("x", "y"))
 

@@ -12,13 +12,13 @@ from .catalog import query, table
 
 SPLIT = "list_filter(list_transform(string_split({x}, ';'), lambda p: trim(p)), lambda p: p <> '')"
 # Code strings of each part, such as "B01A 12/345; b02c(x);Brand#12".
-CODES = "'H' || lpad((p_size % 60)::VARCHAR, 2, '0') || 'M ' || p_partkey % 100 || '/' || lpad((p_partkey % 90 + 10)::VARCHAR, 2, '0') || '(2010.01); g' || lpad((p_size % 100)::VARCHAR, 2, '0') || 'f ;' || p_brand || '/' || p_type || ';; ' || p_brand"
+CODES = "'H' || lpad((p_size % 60)::VARCHAR, 2, '0') || 'M ' || p_partkey % 100 || '/' || lpad((p_partkey % 90 + 10)::VARCHAR, 2, '0') || '(2010.01); g' || lpad((p_size % 100)::VARCHAR, 2, '0') || 'f ;' || p_brand || '/' || p_type || ';; ' || p_brand || ';G06F1(x)/10 ; G06F1 (x) 7/10'"
 
 
 def parts_with_codes(spark, sf_dir):
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     number = (F.col("p_partkey") % 90 + 10).cast("string")
-    codes = F.concat(F.lit("H"), two(F.col("p_size") % 60), F.lit("M "), (F.col("p_partkey") % 100).cast("string"), F.lit("/"), number, F.lit("(2010.01); g"), two(F.col("p_size") % 100), F.lit("f ;"), "p_brand", F.lit("/"), "p_type", F.lit(";; "), "p_brand")
+    codes = F.concat(F.lit("H"), two(F.col("p_size") % 60), F.lit("M "), (F.col("p_partkey") % 100).cast("string"), F.lit("/"), number, F.lit("(2010.01); g"), two(F.col("p_size") % 100), F.lit("f ;"), "p_brand", F.lit("/"), "p_type", F.lit(";; "), "p_brand", F.lit(";G06F1(x)/10 ; G06F1 (x) 7/10"))
     return table(spark, sf_dir, "part").select("p_partkey", codes.alias("codes"))
 
 
@@ -28,7 +28,7 @@ def ipc_main_group(spark, sf_dir):
     return parts_with_codes(spark, sf_dir).select("p_partkey", F.array_join(metadata.ipc_main_groups(F.col("codes")), "|").alias("groups"))
 
 
-@query("ipc_normalize", rf"""WITH c AS (SELECT p_partkey, unnest(string_split(regexp_replace(lower({CODES}), '\([^)]*\)', '', 'g'), ';')) AS p, generate_subscripts(string_split({CODES}, ';'), 1) AS i FROM part),
+@query("ipc_normalize", rf"""WITH c AS (SELECT p_partkey, unnest(string_split(regexp_replace(lower({CODES}), '\([^)]*\)', ' ', 'g'), ';')) AS p, generate_subscripts(string_split({CODES}, ';'), 1) AS i FROM part),
 k AS (SELECT p_partkey, i, CASE WHEN regexp_matches(p, '[a-z]\d\d[a-z]\s*\d{{1,4}}/\d\d+') THEN regexp_extract(p, '([a-z]\d\d[a-z])\s*(\d{{1,4}}/\d\d+)', 1) || regexp_extract(p, '([a-z]\d\d[a-z])\s*(\d{{1,4}}/\d\d+)', 2)
   WHEN regexp_matches(p, '\b[a-z]\d\d[a-z]\b') THEN regexp_extract(p, '\b([a-z]\d\d[a-z])\b', 1) END AS code FROM c)
 SELECT p_partkey, coalesce(string_agg(code, '|' ORDER BY i), '') AS codes FROM k GROUP BY 1""")
@@ -73,7 +73,7 @@ def date_vote(spark, sf_dir):
     """Three renderings of the order date, each read back by its column's vote."""
     o = table(spark, sf_dir, "orders")
     o = o.select("o_orderkey", F.date_format("o_orderdate", "yyyyMMdd").alias("a"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1899-12-30").cast("date")).cast("string").alias("b"), F.date_format("o_orderdate", "yyyy").alias("c"))
-    fits = {c: DateParser.fit(o, c) for c in "abc"}
+    fits = DateParser.fit_all(o, list("abc"))
     return o.select("o_orderkey", *[F.lit(p.format).alias(f"{c}_format") for c, p in fits.items()], *[p.transform(F.col(c)).alias(c) for c, p in fits.items()])
 
 
@@ -105,6 +105,25 @@ def stopword_edit(spark, sf_dir):
     return stopwords.edit(w, m, e)
 
 
+EDIT_COUNTS = f"""WITH w AS ({PART_WORDS}), i AS (SELECT DISTINCT trim(n_name) AS word FROM nation UNION SELECT word FROM w WHERE contains(word, 'e'))"""
+
+
+@query("stopword_import", f"""{EDIT_COUNTS} SELECT word, 'kept' AS change FROM w UNION ALL SELECT word, 'added' FROM i WHERE word NOT IN (SELECT word FROM w)""")
+def stopword_import(spark, sf_dir):
+    """A file of nations' names, and of words that the list has, put into the list."""
+    w = part_words(spark, sf_dir)
+    lines = table(spark, sf_dir, "nation").select(F.concat(F.lit(" "), "n_name", F.lit(" ")).alias("value")).union(w.where(F.contains("word", F.lit("e"))))
+    return stopwords.imported(w, lines)
+
+
+@query("stopword_replace", f"""{EDIT_COUNTS} SELECT (SELECT count(*) FROM i WHERE word NOT IN (SELECT word FROM w)) AS added, (SELECT count(*) FROM w WHERE word NOT IN (SELECT word FROM i)) AS removed, (SELECT count(*) FROM i) AS total""")
+def stopword_replace(spark, sf_dir):
+    """The counts of words added, removed and kept where another list takes the list's place."""
+    w = part_words(spark, sf_dir)
+    other = table(spark, sf_dir, "nation").select(F.col("n_name").alias("word")).union(w.where(F.contains("word", F.lit("e")))).distinct()
+    return stopwords.counts(stopwords.replace(w, other))
+
+
 @query("schema_match", """WITH k(role, keyword, kw_pos) AS (VALUES ('name', 'c_name', 0), ('name', 'name', 1), ('segment', 'segment', 0), ('balance', 'bal', 0), ('none', 'zz', 0)),
 c AS (SELECT column_name AS col, column_index AS col_pos FROM duckdb_columns() WHERE table_name = 'customer' OR table_name = 'nation'), u AS (SELECT DISTINCT col, min(col_pos) AS col_pos FROM c GROUP BY col),
 r AS (SELECT role, col, row_number() OVER (PARTITION BY role ORDER BY (col <> keyword), kw_pos, col_pos, col) AS nth FROM u JOIN k ON contains(col, keyword))

@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import growth, labels, network, search, tfidf, vectors
+from ..operators import growth, labels, network, prompts, search, summary, tfidf, vectors
 from .catalog import query, table
 from .texts import TFIDF, TOKENS
 
@@ -79,6 +79,49 @@ def cluster_prompt_rows(spark, sf_dir):
     return terms.join(texts, "label").select("label", F.concat(F.lit("Cluster "), F.col("label").cast("string"), F.lit("\nTerms: "), "terms", F.lit("\n"), "texts").alias("prompt"))
 
 
+SUMMARY_ROWS = """(SELECT label, vec_id, embedding, CASE WHEN label < 3 THEN NULL ELSE substring(text, 1, 30) END AS title, CASE WHEN label < 2 OR (doc_id % 5 = 0 AND label > 6) THEN NULL ELSE text END AS abstract,
+  CASE WHEN label <> 4 THEN (2015 + (doc_id * doc_id) % 8)::INT END AS year, [lang, CASE WHEN doc_id % 2 = 0 THEN source END, 'nan'] AS parties FROM embeddings JOIN documents ON vec_id = doc_id)"""
+
+
+@query("rich_summary", rf"""WITH d AS {SUMMARY_ROWS},
+cells AS (SELECT vec_id, label, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM d), mid AS (SELECT label, dim, avg(x) AS cx FROM cells GROUP BY 1, 2),
+s AS (SELECT label, vec_id, round(sum(x * cx), 6) AS score FROM cells JOIN mid USING (label, dim) GROUP BY 1, 2),
+r AS (SELECT * FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5),
+p AS (SELECT vec_id, label, rank, title, abstract, year, array_to_string(list_filter(parties, lambda x: x IS NOT NULL AND x <> '' AND x <> 'nan'), ', ') AS party FROM r JOIN d USING (vec_id, label)),
+l AS (SELECT label, rank, title IS NULL AND abstract IS NULL AS bad, '- 【' || replace(coalesce(title, 'No Title'), chr(10), ' ') || '】 (' || coalesce(year::VARCHAR, 'N/A') || ', ' || CASE WHEN length(party) > 30 THEN substring(party, 1, 30) || '...' ELSE party END || ') ' || substring(replace(coalesce(abstract, 'No Abstract'), chr(10), ' '), 1, 200) || '...' AS line FROM p),
+reps AS (SELECT label, CASE WHEN avg(bad::INT) > 0.5 THEN '' ELSE string_agg(line, chr(10) ORDER BY rank) END AS representatives FROM l GROUP BY 1),
+counts AS (SELECT label, year, count(*) AS n FROM d WHERE year IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT label, count(*) AS years, regr_slope(n, year) AS s, pow(arg_max(n, year)::DOUBLE / arg_min(n, year), 1.0 / greatest(1, max(year) - min(year))) - 1 AS g FROM counts GROUP BY 1),
+trend AS (SELECT label, printf('%.1f%%', CASE WHEN years < 2 THEN 0.0 ELSE g END * 100) AS cagr, CASE WHEN years < 2 THEN 'stable' WHEN s > 0.5 THEN 'surge' WHEN s > 0 THEN 'up' WHEN s > -0.5 THEN 'down' ELSE 'stall' END AS trend FROM t),
+party AS (SELECT label, p, count(*) AS n FROM (SELECT label, unnest(parties) AS p FROM d) WHERE p IS NOT NULL GROUP BY 1, 2),
+hhi AS (SELECT label, round(sum(n * n) / pow(sum(n), 2), 6) AS hhi FROM party GROUP BY 1)
+SELECT label, coalesce(cagr, 'N/A') AS cagr, coalesce(trend, 'N/A') AS trend, hhi, CASE WHEN hhi < 0.10 THEN 'competitive' WHEN hhi < 0.18 THEN 'moderate' ELSE 'concentrated' END AS hhi_status, representatives
+FROM (SELECT DISTINCT label FROM d) LEFT JOIN trend USING (label) LEFT JOIN hhi USING (label) LEFT JOIN reps USING (label)""")
+def rich_summary(spark, sf_dir):
+    """The summary record of each cluster; some have neither titles nor abstracts, one has no years."""
+    e = embeddings(spark, sf_dir).join(table(spark, sf_dir, "documents"), F.col("vec_id") == F.col("doc_id"))
+    d = e.select(
+        "label", "vec_id", "embedding", F.when(F.col("label") >= 3, F.substring("text", 1, 30)).alias("title"), F.when(~((F.col("label") < 2) | ((F.col("doc_id") % 5 == 0) & (F.col("label") > 6))), F.col("text")).alias("abstract"),
+        F.when(F.col("label") != 4, (2015 + F.col("doc_id") * F.col("doc_id") % 8).cast("int")).alias("year"), F.array("lang", F.when(F.col("doc_id") % 2 == 0, F.col("source")), F.lit("nan")).alias("parties"),
+    )
+    d = d.withColumn("named", F.filter("parties", lambda x: x.isNotNull()))
+    return summary.rich_summary(d, "label", "vec_id", "embedding", "title", "abstract", "year", "named").withColumn("representatives", F.array_join("representatives", "\n"))
+
+
+@query("cluster_prompts", f"""WITH {TFIDF}, {NEAREST},
+m AS (SELECT label, term, round(sum(weight) / any_value(size), 6) AS weight FROM tfidf JOIN embeddings ON vec_id = doc_id JOIN (SELECT label, count(*) AS size FROM embeddings GROUP BY 1) USING (label) WHERE label <> 3 GROUP BY 1, 2),
+t AS (SELECT label, string_agg(term, ', ' ORDER BY weight DESC, term) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY weight DESC, term) AS r FROM m WHERE weight > 0) WHERE r <= 10 GROUP BY 1),
+x AS (SELECT label, string_agg('  - ' || concat_ws(' ', lang, translate(text, chr(10), ' ')), chr(10) ORDER BY rank) AS texts FROM near5 LEFT JOIN documents ON vec_id = doc_id WHERE label <> 5 GROUP BY 1)
+SELECT CASE WHEN label = 5 THEN -1 ELSE label END::INT AS label, 'Cluster ' || label || ':' || chr(10) || 'Terms: ' || coalesce(terms, '') || chr(10) || 'Documents:' || chr(10) || texts AS prompt FROM x LEFT JOIN t USING (label)""")
+def cluster_prompts(spark, sf_dir):
+    """What asks for each cluster's name, of whole texts; the fifth cluster is taken as noise, the third has no terms."""
+    docs, e = table(spark, sf_dir, "documents"), embeddings(spark, sf_dir)
+    noise = F.when(F.col("label") == 5, labels.NOISE).otherwise(F.col("label"))
+    terms = tfidf.cluster_terms(tfidf.tfidf(docs, "doc_id", tokens(F.col("text"))), e.where("label <> 3").select(F.col("vec_id").alias("doc_id"), noise.alias("label")), "doc_id", "label")
+    rows = plane(spark, sf_dir).withColumn("label", noise).join(docs, F.col("vec_id") == F.col("doc_id"), "left")
+    return prompts.cluster_prompts(rows, "label", "vec_id", ["lang", "text"], terms)
+
+
 @query("rep_suppression", "SELECT doc_id, lang, round(avg(CASE WHEN coalesce(quality, 0) = 0 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY lang), 6) AS invalid_share, avg(CASE WHEN coalesce(quality, 0) = 0 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY lang) > 0.5 AS suppressed FROM documents LEFT JOIN labels USING (doc_id)")
 def rep_suppression(spark, sf_dir):
     """Whether a language's representatives are withheld: over half its documents lack a good label."""
@@ -97,6 +140,19 @@ def label_apply(spark, sf_dir):
     return labels.apply(e, "label", labels.entries(pasted, "json"))
 
 
+@query("label_merge", """WITH c AS (SELECT label AS cluster_id, 'old ' || label AS label FROM embeddings WHERE label % 2 = 0 GROUP BY embeddings.label UNION SELECT 77, 'kept for 77'),
+p AS (SELECT label AS cluster_id, 'of ' || count(*) AS label FROM embeddings WHERE label < 7 GROUP BY embeddings.label UNION SELECT 77, 'new 77' UNION SELECT 999, 'unknown'),
+n AS (SELECT * FROM p WHERE cluster_id IN (SELECT cluster_id FROM c) OR cluster_id IN (SELECT label FROM embeddings))
+SELECT coalesce(c.cluster_id, n.cluster_id)::INT AS cluster_id, coalesce('[' || n.cluster_id || '] ' || n.label, c.label) AS label, CASE WHEN n.label IS NULL THEN 'kept' WHEN c.label IS NOT NULL THEN 'updated' ELSE 'added' END AS change FROM c FULL JOIN n ON c.cluster_id = n.cluster_id""")
+def label_merge(spark, sf_dir):
+    """Pasted labels put into a map that has some already, one of them of a cluster without rows."""
+    e = embeddings(spark, sf_dir).select(F.col("label").alias("cluster_id"))
+    extra = lambda rows: spark.createDataFrame(rows, "cluster_id int, label string")
+    current = e.where("cluster_id % 2 = 0").distinct().select("cluster_id", F.concat(F.lit("old "), F.col("cluster_id").cast("string")).alias("label")).union(extra([(77, "kept for 77")]))
+    pasted = e.where("cluster_id < 7").groupBy("cluster_id").agg(F.concat(F.lit("of "), F.count("*").cast("string")).alias("label")).union(extra([(77, "new 77"), (999, "unknown")]))
+    return labels.merged(current, pasted, e)
+
+
 @query("relabel", "SELECT CASE WHEN label >= 5 THEN label - 5 ELSE label END::INT AS label, count(*) AS n FROM embeddings GROUP BY 1")
 def relabel(spark, sf_dir):
     """Each cluster from 5 on merged into the one five below it."""
@@ -112,6 +168,21 @@ def drilldown(spark, sf_dir):
     return p.groupBy(((F.col("x") >= 0).cast("int") + (F.col("y") >= 0).cast("int") * 2).alias("drill_cluster")).agg(F.count("*").alias("n"))
 
 
+@query("drilldown_map")
+def drilldown_map(spark, sf_dir):
+    """One cluster projected and clustered again; both are iterative, so there is no SQL for it."""
+    return vectors.drill_down(embeddings(spark, sf_dir).where("label = 3"), "vec_id", "embedding", 4)
+
+
+@query("portfolio_map")
+def portfolio_map(spark, sf_dir):
+    """The documents of one source projected and clustered anew, as a player's portfolio is."""
+    d = table(spark, sf_dir, "documents")
+    largest = d.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(1)  # one row
+    own = embeddings(spark, sf_dir).join(d.join(F.broadcast(largest), "source"), F.col("vec_id") == F.col("doc_id"))
+    return vectors.drill_down(own, "vec_id", "embedding", 4)
+
+
 POLYGON = [(-0.2, -0.1), (0.1, -0.15), (0.2, 0.1), (0.0, 0.05), (-0.1, 0.2)]
 _EDGES = " + ".join(f"CASE WHEN (({ay} > y) <> ({by} > y)) AND x < ({bx} - {ax}) * (y - {ay}) / ({by} - {ay}) + {ax} THEN 1 ELSE 0 END" for (ax, ay), (bx, by) in zip(POLYGON, [*POLYGON[1:], POLYGON[0]]))
 
@@ -136,15 +207,20 @@ def rising_terms(spark, sf_dir):
     return growth.trends(c, "term").join(c.groupBy("term").agg(F.sum("n").alias("n")), "term").select("term", "n", F.round("slope", 6).alias("slope"))
 
 
-@query("tornado", "WITH w AS (SELECT l_suppkey AS s, unnest(string_split(p_name, ' ')) AS term FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey IN (1, 2)), t AS (SELECT count(*) FILTER (s = 1) AS a, count(*) FILTER (s = 2) AS b FROM w), g AS (SELECT term, count(*) FILTER (s = 1) AS n_a, count(*) FILTER (s = 2) AS n_b FROM w GROUP BY 1) SELECT term, n_a, n_b, round(n_a / a - n_b / b, 6) AS difference FROM g, t")
+@query("tornado", """WITH w AS (SELECT c_mktsegment AS s, unnest(string_split(p_name, ' ')) AS term FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+t AS (SELECT count(*) FILTER (s = 'BUILDING') AS a, count(*) FILTER (s = 'MACHINERY') AS b FROM w), g AS (SELECT term, count(*) FILTER (s = 'BUILDING') AS n_a, count(*) FILTER (s = 'MACHINERY') AS n_b FROM w GROUP BY 1)
+SELECT term, n_a, n_b, round(n_a / a - n_b / b, 6) AS difference FROM g, t WHERE n_a + n_b > 0""")
 def tornado(spark, sf_dir):
-    """How two suppliers' words differ in share."""
-    li, p = table(spark, sf_dir, "lineitem").where(F.col("l_suppkey").isin(1, 2)), table(spark, sf_dir, "part")
-    w = li.join(p, li.l_partkey == p.p_partkey).select("l_suppkey", F.explode(F.split("p_name", " ")).alias("term"))
-    n = lambda s: F.count(F.when(F.col("l_suppkey") == s, 1))
-    total = w.agg(n(1).alias("a"), n(2).alias("b"))  # one row
-    g = w.groupBy("term").agg(n(1).alias("n_a"), n(2).alias("n_b")).join(F.broadcast(total))
-    return g.select("term", "n_a", "n_b", F.round(F.col("n_a") / F.col("a") - F.col("n_b") / F.col("b"), 6).alias("difference"))
+    """How the words that two market segments order differ in share."""
+    li, p, o, c = (table(spark, sf_dir, t) for t in ("lineitem", "part", "orders", "customer"))
+    pair = c.where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
+    j = li.join(p, li.l_partkey == p.p_partkey).join(o, li.l_orderkey == o.o_orderkey).join(pair, o.o_custkey == pair.c_custkey)
+    # A part's names are split once for each segment, not for each line.
+    parts = j.groupBy("c_mktsegment", "p_name").agg(F.count("*").alias("n")).select("c_mktsegment", "n", F.explode(F.split("p_name", " ")).alias("term"))
+    n = lambda s: F.sum(F.when(F.col("c_mktsegment") == s, F.col("n")).otherwise(0))
+    g = parts.groupBy("term").agg(n("BUILDING").alias("n_a"), n("MACHINERY").alias("n_b"))
+    total = parts.agg(n("BUILDING").alias("a"), n("MACHINERY").alias("b"))  # one row
+    return g.join(F.broadcast(total)).select("term", "n_a", "n_b", F.round(F.col("n_a") / F.col("a") - F.col("n_b") / F.col("b"), 6).alias("difference"))
 
 
 @query("cooccur_terms", f"""WITH d AS (SELECT doc_id, unnest(list_distinct({TOKENS})) AS term FROM documents),
@@ -185,6 +261,15 @@ def components(spark, sf_dir):
     return network.communities(network.strong(supplier_edges(spark, sf_dir), 1.5))
 
 
+@query("clustering", f"""WITH {EDGES}, k AS (SELECT a, b FROM e WHERE n >= (SELECT avg(n) FROM e) * 1.5),
+d AS (SELECT node, count(*) AS degree FROM (SELECT a AS node FROM k UNION ALL SELECT b FROM k) GROUP BY 1),
+t AS (SELECT unnest([x.a, x.b, y.b]) AS node FROM k x JOIN k y ON x.b = y.a JOIN k z ON z.a = x.a AND z.b = y.b), c AS (SELECT node, count(*) AS triangles FROM t GROUP BY 1)
+SELECT node, degree, coalesce(triangles, 0) AS triangles, CASE WHEN degree > 1 THEN round(coalesce(triangles, 0) / (degree * (degree - 1) / 2), 6) ELSE 0.0 END AS coefficient FROM d LEFT JOIN c USING (node)""")
+def clustering(spark, sf_dir):
+    """How closely the neighbours of a supplier are tied to one another, by strong ties."""
+    return network.clustering(network.strong(supplier_edges(spark, sf_dir), 1.5))
+
+
 @query("betweenness")
 def betweenness(spark, sf_dir):
     """Nations between others in trade: ties of over the mean number of lines; a graph of 25 nodes."""

@@ -58,6 +58,14 @@ def ts_counts(spark, sf_dir):
     return j.groupBy("c_mktsegment", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(F.count("*").alias("n"))
 
 
+@query("ts_filled", """WITH c AS (SELECT o_custkey, year(o_orderdate)::INT AS year, count(*) AS n FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1, 2),
+y AS (SELECT o_custkey, unnest(range(min(year), max(year) + 1))::INT AS year FROM c GROUP BY 1)
+SELECT o_custkey, year, coalesce(n, 0) AS n FROM y LEFT JOIN c USING (o_custkey, year)""")
+def ts_filled(spark, sf_dir):
+    """Orders of each customer by year, years without any between its first and last as 0."""
+    return growth.with_empty_years(growth.yearly(table(spark, sf_dir, "orders"), F.col("o_orderdate"), "o_custkey"), "o_custkey")
+
+
 @query("top_applicants", "SELECT * FROM (SELECT c_mktsegment, o_custkey, n, row_number() OVER (PARTITION BY c_mktsegment ORDER BY n DESC, o_custkey)::INT AS rank FROM (SELECT c_mktsegment, o_custkey, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)) WHERE rank <= 10")
 def top_applicants(spark, sf_dir):
     """The ten busiest customers of each segment."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.ordering import numbered
 from ..operators import labels, reports, tfidf
 from .catalog import query, table
 
@@ -103,20 +104,21 @@ def auto_label(spark, sf_dir):
     return language_terms(spark, sf_dir, 3).groupBy("lang").agg(F.array_join(F.transform(rows, lambda r: r["term"]), ", ").alias("label"))
 
 
-REPORT = "'# Report ' || conv_id || chr(10) || chr(10) || text || chr(10) || '---' || chr(10) || '## Turn ' || turn || chr(10) || '- **' || role || '** said' || chr(10) || '#### Note' || chr(10) || '  See 、[[Evidence ' || turn + 1 || ']], and [[evidence 999]] too'"
+# The marks of reports, as in operators.reports.
+REPORT = "'# Report ' || conv_id || chr(10) || chr(10) || text || chr(10) || '---' || chr(10) || '## Turn ' || turn || chr(10) || '- **' || role || '** said' || chr(10) || '#### Note' || chr(10) || '  See 、[[Evidence ' || turn + 1 || ']], and [[evidence 999]] too' || chr(10) || '　# Wide　' || chr(10) || 'one **b**,' || chr(10) || '[[Evidence 1]] 、 [[Evidence 2]], **c** '"
 
 
 def reports_of(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     s = lambda x: F.col(x).cast("string")
-    text = F.concat(F.lit("# Report "), s("conv_id"), F.lit("\n\n"), "text", F.lit("\n---\n## Turn "), s("turn"), F.lit("\n- **"), "role", F.lit("** said\n#### Note\n  See 、[[Evidence "), (F.col("turn") + 1).cast("string"), F.lit("]], and [[evidence 999]] too"))
+    text = F.concat(F.lit("# Report "), s("conv_id"), F.lit("\n\n"), "text", F.lit("\n---\n## Turn "), s("turn"), F.lit("\n- **"), "role", F.lit("** said\n#### Note\n  See 、[[Evidence "), (F.col("turn") + 1).cast("string"), F.lit("]], and [[evidence 999]] too\n　# Wide　\none **b**,\n[[Evidence 1]] 、 [[Evidence 2]], **c** "))
     return c.select(F.concat_ws("-", s("conv_id"), s("turn")).alias("key"), text.alias("report"))
 
 
 @query("md_blocks", rf"""WITH r AS (SELECT conv_id || '-' || turn AS key, string_split({REPORT}, chr(10)) AS ls FROM conversations),
-l AS (SELECT key, unnest(range(len(ls)))::INT AS line_no, regexp_replace(unnest(ls), '^\s+|\s+$', '', 'g') AS line FROM r),
+l AS (SELECT key, unnest(range(len(ls)))::INT AS line_no, regexp_replace(unnest(ls), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS line FROM r),
 k AS (SELECT *, CASE WHEN line = '' THEN 'spacer' WHEN regexp_matches(line, '^[-*_]{{3,}}$') THEN 'rule' WHEN regexp_matches(line, '(?i)\[\[Evidence (\d+)\]\]') THEN 'evidence' WHEN line LIKE '# %' THEN 'heading1' WHEN line LIKE '## %' THEN 'heading2' WHEN line LIKE '### %' THEN 'heading3' WHEN line LIKE '#### %' THEN 'strong' WHEN line LIKE '- %' OR line LIKE '* %' THEN 'bullet' ELSE 'normal' END AS kind FROM l)
-SELECT key, line_no, kind, regexp_replace(CASE WHEN kind IN ('heading1', 'heading2', 'heading3', 'strong', 'bullet') THEN regexp_replace(line, '^(#+|[-*]) ', '') WHEN kind IN ('rule', 'spacer') THEN '' ELSE line END, '\*\*(.*?)\*\*', '<b>\1</b>', 'g') AS content,
+SELECT key, line_no, kind, CASE kind WHEN 'strong' THEN '<b>' WHEN 'bullet' THEN '• ' ELSE '' END || regexp_replace(CASE WHEN kind IN ('heading1', 'heading2', 'heading3', 'strong', 'bullet') THEN regexp_replace(regexp_replace(line, '^(#+|[-*]) ', ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') WHEN kind IN ('rule', 'spacer') THEN '' ELSE line END, '\*\*(.*?)\*\*', '<b>\1</b>', 'g') || CASE kind WHEN 'strong' THEN '</b>' ELSE '' END AS content,
   kind IN ('heading1', 'heading2') AND line_no > 0 AS page_break FROM k""")
 def md_blocks(spark, sf_dir):
     return reports.blocks(reports_of(spark, sf_dir), "key", "report")
@@ -127,26 +129,40 @@ e AS (SELECT key, unnest(range(len(ns)))::INT AS nth, unnest(ns)::BIGINT AS ordi
 SELECT key, nth, ordinal, item_id AS id FROM e JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) AS ordinal FROM benchmark) USING (ordinal)""")
 def evidence_refs(spark, sf_dir):
     """Benchmark items are the numbered evidence."""
-    from pyspark.sql import Window
+    numbers = numbered(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")), "id", "ordinal")
+    return reports.evidence_refs(reports_of(spark, sf_dir), "key", "report", numbers)
 
-    # One row for each saved piece of evidence; its place is its number.
-    numbered = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.row_number().over(Window.orderBy("item_id")).cast("long").alias("ordinal"))
-    return reports.evidence_refs(reports_of(spark, sf_dir), "key", "report", numbered)
 
-
-@query("evidence_cleanup", rf"""WITH r AS (SELECT conv_id || '-' || turn AS key, regexp_split_to_array({REPORT}, '(?i)\[\[Evidence \d+\]\]') AS ps FROM conversations),
-p AS (SELECT key, len(ps) AS n, unnest(range(len(ps)))::INT AS part_no, unnest(ps) AS t FROM r),
-q AS (SELECT *, CASE WHEN part_no < n - 1 THEN regexp_replace(t, '[、, \t]+$', '') ELSE t END AS u FROM p)
-SELECT key, part_no, CASE WHEN part_no > 0 THEN regexp_replace(u, '^[、, \t]+', '') ELSE u END AS content FROM q""")
+@query("evidence_cleanup", rf"""WITH r AS (SELECT conv_id || '-' || turn AS key, string_split({REPORT}, chr(10)) AS ls FROM conversations),
+l AS (SELECT key, unnest(range(len(ls)))::INT AS line_no, unnest(ls) AS raw FROM r),
+s AS (SELECT key, line_no, regexp_split_to_array(regexp_replace(raw, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'), '(?i)\[\[Evidence \d+\]\]') AS ps FROM l WHERE regexp_matches(raw, '(?i)\[\[Evidence \d+\]\]')),
+p AS (SELECT key, line_no, len(ps) AS n, unnest(range(len(ps)))::INT AS part_no, unnest(ps) AS t FROM s),
+q AS (SELECT *, CASE WHEN part_no < n - 1 THEN regexp_replace(t, '[、, \t]+$', '') ELSE t END AS u FROM p),
+v AS (SELECT key, line_no, part_no, regexp_replace(CASE WHEN part_no > 0 THEN regexp_replace(u, '^[、, \t]+', '') ELSE u END, '\*\*(.*?)\*\*', '<b>\1</b>', 'g') AS content FROM q)
+SELECT * FROM v WHERE regexp_replace(content, '[\s\p{{Z}}]+', '', 'g') <> ''""")
 def evidence_cleanup(spark, sf_dir):
     return reports.text_parts(reports_of(spark, sf_dir), "key", "report")
 
 
-@query("evidence_append", "SELECT item_id AS id, substring(text, 1, 40) AS title FROM benchmark WHERE item_id % 3 = 0 UNION ALL SELECT item_id, substring(text, 1, 40) FROM benchmark WHERE item_id % 3 <> 0")
+@query("evidence_append", """WITH b AS (SELECT item_id AS id, substring(text, 1, 40) AS title, substring(text, 41, 80) AS description FROM benchmark),
+log AS (SELECT row_number() OVER (ORDER BY id) AS ordinal, * FROM b WHERE id % 3 = 0)
+SELECT * FROM log UNION ALL SELECT row_number() OVER (ORDER BY id) + (SELECT count(*) FROM log), * FROM b WHERE id % 3 <> 0""")
 def evidence_append(spark, sf_dir):
-    """All items offered to a log that has every third already."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 40).alias("title"))
-    return reports.append_new(items.where("id % 3 = 0"), items)
+    """All items offered, twice, to a log that has every third already."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 40).alias("title"), F.substring("text", 41, 80).alias("description"))
+    log = numbered(items.where("id % 3 = 0"), "id", "ordinal")
+    return reports.append_new(reports.append_new(log, items), items.union(items))
+
+
+@query("evidence_names", "SELECT item_id AS id, 'Evidence ' || row_number() OVER (ORDER BY item_id) || '.png' AS name FROM benchmark")
+def evidence_names(spark, sf_dir):
+    numbers = numbered(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")), "id", "ordinal")
+    return numbers.select("id", reports.evidence_name(F.col("ordinal")).alias("name"))
+
+
+@query("date_text", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS stamp, strftime(o_orderdate, '%B %d, %Y') AS day FROM orders")
+def date_text(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", tx.stamp(F.col("o_orderdate")).alias("stamp"), tx.long_date(F.col("o_orderdate")).alias("day"))
 
 
 @query("json_labels", "SELECT event_id, (props->>'k') AS label FROM events WHERE props->>'k' IS NOT NULL")

@@ -10,25 +10,33 @@ from ..functions.text import null_if_missing
 FALLBACK = "Shift_JIS"
 
 
-def is_utf8(spark: SparkSession, path: str) -> bool:
-    """Whether all files under a path are valid UTF-8; executors read them, one verdict comes back.
+def not_utf8(spark: SparkSession, path: str) -> list[str]:
+    """The files under a path that hold a line which is no UTF-8; executors read them by line, their names come back.
 
     Spark itself replaces malformed bytes without a word.
     """
-    files = spark.read.format("binaryFile").load(path)
-    return not files.select(F.is_valid_utf8(F.col("content").cast("string")).alias("ok")).where("not ok").limit(1).count()
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.is_valid_utf8("value").alias("ok"))
+    return [r["file"] for r in lines.where("not ok").select("file").distinct().collect()]
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """All columns as strings, missing markers as null; Shift_JIS where the files are no UTF-8.
+    """All columns as strings, missing markers as null; a file that is no UTF-8 is read as Shift_JIS, each for itself.
 
     Quotes inside quoted fields are doubled, and fields may span lines. The
-    fallback needs spark.sql.legacy.javaCharsets, which is set for it alone.
+    fallback needs spark.sql.legacy.javaCharsets when the rows are read, so it
+    is set for the session and stays. Files under one path have one header.
     """
-    encoding = encoding or ("UTF-8" if is_utf8(spark, path) else FALLBACK)
-    if encoding != "UTF-8":
+    other = [] if encoding else not_utf8(spark, path)
+    every = sorted({r["file"] for r in spark.read.text(path).select(F.input_file_name().alias("file")).distinct().collect()}) if other else []
+    if other or encoding not in (None, "UTF-8"):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", encoding).csv(path)
+
+    def read(paths, charset: str) -> DataFrame:
+        return spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", charset).csv(paths)
+
+    own = [f for f in every if f not in other]
+    parts = [read(path, encoding or "UTF-8")] if not other else [*([read(own, "UTF-8")] if own else []), read(other, FALLBACK)]
+    df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
     return df.select(*[null_if_missing(F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 

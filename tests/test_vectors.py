@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from orrery.functions import metadata
 from orrery.functions import text as tx
 from orrery.functions.dates import DateParser
-from orrery.operators import growth, labels, network, reports, search, stopwords
+from orrery.functions.ordering import numbered
+from orrery.operators import growth, hooks, labels, network, reports, search, stopwords
 from orrery.operators.schema import ColumnMap, match_column
 from orrery.plans.catalog import query  # noqa: F401
 from orrery.sources import readers
@@ -156,7 +157,7 @@ def test_evidence(spark):
     df = spark.createDataFrame([("k", "A、[[Evidence 1]]、B [[evidence 3]]")], "k string, t string")
     ev = spark.createDataFrame([(1, "i1"), (2, "i2")], "ordinal long, id string")
     assert [(r["nth"], r["id"]) for r in reports.evidence_refs(df, "k", "t", ev).collect()] == [(0, "i1")]
-    assert [r["content"] for r in reports.text_parts(df, "k", "t").orderBy("part_no").collect()] == ["A", "B", ""]
+    assert [r["content"] for r in reports.text_parts(df, "k", "t").orderBy("part_no").collect()] == ["A", "B"]
 
 
 def test_positions(spark):
@@ -189,3 +190,82 @@ def test_stream(spark, sf_dir, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("w").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_roles_of_usual_headers():
+    m = ColumnMap.bind(["No", "Title", "Abstract", "Claim", "Application Number", "Date", "Applicant", "IPC"])
+    assert not m.missing() and m.roles["app_num"] == "Application Number" and m.roles["inventor"] is None
+    m = ColumnMap.bind(["出願番号", "発明の名称", "要約", "請求項", "出願日", "出願人", "国際特許分類(IPC)", "f-term"])
+    assert not m.missing() and m.roles["ipc"] == "国際特許分類(IPC)" and m.roles["fterm"] == "f-term"
+
+
+@pytest.mark.parametrize("x, codes", [("H01M10(x)/05", []), ("H01M 10(x)/05", ["h01m"]), ("H01M10/05(2010.01)", ["h01m10/05"])])
+def test_brackets_are_spaces(spark, x, codes):
+    assert value(spark, x, metadata.ipc_codes) == codes
+
+
+def test_nothing_to_measure(spark):
+    none = spark.createDataFrame([], "k string, year int, n long, party string")
+    assert tuple(growth.concentration(none, "party").first()) == (0.0, "no data")
+    assert tuple(growth.trends(none).first()) == (None, None, None)
+
+
+def test_evidence_is_cleaned_line_by_line(spark):
+    df = spark.createDataFrame([("k", "one,\n[[Evidence 1]]\n 、[[evidence 2]] 、 x,[[Evidence 3]]")], "k string, t string")
+    assert [(r["line_no"], r["content"]) for r in reports.text_parts(df, "k", "t").collect()] == [(2, "x")]
+
+
+def test_lines_are_trimmed_of_any_space(spark):
+    df = spark.createDataFrame([("k", "　# T　\n#### S **b**\n* x")], "k string, t string")
+    got = [(r["kind"], r["content"]) for r in reports.blocks(df, "k", "t").orderBy("line_no").collect()]
+    assert got == [("heading1", "T"), ("strong", "<b>S <b>b</b></b>"), ("bullet", "• x")]
+
+
+def test_log_is_numbered_on(spark):
+    log = spark.createDataFrame([(1, "b", "B", "m")], "ordinal long, id string, title string, module string")
+    new = spark.createDataFrame([("b", "other", "m"), ("c", "C", "m"), ("a", "A", "m"), ("a", "A", "m")], "id string, title string, module string").withColumn("n", F.ascii("id"))
+    # Ids that are numbers give the order; any others are mapped to one first.
+    fresh = new.drop("id").withColumnRenamed("n", "id")
+    out = reports.append_new(log.withColumn("id", F.ascii("id")), fresh)
+    want = [(1, 98, "B", "m"), (2, 97, "A", "m"), (3, 99, "C", "m")]
+    assert [tuple(r) for r in out.orderBy("ordinal").collect()] == want
+    assert [tuple(r) for r in reports.append_new(out, fresh).orderBy("ordinal").collect()] == want
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_numbered(spark, parts):
+    df = spark.createDataFrame([(k * 7 % 101,) for k in range(101)], "id long")
+    assert all(r["id"] + 1 == r["n"] for r in numbered(df, "id", "n", parts).collect())
+    assert numbered(df.limit(0), "id", "n", parts).count() == 0
+
+
+def test_hooks(spark):
+    df = spark.createDataFrame([(k, "a" * k if k else None) for k in range(300)], "k int, t string")
+    got = hooks.encode(df, "t", lambda texts: [[len(t), len(texts)] for t in texts], batch=16).collect()
+    assert all(r["embedding"][0] == r["k"] and r["embedding"][1] <= 16 for r in got) and len(got) == 300
+    toks = hooks.tag(df.where("k < 3"), "t", lambda texts: [[(t, "noun")] * 2 for t in texts])
+    assert toks.select(tx.noun_compounds(F.col("tokens"), []).alias("c")).where("c = 'aaaa'").count() == 1
+
+
+def test_files_are_decoded_each_for_itself(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("k,v\n1,電池\n".encode("shift_jis"))
+    (tmp_path / "b.csv").write_bytes("k,v\n2,材料é\n3,\n".encode())
+    got = {r["k"]: r["v"] for r in readers.read_csv(spark, str(tmp_path)).collect()}
+    assert got == {"1": "電池", "2": "材料é", "3": None}
+
+
+def test_drill_down_keeps_rows_and_axes(spark):
+    from orrery.operators import vectors
+
+    rows = [(k, [float(k % 5) * 10, float(k), 0.0]) for k in range(60)]
+    got = vectors.drill_down(spark.createDataFrame(rows, "k int, v array<double>"), "k", "v", 3).collect()
+    assert sorted(r["k"] for r in got) == list(range(60)) and {r["drill_cluster"] for r in got} == {0, 1, 2}
+    # The main axes keep the distances of points that lie in a plane.
+    at = {r["k"]: (r["drill_x"], r["drill_y"]) for r in got}
+    assert all(abs(sum((a - b) ** 2 for a, b in zip(at[i], at[j])) - sum((a - b) ** 2 for a, b in zip(rows[i][1], rows[j][1]))) < 1e-2 for i, j in ((0, 1), (3, 58), (20, 41)))
+
+
+def test_stopword_list_is_reset(spark):
+    w = spark.createDataFrame([("the",), ("zz",)], "word string")
+    got = {r["word"]: r["change"] for r in stopwords.reset(w).collect()}
+    assert got["zz"] == "removed" and got["the"] == "kept" and sum(c == "added" for c in got.values()) == len(stopwords.DEFAULTS) - 1
