@@ -108,9 +108,11 @@ def store(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage: what follows re-reads files that survive the loss
     of executors. Column types and names stay. Nothing comes back to the
     plan's shuffles, so Spark is told to delete them once the table is there.
+    All tables of an application are in one folder of its own, which can go
+    when its results are written.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")
     try:

@@ -756,3 +756,90 @@ def test_exact_copies_without_an_id_on_one_side(spark):
     new = spark.createDataFrame([(5, "same text"), (6, "same text"), (7, "new")], schema)
     got = sorted(((r["id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact.deduplicate(new, old).collect()), key=str)
     assert got == sorted([(None, 5, 4, False), (None, 5, 4, False), (5, 5, 4, True), (6, 5, 4, False), (1, 1, 1, True), (7, 7, 1, True)], key=str)
+
+
+def test_pipeline_follows_every_row(spark, tmp_path):
+    """Each stage's rows against a plain version of it, with rows that share an id or have none."""
+    from tokenizers import Tokenizer
+
+    g = random.Random(21)
+    vocab = [f"w{i}" for i in range(400)]
+    prose = lambda n: "\n".join(" ".join(g.choice(vocab) for _ in range(g.randrange(4, 9))) for _ in range(n))
+    shared = prose(4)
+    rows = []
+    for k in range(260):
+        t = prose(g.randrange(1, 14)) if k >= 40 else " ".join(g.choice(vocab) for _ in range(g.randrange(60, 150)))
+        t = t.replace(" ", " zorky ", 3) if k % 5 == 0 else t
+        rows.append((g.choice([k, k, k, k // 3, None]), t if k % 4 else t + "\n" + shared, "en", g.choice(["a", "b", "c", None]), k))
+    for k in range(40):
+        ws = rows[k][1].split(" ")
+        ws[len(ws) // 2] = f"edit{k}"
+        rows.append((500 + k, " ".join(ws), "en", "a", k))
+    rows += [(700, None, None, None, None), (701, "", "en", "b", 0)] + rows[:5]
+    labels = [(k, 1, int(any(r[0] == k and "zorky" in (r[1] or "") for r in rows))) for k in range(260)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    now, kept = docs, Counter((r[0], r[1], r[3]) for r in rows)
+    out = {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / str(k)))
+        now = out[name] = spark.read.parquet(str(tmp_path / str(k)))
+        if name != "packing":
+            assert now.columns == docs.columns
+    read = lambda name: Counter((r["doc_id"], r["text"], r["source"]) for r in out[name].collect())
+
+    p, vocab_of = toxicity.fit(docs, spark.read.parquet(str(tmp_path / "labels.parquet")))[0]
+    score = dict(zip([t for _, t, _ in kept], toxicity.scores(p, vocab_of, pa.array([t for _, t, _ in kept], pa.string()))))
+    kept = Counter({x: n for x, n in kept.items() if score[x[1]] < 0.5})
+    assert read("toxicity") == kept and 150 < sum(kept.values()) < len(rows)
+
+    far = 1 << 62
+    shown = {x: [(i, y.strip(WS)) for i, y in enumerate((x[1] or "").split("\n")) if y.strip(WS)] for x in kept}
+    windows = lambda x: [(k, tuple(y for _, y in shown[x][k : k + 3])) for k in range(len(shown[x]) - 2)]
+    first = {}
+    for x in kept:
+        for k, w in windows(x):
+            first[w] = min(first.get(w, (far + 1, 0)), (far if x[0] is None else x[0], k))
+    after = Counter()
+    for x, n in kept.items():
+        gone = {i for k, w in windows(x) if first[w] < (far if x[0] is None else x[0], k) for i, _ in shown[x][k : k + 3]}
+        text = "\n".join(y for i, y in enumerate(x[1].split("\n")) if i not in gone) if gone else x[1]
+        after[x[0], text, x[2]] += n
+    assert read("line dedup") == after and after != kept
+
+    rest = list(after)
+    sets = [shingles((t or "").lower()) for _, t, _ in rest]
+    root = list(range(len(rest)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rest)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                root[find(i)] = find(j)
+    least = {}
+    for i, x in enumerate(rest):
+        least[find(i)] = min((v for v in (x[0], least.get(find(i))) if v is not None), default=None)
+    kept = Counter({x: after[x] for i, x in enumerate(rest) if x[0] is None or x[0] == least[find(i)]})
+    assert read("near dedup") == kept and sum(kept.values()) < sum(after.values()) - 10
+
+    mixed, sizes, taken, most = read("mixing"), Counter(), Counter(), Counter()
+    assert all(x in kept and n <= 2 * kept[x] for x, n in mixed.items())
+    for x, n in kept.items():
+        sizes[x[2]] += n * len(words(x[1]))
+        taken[x[2]] += mixed[x] * len(words(x[1]))
+        most[x[2]] = max(most[x[2]], len(words(x[1])))
+    want = plain_targets(sizes)
+    assert all(abs(taken[s] - want[s]) <= most[s] / 2 + 1 for s in sizes)
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    tokens = Counter()
+    for (d, t, s), n in mixed.items():
+        tokens[d, s] += n * (len(tok.encode(t or "", add_special_tokens=False).ids) + 1)
+    got = Counter()
+    for r in out["packing"].collect():
+        got[r["doc_id"], r["source"]] += r["length"]
+    assert got == tokens
