@@ -271,13 +271,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = found.select(F.shiftright("key", 40).cast("int").alias("w"), u, v).distinct()
         return found.join(a, (F.col("w") == a["word_" + u]) & (found[u] == a[u])).drop(a[u]).join(b, (F.col("w") == b["word_" + v]) & (found[v] == b[v])).select(F.col("nu").alias("u"), F.col("nv").alias("v"))
 
+    def by_word(f, df: DataFrame, u: str, v: str, name: str) -> DataFrame:
+        """Pairs of nodes from the index of one word after the other, so that only one is on disk."""
+        found = None
+        for k in range(PRINTS):
+            own = store(met(f(df.where(F.col("word") == k), KEYED, WORD_BITS, "word"), u, v), name)
+            found = own if found is None else found.union(own)
+        return found
+
     shared = prints.join(values.withColumnRenamed("node", "v"), ["word", "fp"]).where("node <> v").select(F.col("node").alias("u"), "v")
-    near = store(met(bucket_neighbours(values, KEYED, WORD_BITS, "word"), "u", "v").union(shared), "neighbours")
+    near = by_word(bucket_neighbours, values, "u", "v", "neighbours").union(store(shared, "neighbours"))
     first = store(alike(near, nodes, rows, bound), "links")
     roots = store(components(first), "groups")
     labelled = store(values.join(roots, "node", "left").select("word", "fp", F.coalesce("root", "node").alias("label")), "labelled")
-    across = store(met(bucket_pairs(labelled, KEYED, WORD_BITS, "word"), "fu", "fv"), "across")
-    second = alike(across, nodes, rows, bound)
+    second = alike(by_word(bucket_pairs, labelled, "fu", "fv", "across"), nodes, rows, bound)
     roots = store(components(store(second.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), "links")), "groups")
     return rows.select("id", "text_key", "node").join(smallest_ids(rows, "node", roots), "node").select("id", "text_key", "component_id")
 
