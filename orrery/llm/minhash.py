@@ -16,6 +16,8 @@ further columns can't clash.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ from .common import range_bucket, shuffle_partitions, split_points, store, table
 BINS = 256
 LOW_BITS = 4
 PER_LONG = 64 // LOW_BITS
-PROBES = 4
+PROBES = 8
 SHINGLE = 5
 
 
@@ -62,22 +64,25 @@ def bins(hashes: Column) -> Column:
     return bound(F.sort_array(hashes), least)
 
 
+def probe_tables() -> list[Column]:
+    """For each turn the bin that every bin asks: random, and the same for every document."""
+    g = random.Random(BINS)
+    return [F.array(*[F.lit(g.randrange(BINS)) for _ in range(BINS)]) for _ in range(PROBES)]
+
+
 def densify(v: Column) -> Column:
     """Fill the empty bins of an array that has at least one filled."""
 
     def probe(filled: Column) -> Column:
-        out = filled
-        for k in range(1, PROBES + 1):
-            out = bound(out, lambda o, k=k: F.transform(o, lambda x, i: F.coalesce(x, F.get(filled, _hash(i, k)))))
-        # What is still empty after the first probes takes the filled bin that comes first in the bin's own random order of all bins.
-        places = F.filter(F.transform(filled, lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull())
-        return bound(places, lambda p: bound(out, lambda o: F.transform(o, lambda x, i: F.coalesce(x, F.get(filled, F.array_min(F.transform(p, lambda j: F.struct(F.xxhash64(i, j).alias("h"), j.alias("j"))))["j"])))))
-
-    return F.when(F.exists(v, lambda x: x.isNull()), bound(v, probe)).otherwise(v)
+        def rest(i: Column) -> Column:
+            # What is still empty after the first probes takes the filled bin that comes first in the bin's own random order of all bins.
+            places = F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda j: F.get(filled, j).isNotNull())
+            order = F.transform(places, lambda j: F.xxhash64(i, j).bitwiseAND(F.lit(-BINS)).bitwiseOR(j.cast("long")))
+            return F.get(filled, F.array_min(order).bitwiseAND(F.lit(BINS - 1)).cast("int"))
 
+        return F.transform(filled, lambda x, i: F.coalesce(x, *[F.get(filled, F.get(t, i)) for t in probe_tables()], rest(i)))
 
-def _hash(i: Column, k: int) -> Column:
-    return F.pmod(F.xxhash64(i, F.lit(k)), F.lit(BINS)).cast("int")
+    return F.when(F.exists(v, lambda x: x.isNull()), bound(v, probe)).otherwise(v)
 
 
 def packed(v: Column) -> Column:
