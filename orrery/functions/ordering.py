@@ -1,4 +1,4 @@
-"""Numbers of rows in an order, without one task that holds all rows."""
+"""Numbers of rows in an order, and joins with reduced sides, without one task that holds all rows of a key."""
 
 from __future__ import annotations
 
@@ -21,3 +21,16 @@ def numbered(df: DataFrame, by: str, out: str, parts: int | None = None) -> Data
     before = rows.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(every), F.lit(0)).alias("__before"))
     inside = Window.partitionBy("__range").orderBy(by)
     return rows.join(F.broadcast(before), "__range").withColumn(out, F.col("__before") + F.row_number().over(inside)).drop("__range", "__before")
+
+
+def join_reduced(rows: DataFrame, reduced: DataFrame, key: str, by: str, parts: int = 16) -> DataFrame:
+    """``rows`` inner-joined on ``key`` with a table that has one row for each key, such as a grouped aggregate.
+
+    Were the aggregate joined as it is, all rows of a key would meet in the
+    task that made its aggregate. Here each row meets one of ``parts`` copies
+    of it, by the hash of column ``by``, and copies are shuffled like rows, so
+    that Spark may split them further.
+    """
+    copies = reduced.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = rows.withColumn("__part", F.pmod(F.hash(by), F.lit(parts)))
+    return dealt.join(copies, [key, "__part"]).drop("__part")

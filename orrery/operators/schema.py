@@ -69,3 +69,13 @@ def rank_matches(keywords: DataFrame, columns: DataFrame) -> DataFrame:
     hit = F.broadcast(keywords).join(columns, F.contains(F.col("column"), F.col("keyword")))
     key = F.struct((F.col("column") != F.col("keyword")).alias("partial"), "kw_pos", "col_pos", "column")
     return hit.groupBy("role").agg(F.min(key)["column"].alias("column"))
+
+
+def profile(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, filled, distinct_n): values that aren't null, and distinct ones, of each column, in one pass over them."""
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("v")).select("v.*")
+    # Counted by value first, so that a column is no one task's.
+    counts = values.where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
+    found = counts.groupBy("column").agg(F.sum("n").alias("filled"), F.count("*").alias("distinct_n"))
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return every.join(found, "column", "left").select("column", F.coalesce("filled", F.lit(0)).alias("filled"), F.coalesce("distinct_n", F.lit(0)).alias("distinct_n"))

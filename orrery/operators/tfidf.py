@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import join_reduced
+
 
 def term_counts(df: DataFrame, key: str, toks: Column) -> DataFrame:
     """(key, term, tf): occurrences, counted before anything is shuffled by term."""
@@ -21,7 +23,8 @@ def tfidf(df: DataFrame, key: str, toks: Column, min_df: int = 5, max_df: float
     n = df.agg(F.count("*").alias("docs"))  # one row
     terms = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("docs")))
     terms = terms.select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(terms, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    # A term may be in most documents.
+    raw = join_reduced(tf, terms, "term", key).select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     return raw.select(key, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).alias("weight"))
 
 

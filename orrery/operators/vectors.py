@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import join_reduced
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
@@ -24,7 +26,7 @@ def centroids(df: DataFrame, by: str, vector: str) -> DataFrame:
 
 def representatives(df: DataFrame, by: str, key: str, vector: str, top: int = 5) -> DataFrame:
     """(by, key, rank, score): the rows of each group nearest to its centroid by dot product."""
-    scored = df.join(centroids(df, by, vector), by).select(by, key, F.round(dot(F.col(vector), F.col("centroid")), 6).alias("score"))
+    scored = join_reduced(df, centroids(df, by, vector), by, key).select(by, key, F.round(dot(F.col(vector), F.col("centroid")), 6).alias("score"))
     w = Window.partitionBy(by).orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
@@ -32,7 +34,7 @@ def representatives(df: DataFrame, by: str, key: str, vector: str, top: int = 5)
 def nearest_in_plane(df: DataFrame, by: str, key: str, x: str, y: str, top: int = 5) -> DataFrame:
     """(by, key, rank, distance): the rows nearest to their group's centre in the plane."""
     mid = df.groupBy(by).agg(F.avg(x).alias("cx"), F.avg(y).alias("cy"))
-    d = df.join(mid, by).select(by, key, F.round(F.sqrt(F.pow(F.col(x) - F.col("cx"), F.lit(2)) + F.pow(F.col(y) - F.col("cy"), F.lit(2))), 6).alias("distance"))
+    d = join_reduced(df, mid, by, key).select(by, key, F.round(F.sqrt(F.pow(F.col(x) - F.col("cx"), F.lit(2)) + F.pow(F.col(y) - F.col("cy"), F.lit(2))), 6).alias("distance"))
     w = Window.partitionBy(by).orderBy("distance", key)
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 

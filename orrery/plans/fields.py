@@ -124,20 +124,29 @@ def stopword_replace(spark, sf_dir):
     return stopwords.counts(stopwords.replace(w, other))
 
 
-@query("schema_match", """WITH k(role, keyword, kw_pos) AS (VALUES ('name', 'c_name', 0), ('name', 'name', 1), ('segment', 'segment', 0), ('balance', 'bal', 0), ('none', 'zz', 0)),
+PROFILES = " UNION ALL ".join(f"SELECT '{c}' AS col, count({c}) AS filled, count(DISTINCT {c}) AS distinct_n FROM {t}" for t, cs in (("customer", ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")), ("nation", ("n_nationkey", "n_name", "n_regionkey"))) for c in cs)
+
+
+@query("schema_match", f"""WITH k(role, keyword, kw_pos) AS (VALUES ('name', 'c_name', 0), ('name', 'name', 1), ('segment', 'segment', 0), ('balance', 'bal', 0), ('none', 'zz', 0)),
 c AS (SELECT column_name AS col, column_index AS col_pos FROM duckdb_columns() WHERE table_name = 'customer' OR table_name = 'nation'), u AS (SELECT DISTINCT col, min(col_pos) AS col_pos FROM c GROUP BY col),
-r AS (SELECT role, col, row_number() OVER (PARTITION BY role ORDER BY (col <> keyword), kw_pos, col_pos, col) AS nth FROM u JOIN k ON contains(col, keyword))
-SELECT role, r.col AS "column", (SELECT count(*) FROM customer) AS n FROM r WHERE nth = 1""")
+r AS (SELECT role, col, row_number() OVER (PARTITION BY role ORDER BY (col <> keyword), kw_pos, col_pos, col) AS nth FROM u JOIN k ON contains(col, keyword)),
+p AS ({PROFILES})
+SELECT role, r.col AS "column", filled, distinct_n FROM r JOIN p USING (col) WHERE nth = 1""")
 def schema_match(spark, sf_dir):
-    """Roles of the customer and nation tables' columns, with the customer count."""
-    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    """Roles bound to the customer and nation tables' columns, and how many values and distinct values the columns have."""
+    tables = [table(spark, sf_dir, t) for t in ("customer", "nation")]
     places = {}
-    for df in (customer, nation):
+    for df in tables:
         for i, c in enumerate(df.columns):
             places[c] = min(i, places.get(c, i))
     k = spark.createDataFrame([("name", "c_name", 0), ("name", "name", 1), ("segment", "segment", 0), ("balance", "bal", 0), ("none", "zz", 0)], "role string, keyword string, kw_pos int")
     found = schema.rank_matches(k, spark.createDataFrame(list(places.items()), "column string, col_pos int"))
-    return F.broadcast(found).join(customer.agg(F.count("*").alias("n")))
+    bound = {r["column"] for r in found.collect()}  # as many as there are roles
+    profiles = [schema.profile(df, [c for c in df.columns if c in bound]) for df in tables if bound & set(df.columns)]
+    out = profiles[0]
+    for x in profiles[1:]:
+        out = out.union(x)
+    return found.join(out, "column").select("role", "column", "filled", "distinct_n")
 
 
 @query("role_projection", "SELECT c_name AS title, c_mktsegment AS abstract, c_name AS claim, c_custkey AS app_num, c_acctbal AS date, c_name AS applicant, c_mktsegment AS ipc FROM customer")

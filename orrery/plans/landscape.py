@@ -7,6 +7,7 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from ..functions.ordering import join_reduced
 from ..functions.text import tokens
 from ..operators import growth, labels, network, prompts, search, summary, tfidf, vectors
 from .catalog import query, table
@@ -127,7 +128,7 @@ def rep_suppression(spark, sf_dir):
     """Whether a language's representatives are withheld: over half its documents lack a good label."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", "lang", (F.coalesce("quality", F.lit(0)) == 0).cast("double").alias("bad"))
     share = d.groupBy("lang").agg(F.avg("bad").alias("share"))
-    return d.join(share, "lang").select("doc_id", "lang", F.round("share", 6).alias("invalid_share"), (F.col("share") > 0.5).alias("suppressed"))
+    return join_reduced(d, share, "lang", "doc_id").select("doc_id", "lang", F.round("share", 6).alias("invalid_share"), (F.col("share") > 0.5).alias("suppressed"))
 
 
 @query("label_apply", "SELECT vec_id, label, CASE WHEN label < 7 THEN '[' || label || '] topic of ' || count(*) OVER (PARTITION BY label) END AS label_text FROM embeddings")
