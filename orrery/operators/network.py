@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 def co_occurrence(df: DataFrame, key: str, item: str) -> DataFrame:
     """(a, b, n): how many keys hold both items.
 
-    A key's distinct items meet in one array, so items must be few for each
-    key: suppliers of an order, or a bounded vocabulary's terms of a text.
+    A key of m distinct items has m (m - 1) / 2 pairs, which are counted where
+    they are made; a key of very many can be split over tasks.
     """
-    sets = df.groupBy(key).agg(F.array_sort(F.collect_set(item)).alias("s")).where(F.size("s") > 1)
-    pair = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return sets.select(F.explode(pair).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    s = df.select(F.col(key).alias("k"), F.col(item).alias("i")).where("k is not null and i is not null").distinct()
+    a, b = (s.select(F.col("k").alias(f"k_{x}"), F.col("i").alias(x)) for x in "ab")
+    return a.join(b, (F.col("k_a") == F.col("k_b")) & (F.col("a") < F.col("b"))).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

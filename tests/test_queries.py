@@ -1,3 +1,5 @@
+import sys
+
 import pytest
 from oracle import check
 from pyspark.sql.types import StructType
@@ -29,3 +31,8 @@ def test_rising_terms_takes_every_whole_year(spark, tmp_path, last, years):
     spark.createDataFrame([(k, 1) for k in range(5)], "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     spark.createDataFrame([(1, "red")], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
     assert [tuple(r) for r in catalog.QUERIES["rising_terms"](spark, str(tmp_path)).collect()] == [("red", years, 0.0)]
+
+
+def test_core_queries_stay_where_a_package_is_missing(monkeypatch):
+    monkeypatch.setitem(sys.modules, "orrery.llm.queries", None)
+    assert entry.queries() == catalog.QUERIES and entry.oracle_sql() == catalog.ORACLES
