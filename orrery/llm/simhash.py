@@ -21,6 +21,8 @@ can't clash.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,6 +44,8 @@ KEYED = 5
 #: similarity of 0.8 a bit differs with probability 0.15 at the most, so that a
 #: pair is ruled out by the first in 1 case of 300 a word, by the second in 1 of 10^8.
 WORD_BITS, WIDE_BITS = 14, 73
+#: Bits that may differ in that word and the next: 16 of the 107 outside the segment do on average at 0.8, over 32 in 1 of 100,000 pairs; unlike texts pass in 1 of 40,000.
+PAIR_BITS = 33
 #: Rows of eight bytes up to which nodes are broadcast.
 MAX_BROADCAST = 1_000_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -119,19 +123,25 @@ def bucket_neighbours(fps: DataFrame, distance: int, most: int, by: str | None =
     return near.where(F.col("other").isNotNull() & (F.col("fp") != F.col("other")) & _near("fp", "other", most)).select("key", F.col("fp").alias("u"), F.col("other").alias("v"))
 
 
-def bucket_pairs(labelled: DataFrame, distance: int, most: int, by: str | None = None) -> DataFrame:
+def bucket_pairs(labelled: DataFrame, distance: int, most: int, by: str | None = None, more: int | None = None) -> DataFrame:
     """(key, fu, fv, u, v): all pairs of a bucket of (fp, label) whose labels u and v differ, at most ``most`` bits apart.
 
     They are compared in the join's condition, so none within a group is
     emitted. A bucket of one label is left out, and one side leaves out the
     bucket's smallest label: a pair with one side in it comes once, any other
-    twice.
+    twice. With ``more``, column more has 64 further bits, and in all 128 so
+    many may differ: chance pairs, which grow with the square of the rows, go
+    before they are emitted.
     """
     whole = Window.partitionBy("key")
-    index = labelled.select(_keys(distance, by), "fp", "label").select("key", "fp", "label", F.min("label").over(whole).alias("lo"), F.max("label").over(whole).alias("hi")).where("lo <> hi")
-    a = index.where("label <> lo").select("key", F.col("fp").alias("fu"), F.col("label").alias("u"))
-    b = index.select("key", F.col("fp").alias("fv"), F.col("label").alias("v"))
-    return a.join(b, (a.key == b.key) & (F.col("u") != F.col("v")) & _near("fu", "fv", most)).select(a.key, "fu", "fv", "u", "v")
+    own = ["fp", "label"] + (["more"] if more is not None else [])
+    index = labelled.select(_keys(distance, by), *own).select("key", *own, F.min("label").over(whole).alias("lo"), F.max("label").over(whole).alias("hi")).where("lo <> hi")
+    side = lambda df, x: df.select("key", F.col("fp").alias(f"f{x}"), F.col("label").alias(x), *([F.col("more").alias(f"m{x}")] if more is not None else []))
+    a, b = side(index.where("label <> lo"), "u"), side(index, "v")
+    near = _near("fu", "fv", most)
+    if more is not None:
+        near = near & (F.bit_count(F.col("fu").bitwiseXOR(F.col("fv"))) + F.bit_count(F.col("mu").bitwiseXOR(F.col("mv"))) <= more)
+    return a.join(b, (a.key == b.key) & (F.col("u") != F.col("v")) & near).select(a.key, "fu", "fv", "u", "v")
 
 
 def link(fps: DataFrame, distance: int = 4) -> DataFrame:
@@ -261,8 +271,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = store(described(docs, id_col, text_col, size), "shingles")
     nodes = store(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("prints").alias("prints")), "nodes")
     # The values of each word of the print, with the least of their nodes.
-    prints = nodes.select("node", F.posexplode("prints").alias("word", "fp"))
-    values = store(prints.groupBy("word", "fp").agg(F.min("node").alias("node")), "values")
+    prints = nodes.select("node", "prints", F.posexplode("prints").alias("word", "fp"))
+    prints = prints.select("node", "word", "fp", F.get("prints", (F.col("word") + 1) % PRINTS).alias("more"))
+    values = store(prints.groupBy("word", "fp").agg(F.min(F.struct("node", "more")).alias("least")).select("word", "fp", "least.node", "least.more"), "values")
     ends = lambda u, v: (values.select(F.col("word").alias(f"word_{x}"), F.col("fp").alias(x), F.col("node").alias(y)) for x, y in ((u, "nu"), (v, "nv")))
 
     def met(found: DataFrame, u: str, v: str) -> DataFrame:
@@ -279,12 +290,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found = own if found is None else found.union(own)
         return found
 
-    shared = prints.join(values.withColumnRenamed("node", "v"), ["word", "fp"]).where("node <> v").select(F.col("node").alias("u"), "v")
+    shared = prints.join(values.select("word", "fp", F.col("node").alias("v")), ["word", "fp"]).where("node <> v").select(F.col("node").alias("u"), "v")
     near = by_word(bucket_neighbours, values, "u", "v", "neighbours").union(store(shared, "neighbours"))
     first = store(alike(near, nodes, rows, bound), "links")
     roots = store(components(first), "groups")
-    labelled = store(values.join(roots, "node", "left").select("word", "fp", F.coalesce("root", "node").alias("label")), "labelled")
-    second = alike(by_word(bucket_pairs, labelled, "fu", "fv", "across"), nodes, rows, bound)
+    labelled = store(values.join(roots, "node", "left").select("word", "fp", "more", F.coalesce("root", "node").alias("label")), "labelled")
+    second = alike(by_word(partial(bucket_pairs, more=PAIR_BITS), labelled, "fu", "fv", "across"), nodes, rows, bound)
     roots = store(components(store(second.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), "links")), "groups")
     return rows.select("id", "text_key", "node").join(smallest_ids(rows, "node", roots), "node").select("id", "text_key", "component_id")
 
