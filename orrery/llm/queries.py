@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact, lines, minhash, mixing, packing, pii, repeats, simhash, toolcalls, toxicity
+from . import exact, lines, minhash, mixing, packing, phrases, pii, repeats, simhash, toolcalls, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -23,10 +23,12 @@ QUERIES = {
     "op8_pii": pii.op8,
     "op9_lines": lines.op9,
     "op10_packing": packing.op10,
+    "op11_phrases": phrases.op11,
 }
 
 ORACLES: dict[str, str] = {
     "op2_toolcalls": toolcalls.SQL2,
     "op6_exact": exact.SQL6,
     "op9_lines": lines.SQL9,
+    "op11_phrases": phrases.SQL11,
 }
