@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact, lines, minhash, mixing, packing, phrases, pii, repeats, simhash, toolcalls, toxicity
+from . import exact, lines, minhash, mixing, neighbours, packing, phrases, pii, repeats, simhash, toolcalls, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -24,6 +24,7 @@ QUERIES = {
     "op9_lines": lines.op9,
     "op10_packing": packing.op10,
     "op11_phrases": phrases.op11,
+    "op12_neighbours": neighbours.op12,
 }
 
 ORACLES: dict[str, str] = {
