@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact, lines, minhash, mixing, neighbours, packing, phrases, pii, repeats, simhash, toolcalls, toxicity
+from . import exact, lines, minhash, mixing, neighbours, packing, phrases, pii, repair, repeats, simhash, toolcalls, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -25,6 +25,7 @@ QUERIES = {
     "op10_packing": packing.op10,
     "op11_phrases": phrases.op11,
     "op12_neighbours": neighbours.op12,
+    "op13_repair": repair.op13,
 }
 
 ORACLES: dict[str, str] = {
@@ -32,4 +33,5 @@ ORACLES: dict[str, str] = {
     "op6_exact": exact.SQL6,
     "op9_lines": lines.SQL9,
     "op11_phrases": phrases.SQL11,
+    "op13_repair": repair.SQL13,
 }
