@@ -237,16 +237,22 @@ TURN_TOOLS = {
 def turns_as_calls(conversations: DataFrame):
     """(calls, results): user turns ask, system turns configure, assistant turns answer the call before them.
 
-    A call depends on the one before it, found over ranges of turns.
+    A call depends on the one before it, found over ranges of turns; rows of
+    one turn are in the order of role and text. A call without a conversation
+    or a turn has no id, so that it stays unlinked, and neither it nor an
+    answer without one has a call before it; a null role reads as an answer.
     """
     c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    own = F.when(F.col("role") != "assistant", F.concat(F.lit("call-"), "conv_id", F.lit("-"), "turn"))
+    asks = F.coalesce(F.col("role") != "assistant", F.lit(False))
+    own = F.when(asks, F.concat(F.lit("call-"), "conv_id", F.lit("-"), "turn"))
     points = split_points(c.where("turn is not null"), "turn", shuffle_partitions(conversations.sparkSession))
-    c = store(c.select("*", own.alias("own"), F.coalesce(range_bucket(F.col("turn"), points), F.lit(0)).alias("range")), "turns")
-    c = store(last_before(c, ["conv_id"], "range", ["turn"], "own", "last"), "turns")
+    c = store(c.select("*", own.alias("own"), asks.alias("asks"), range_bucket(F.col("turn"), points).alias("range")), "turns")
+    placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    last = last_before(c.where(placed), ["conv_id"], "range", ["turn", "role", "text"], "own", "last")
+    c = store(last.unionByName(c.where(~placed).withColumn("last", F.lit(None).cast("string"))), "turns")
     arguments = F.when(F.col("role") == "system", F.to_json(F.struct(F.col("text").alias("prompt")))).otherwise(F.to_json(F.struct(F.col("text").alias("question"), "turn")))
-    calls = c.where("own is not null").select("conv_id", "turn", F.col("own").alias("call_id"), F.when(F.col("role") == "system", "configure").otherwise("ask").alias("name"), arguments.alias("arguments"), F.when(F.col("last").isNotNull(), F.array("last")).alias("depends_on"))
-    results = c.where("own is null").select("conv_id", "turn", F.col("last").alias("call_id"), F.col("text").alias("content"))
+    calls = c.where("asks").select("conv_id", "turn", F.col("own").alias("call_id"), F.when(F.col("role") == "system", "configure").otherwise("ask").alias("name"), arguments.alias("arguments"), F.when(F.col("last").isNotNull(), F.array("last")).alias("depends_on"))
+    results = c.where("not asks").select("conv_id", "turn", F.col("last").alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
 
