@@ -6,7 +6,9 @@ key is a weighted sample without replacement. A source whose target reaches
 its size gives whole epochs first; the rest of the target is filled in key
 order as far as prefix sums allow, then again from the documents left over
 that still fit, a fixed number of times, and with one more document where that
-brings the total nearer.
+brings the total nearer. Documents whose weight is 0, negative or NaN come after
+all others of their source, in random order among themselves; a document
+without a weight has 1.
 
 Edge cases: a null text has size 0 and is never taken; a null source is a
 source of its own, after all others; rows that share an id share their key
@@ -26,6 +28,8 @@ WEIGHTS = (5, 2, 1)
 #: Weight of documents by labels.quality; documents without a label get 1.
 QUALITY = {1: 2.0, 0: 0.5}
 PASSES = 4
+#: Factor of the keys of documents without weight: after all others.
+LATE = 1e300
 #: Bytes that a source's row is held to take at the most.
 SOURCE_BYTES = 256
 
@@ -69,10 +73,12 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id
         rows = rows.withColumn("weight", F.lit(1.0))
     # 48 bits of MD5, so that any engine can draw the same numbers.
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double")
-    key = -F.log((draw + 0.5) / float(1 << 48)) / F.coalesce("weight", F.lit(1.0))
+    base, weight = -F.log((draw + 0.5) / float(1 << 48)), F.coalesce("weight", F.lit(1.0))
+    some = (weight > 0) & ~F.isnan(weight)
+    key = F.when(some, base / weight).otherwise(LATE * (1 + base))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     buckets = F.ceil(F.sqrt("n_docs"))
-    rows = rows.select("id", "source", "size", "source_size", "target", key.alias("key"), epochs.alias("epochs"), F.floor((1 - F.exp(-key)) * buckets).alias("bucket"), F.col("row") if row_col else F.monotonically_increasing_id().alias("row"))
+    rows = rows.select("id", "source", "size", "source_size", "target", key.alias("key"), epochs.alias("epochs"), F.when(some, F.floor((1 - F.exp(-key)) * buckets)).otherwise(buckets + F.floor((1 - F.exp(-base)) * buckets)).alias("bucket"), F.col("row") if row_col else F.monotonically_increasing_id().alias("row"))
     rows = store(rows, "drawn")
     whole = goal.select("s", (F.col("target") - F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0) * F.col("source_size")).alias("rest"))
     candidates = rows.where("size > 0").select("row", "id", "source", "size", "key", "bucket")
