@@ -176,15 +176,20 @@ class Schedule:
         quanta = np.floor(w * self.rates[q] / self.quantum).astype(np.int64) * self.quantum
         return np.where(w >= self.rounds, self.totals[q], np.minimum(quanta, self.totals[q]))
 
+    def rounds_of(self, q: int, quanta: np.ndarray) -> np.ndarray:
+        """The rounds, each once, in which queue q serves its ``quanta`` (ascending numbers); the last round serves all that is left."""
+        after = lambda w: np.floor((w + 1) * self.rates[q] / self.quantum)
+        w = np.ceil((quanta + 1) * self.quantum / self.rates[q]).astype(np.int64) - 1
+        # Rounding may be off by one round either way.
+        w += after(w) <= quanta
+        w -= after(w - 1) > quanta
+        return np.unique(np.clip(w, 0, self.rounds - 1))
+
     def pieces(self, q: int, first: int, n: int):
         """(start in the document, position in the stream, length) arrays for n tokens from ``first`` on of queue q."""
-        lo = max(int(first / self.rates[q]) - 2, 0)
-        hi = min(int((first + n + self.quantum) / self.rates[q]) + 3, self.rounds)
-        w = np.arange(lo, hi + 1)
+        w = self.rounds_of(q, np.arange(first // self.quantum, -(-(first + n) // self.quantum)))
         edge = self.served(w, q)
-        a, b = np.maximum(edge[:-1], first), np.minimum(edge[1:], first + n)
-        keep = b > a
-        w, a, b, edge = w[:-1][keep], a[keep], b[keep], edge[:-1][keep]
+        a, b = np.maximum(edge, first), np.minimum(self.served(w + 1, q), first + n)
         pos = np.empty(len(w), np.int64)
         step = max(1, CELLS // len(self.totals))
         for at in range(0, len(w), step):
