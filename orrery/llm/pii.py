@@ -63,17 +63,54 @@ SECRET_HEADS = ("sk", "pk", "gh", "AKIA", "xox", "eyJ", "AIza", "glpat")
 ROUNDS = 30
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` standing for ``value``, which is worked out once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _fold(items: str, state: dict[str, str], kind: str, step: str) -> str:
+    """SQL for what folding an array puts out.
+
+    ``state`` has the names and first values of what is carried. ``step``
+    makes a struct (the new state, and out, an array of ``kind``) of a, the
+    state, and x, an item. Items are folded in runs of about the square root
+    of their number, so that no array grows one by one over all of them.
+    """
+    none = f"cast(array() as array<{kind}>)"
+    zero, old, new = (", ".join(f"'{n}', {v or f'{x}.{n}'}" for n, v in s.items()) for s, x in ((state, ""), (dict.fromkeys(state), "a"), (dict.fromkeys(state), "r")))
+    run = f"aggregate(c, named_struct({old}, 'out', {none}), (a, x) -> {_let('r', step, f'named_struct({new}, {chr(39)}out{chr(39)}, if(size(r.out) = 0, a.out, concat(a.out, r.out)))')})"
+    width = "cast(ceil(sqrt(greatest(size(l), 1))) as int)"
+    runs = _let("l", items, f"transform(sequence(0, greatest(size(l) - 1, 0) div {width}), i -> slice(l, i * {width} + 1, {width}))")
+    return f"""aggregate({runs}, named_struct({zero}, 'out', cast(array() as array<array<{kind}>>)),
+      (a, c) -> {_let('r', run, f"named_struct({new}, 'out', concat(a.out, array(r.out)))")}, a -> flatten(a.out))"""
+
+
 def _spans(text: str, pattern: str) -> str:
-    """SQL for array<struct<s, e, m>>: code-point spans of a pattern's matches.
+    """SQL for array<struct<s, e, m, before, after>>: code-point spans of a pattern's matches, 24 code points before and one after.
 
-    The pieces between matches and the matches in turn give the offsets.
+    The pieces between matches and the matches in turn give the offsets and
+    the surroundings, so that the text is read once for all matches.
     """
     p = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    return f"""aggregate(
-      zip_with(regexp_extract_all({text}, '{p}', 0), split({text}, '{p}', -1), (m, gap) -> named_struct('m', m, 'gap', length(gap))),
-      named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int,m:string>>)),
-      (a, x) -> if(x.m is null, a, named_struct('at', a.at + x.gap + length(x.m), 'out', concat(a.out, array(named_struct('s', a.at + x.gap, 'e', a.at + x.gap + length(x.m), 'm', x.m))))),
-      a -> a.out)"""
+    kind = "struct<s:int,e:int,m:string,before:string,after:string>"
+    items = _let("ms", f"regexp_extract_all({text}, '{p}', 0)", _let("gaps", f"split({text}, '{p}', -1)", "transform(gaps, (gap, i) -> named_struct('m', get(ms, i), 'gap', gap, 'after', substring(concat(coalesce(get(gaps, i + 1), ''), coalesce(get(ms, i + 1), '')), 1, 1)))"))
+    step = f"""if(x.m is null, named_struct('at', a.at, 'tail', a.tail, 'out', cast(array() as array<{kind}>)),
+      named_struct('at', a.at + length(x.gap) + length(x.m), 'tail', right(concat(a.tail, x.gap, x.m), 24),
+        'out', array(named_struct('s', a.at + length(x.gap), 'e', a.at + length(x.gap) + length(x.m), 'm', x.m, 'before', right(concat(a.tail, x.gap), 24), 'after', x.after))))"""
+    return _fold(items, {"at": "0", "tail": "''"}, kind, step)
+
+
+def _free() -> str:
+    """SQL for the structs (s, kind, e) of column more that overlap none of column base and, in order of their starts, none taken before."""
+    place, full = "struct<s:int,kind:int,e:int>", "struct<s:int,kind:int,e:int,own:int,next:int>"
+    both = "array_sort(concat(transform(base, b -> named_struct('s', b.s, 'kind', b.kind, 'e', b.e, 'own', 0)), transform(more, b -> named_struct('s', b.s, 'kind', b.kind, 'e', b.e, 'own', 1))))"
+    # From the last to the first: where the next base span begins, as a negative number (0: nowhere).
+    back = _fold(f"reverse({both})", {"next": "0"}, full, "named_struct('next', if(x.own = 0, x.s - 2147483647, a.next), 'out', array(named_struct('s', x.s, 'kind', x.kind, 'e', x.e, 'own', x.own, 'next', a.next)))")
+    # From the first to the last: what ends before this span begins.
+    keep = "x.own = 1 and a.held <= x.s and (a.taken <= x.s) and x.next + 2147483647 >= x.e"
+    step = f"""named_struct('held', if(x.own = 0, greatest(a.held, x.e), a.held), 'taken', if({keep}, x.e, a.taken),
+      'out', if({keep}, array(named_struct('s', x.s, 'kind', x.kind, 'e', x.e)), cast(array() as array<{place}>)))"""
+    return f"if(size(more) = 0, cast(array() as array<{place}>), {_fold(f'reverse({back})', {'held': '0', 'taken': '0'}, place, step)})"
 
 
 def _digits(m: str) -> str:
@@ -106,8 +143,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for kind, pattern in patterns.items():
             need = "at" if loose and kind == "email" else "" if loose else NEEDS.get(kind, "")
             valid = "false" if loose else VALID[kind]("x.m")
-            got = f"""transform({_spans('text', pattern)}, x -> named_struct('s', x.s, 'e', x.e, 'kind', {KINDS.index(kind)}, 'base', {valid}, 'm', x.m,
-              'before', lower(substring(text, greatest(x.s - 23, 1), least(x.s, 24))), 'after', substring(text, x.e + 1, 1)))"""
+            got = f"""transform({_spans('text', pattern)}, x -> named_struct('s', x.s, 'e', x.e, 'kind', {KINDS.index(kind)}, 'base', {valid}, 'm', x.m, 'before', lower(x.before), 'after', x.after))"""
             nothing = "cast(array() as array<struct<s:int,e:int,kind:int,base:boolean,m:string,before:string,after:string>>)"
             parts.append(f"if(contains(text, '{need}'), {got}, {nothing})" if need else got)
     return src.select("id", F.expr(f"concat({', '.join(parts)})").alias("found"))
@@ -184,8 +220,11 @@ def ballot(c: Column) -> list[Column]:
     return [checks(c), shape, gazetteer, hinted(c), touches]
 
 
+FEATURES = ("kind", "digits", "length", "marks", "head", "before", "checks", "context", "classes", "assigned", "after")
+
+
 def features(c: Column) -> list[Column]:
-    """Categories of a candidate for the classifier; few, whatever the text."""
+    """Categories of a candidate for the classifier, as in FEATURES; few, whatever the text."""
     k = F.concat(c["kind"].cast("string"), F.lit("|"))
     n = F.length(F.regexp_replace(c["m"], "[^0-9]", ""))
     return [
@@ -256,21 +295,21 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(id, base, added): arrays of struct (s, kind, e), ordered, one row per row of ``docs``."""
     found = store(candidates(docs, id_col, text_col), "candidates")
     model, prior = train(found)
-    weights = F.create_map(*[F.lit(x) for kv in (model or {"": 0.0}).items() for x in kv])
+    # A map for each feature: looking up takes as long as a map has entries.
+    maps = [[F.lit(x) for kv in model.items() if kv[0].startswith(f"{name}|") for x in kv] for name in FEATURES]
 
     def likely(c):
-        score = F.aggregate(F.transform(F.array(*features(c)), lambda f: F.coalesce(F.try_element_at(weights, f), F.lit(0.0))), F.lit(prior), lambda a, x: a + x)
+        found = [F.coalesce(F.try_element_at(F.create_map(*m), f), F.lit(0.0)) if m else F.lit(0.0) for m, f in zip(maps, features(c))]
+        score = F.lit(prior)
+        for x in found:
+            score = score + x
         return score >= 0
 
     place = lambda c: F.struct(c["s"].alias("s"), c["kind"].alias("kind"), c["e"].alias("e"))
     base = F.array_sort(F.transform(F.filter("found", lambda c: c["base"]), place))
     more = F.array_sort(F.transform(F.filter("found", lambda c: ~c["base"] & likely(c)), place))
     out = found.select("id", base.alias("base"), more.alias("more"))
-    free = F.filter("more", lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    out = out.select("id", "base", free.alias("more"))
-    # In order of their starts, one that begins before the end of the last taken is left out.
-    taken = F.aggregate("more", F.filter("more", lambda c: F.lit(False)), lambda a, c: F.when(F.coalesce(F.try_element_at(a, F.lit(-1))["e"], F.lit(0)) <= c["s"], F.concat(a, F.array(c))).otherwise(a))
-    return out.select("id", "base", taken.alias("added"))
+    return out.select("id", "base", F.expr(_free()).alias("added"))
 
 
 def listed(spans: Column) -> Column:
