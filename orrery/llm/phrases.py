@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_small, store, table, text_slices
 
+#: Bytes of text whose places are counted together: what a task holds at once.
+SLICE = 1 << 20
 #: Words of the longest phrase.
 LONGEST = 5
 #: Bits of the map of frequent pairs (8 MB), at any size of the input.
@@ -49,7 +51,7 @@ KIND[[ord(c) for c in ".,;:!?"] + [0x0A, 0x0B, 0x0C, 0x0D]] = 2
 def _slices(batches):
     """For slices of columns lang, text: (langs, lang of each word, words, word of each place, whether it and the next share a piece)."""
     for b in batches:
-        for lo, hi in text_slices(b.column(1)):
+        for lo, hi in text_slices(b.column(1), SLICE):
             langs = b.column(0).slice(lo, hi - lo).dictionary_encode()
             texts = pc.ascii_lower(b.column(1).slice(lo, hi - lo))
             joined = pc.binary_join(pa.array([texts.cast(pa.binary()).to_pylist()], pa.list_(pa.binary())), b"\n")
@@ -62,7 +64,7 @@ def _slices(batches):
             raw = np.frombuffer(joined[0].as_buffer(), np.uint8)[kind == 0]
             offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int32)
             coded = pa.Array.from_buffers(pa.utf8(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
-            breaks = np.concatenate(([0], np.cumsum(kind == 2)))[starts]
+            breaks = np.concatenate(([0], np.cumsum(kind == 2, dtype=np.int32)))[starts]
             sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
             doc = np.searchsorted(np.cumsum(sizes + 1), starts, "right")
             together = np.append(breaks[1:] == breaks[:-1], False)
