@@ -36,14 +36,14 @@ from .graph import components
 BITS = 64
 SEED = 42
 FACTOR, FACTOR2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
-#: Of near copies by similarity: words of a wide print, and words of the shingles that it is made of.
-PRINTS, PRINT_SIZE = 4, 2
+#: Of near copies by similarity: words of a wide print, and words of the shorter shingles that it is made of, besides those that similarity is measured by.
+PRINTS, PRINT_SIZE = 6, 2
 #: Each word is indexed for so many differing bits, in three segments.
 KEYED = 5
 #: Bits that may differ in the word by which a pair was met, and in all: at a
 #: similarity of 0.8 a bit differs with probability 0.15 at the most, so that a
 #: pair is ruled out by the first in 1 case of 300 a word, by the second in 1 of 10^8.
-WORD_BITS, WIDE_BITS = 14, 73
+WORD_BITS, WIDE_BITS = 14, 102
 #: Bits that may differ in that word and the next: 16 of the 107 outside the segment do on average at 0.8, over 32 in 1 of 100,000 pairs; unlike texts pass in 1 of 40,000.
 PAIR_BITS = 33
 #: Rows of eight bytes up to which nodes are broadcast.
@@ -97,14 +97,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return src.mapInArrow(run, "id long, fp long")
 
 
-def _keys(distance: int, by: str | None = None):
-    """The 64 one-wildcard segment variants of column fp, the wildcard's place in the high bits, and above it the number in column ``by``."""
+def _keys(distance: int):
+    """The 64 one-wildcard segment variants of column fp, the wildcard's place in the high bits."""
     out = []
     for at, n in segments(distance):
         seg = F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << n) - 1))
         out += [seg.bitwiseAND(F.lit(((1 << n) - 1) & ~(1 << i))).bitwiseOR(F.lit((at + i) << 32)) for i in range(n)]
-    if by:
-        out = [k.bitwiseOR(F.shiftleft(F.col(by).cast("long"), 40)) for k in out]
     return F.explode(F.array(*out)).alias("key")
 
 
@@ -112,36 +110,46 @@ def _near(a: str, b: str, most: int):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
 
 
-def bucket_neighbours(fps: DataFrame, distance: int, most: int, by: str | None = None) -> DataFrame:
-    """(key, u, v): fingerprints (fp, distinct) of a bucket that are neighbours in it, or one of them its smallest, at most ``most`` bits apart.
+def bucket_neighbours(fps: DataFrame, distance: int, most: int, node: str = "fp") -> DataFrame:
+    """(u, v): nodes of (fp, node) whose fingerprints are neighbours in a bucket, or one of them its smallest, at most ``most`` bits apart.
 
     This joins large groups of near copies without their pairs.
     """
-    w = Window.partitionBy("key").orderBy("fp")
-    near = fps.select(_keys(distance, by), "fp").select("key", "fp", F.lag("fp").over(w).alias("prev"), F.first("fp").over(w).alias("first"))
-    near = near.select("key", "fp", F.explode(F.array("prev", "first")).alias("other"))
-    return near.where(F.col("other").isNotNull() & (F.col("fp") != F.col("other")) & _near("fp", "other", most)).select("key", F.col("fp").alias("u"), F.col("other").alias("v"))
+    own = F.struct("fp", F.col(node).alias("node"))
+    w = Window.partitionBy("key").orderBy("own")
+    near = fps.select(_keys(distance), own.alias("own")).select("own", F.lag("own").over(w).alias("prev"), F.first("own").over(w).alias("first"))
+    near = near.select("own", F.explode(F.array("prev", "first")).alias("other")).select("own.*", F.col("other.fp").alias("fp2"), F.col("other.node").alias("v"))
+    return near.where((F.col("node") != F.col("v")) & _near("fp", "fp2", most)).select(F.col("node").alias("u"), "v").distinct()
 
 
-def bucket_pairs(labelled: DataFrame, distance: int, most: int, by: str | None = None, more: int | None = None) -> DataFrame:
-    """(key, fu, fv, u, v): all pairs of a bucket of (fp, label) whose labels u and v differ, at most ``most`` bits apart.
+def bucket_pairs(labelled: DataFrame, distance: int, most: int, node: str = "fp", more: int | None = None) -> DataFrame:
+    """(lu, lv, u, v): all pairs of nodes of a bucket of (fp, node, label) whose labels lu and lv differ, at most ``most`` bits apart.
 
     They are compared in the join's condition, so none within a group is
     emitted. A bucket of one label is left out, and one side leaves out the
-    bucket's smallest label: a pair with one side in it comes once, any other
-    twice. With ``more``, column more has 64 further bits, and in all 128 so
-    many may differ: chance pairs, which grow with the square of the rows, go
-    before they are emitted.
+    bucket's label with the most nodes in all: a pair with one side in it comes
+    once, any other twice, and a large group isn't compared with itself. The
+    labels of a bucket are reduced and stored before the index
+    meets them, and both sides of the pairs' join come from exchanges of their
+    own, so that Spark can split a bucket of very many rows in either join.
+    With ``more``, column more has 64 further bits, and in all 128 so many may
+    differ: chance pairs, which grow with the square of the rows, go before
+    they are emitted.
     """
-    whole = Window.partitionBy("key")
-    own = ["fp", "label"] + (["more"] if more is not None else [])
-    index = labelled.select(_keys(distance, by), *own).select("key", *own, F.min("label").over(whole).alias("lo"), F.max("label").over(whole).alias("hi")).where("lo <> hi")
-    side = lambda df, x: df.select("key", F.col("fp").alias(f"f{x}"), F.col("label").alias(x), *([F.col("more").alias(f"m{x}")] if more is not None else []))
-    a, b = side(index.where("label <> lo"), "u"), side(index, "v")
+    own = ["fp", "label"] + ([node] if node != "fp" else []) + (["more"] if more is not None else [])
+    sizes = store(labelled.groupBy("label").agg(F.count("*").alias("size")), "sizes")
+    ranked = labelled.join(sizes, "label").select(_keys(distance), "label", "size")
+    mixed = ranked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("size", "label")).alias("most")).where("lo <> hi")
+    mixed = store(mixed.select("key", F.col("most.label").alias("most")), "mixed")
+    index = labelled.select(_keys(distance), *own)
+    # Another name for a key: the join below deals the rows anew.
+    index = index.join(mixed, "key").withColumn("key", F.col("key").bitwiseXOR(F.lit(1)))
+    side = lambda df, x: df.select(F.col("key").alias(f"k{x}"), F.col("fp").alias(f"f{x}"), F.col("label").alias(f"l{x}"), F.col(node).alias(x), *([F.col("more").alias(f"m{x}")] if more is not None else []))
+    a, b = side(index.where("label <> most"), "u"), side(index, "v")
     near = _near("fu", "fv", most)
     if more is not None:
         near = near & (F.bit_count(F.col("fu").bitwiseXOR(F.col("fv"))) + F.bit_count(F.col("mu").bitwiseXOR(F.col("mv"))) <= more)
-    return a.join(b, (a.key == b.key) & (F.col("u") != F.col("v")) & near).select(a.key, "fu", "fv", "u", "v")
+    return a.join(b, (F.col("ku") == F.col("kv")) & (F.col("lu") != F.col("lv")) & near).select("lu", "lv", "u", "v")
 
 
 def link(fps: DataFrame, distance: int = 4) -> DataFrame:
@@ -150,9 +158,9 @@ def link(fps: DataFrame, distance: int = 4) -> DataFrame:
     First neighbours in a bucket are linked, then all pairs of a bucket whose
     groups still differ.
     """
-    first = store(components(bucket_neighbours(fps, distance, distance).select("u", "v")), "groups")
+    first = store(components(bucket_neighbours(fps, distance, distance)), "groups")
     labelled = fps.join(first, fps.fp == first.node, "left").select("fp", F.coalesce("root", "fp").alias("label"))
-    second = store(components(bucket_pairs(labelled, distance, distance).select("u", "v")), "groups")
+    second = store(components(bucket_pairs(labelled, distance, distance).select(F.col("lu").alias("u"), F.col("lv").alias("v"))), "groups")
     return labelled.join(second, labelled.label == second.node, "left").select(F.col("fp").alias("node"), F.coalesce("root", "label").alias("root"))
 
 
@@ -216,8 +224,10 @@ def _describe(batches, size: int):
             sets, prints = [], []
             with np.errstate(over="ignore"):
                 for h in np.split(known[codes], np.cumsum(counts)[:-1]):
-                    sets.append(np.unique((rolling(h, size) >> np.uint64(32)).astype(np.uint32)).view(np.int32))
-                    prints.append(wide_print(np.unique(rolling(h, PRINT_SIZE))))
+                    shingles = np.unique(rolling(h, size))
+                    sets.append(np.unique((shingles >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+                    # Short shingles too: an edit changes fewer of them. Long ones too: texts of few words have the same short ones.
+                    prints.append(wide_print(np.unique(np.concatenate((shingles, rolling(h, PRINT_SIZE))))))
             n = np.fromiter(map(len, sets), np.int32, len(sets))
             nodes = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets))
             cols = [
@@ -232,7 +242,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
     """One row per row of ``docs``: id, text_key, node, n, prints, hashes.
 
     Hashes are 32 bits of each distinct shingle of ``size`` words; node stands
-    for the set of them; prints is the SimHash of the distinct pairs of words.
+    for the set of them; prints is the SimHash of these shingles and of the distinct pairs of words together.
     """
     text = F.make_valid_utf8(F.col(text_col).cast("string"))
     src = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), text_key(F.col(text_col).cast("string")).alias("text_key"))
@@ -266,36 +276,24 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     deletion-variant index of each of the PRINTS words of a wide print, as in
     ``link``: neighbours in buckets of all words first, then, once the groups
     that these make are known, all pairs across groups. Texts of one set are
-    one node, and nodes that share a word are compared with the least of them.
+    one node; every node is indexed by all its words, whoever shares them.
     """
     rows = store(described(docs, id_col, text_col, size), "shingles")
     nodes = store(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("prints").alias("prints")), "nodes")
-    # The values of each word of the print, with the least of their nodes.
-    prints = nodes.select("node", "prints", F.posexplode("prints").alias("word", "fp"))
-    prints = prints.select("node", "word", "fp", F.get("prints", (F.col("word") + 1) % PRINTS).alias("more"))
-    values = store(prints.groupBy("word", "fp").agg(F.min(F.struct("node", "more")).alias("least")).select("word", "fp", "least.node", "least.more"), "values")
-    ends = lambda u, v: (values.select(F.col("word").alias(f"word_{x}"), F.col("fp").alias(x), F.col("node").alias(y)) for x, y in ((u, "nu"), (v, "nv")))
-
-    def met(found: DataFrame, u: str, v: str) -> DataFrame:
-        """Pairs of values in columns u and v as pairs of their nodes."""
-        a, b = ends(u, v)
-        found = found.select(F.shiftright("key", 40).cast("int").alias("w"), u, v).distinct()
-        return found.join(a, (F.col("w") == a["word_" + u]) & (found[u] == a[u])).drop(a[u]).join(b, (F.col("w") == b["word_" + v]) & (found[v] == b[v])).select(F.col("nu").alias("u"), F.col("nv").alias("v"))
-
-    def by_word(f, df: DataFrame, u: str, v: str, name: str) -> DataFrame:
+
+    def by_word(find, df: DataFrame, name: str) -> DataFrame:
         """Pairs of nodes from the index of one word after the other, so that only one is on disk."""
         found = None
         for k in range(PRINTS):
-            own = store(met(f(df.where(F.col("word") == k), KEYED, WORD_BITS, "word"), u, v), name)
+            word = df.withColumn("fp", F.get("prints", F.lit(k))).withColumn("more", F.get("prints", F.lit((k + 1) % PRINTS)))
+            own = store(find(word.drop("prints"), KEYED, WORD_BITS, "node").select("u", "v"), name)
             found = own if found is None else found.union(own)
         return found
 
-    shared = prints.join(values.select("word", "fp", F.col("node").alias("v")), ["word", "fp"]).where("node <> v").select(F.col("node").alias("u"), "v")
-    near = by_word(bucket_neighbours, values, "u", "v", "neighbours").union(store(shared, "neighbours"))
-    first = store(alike(near, nodes, rows, bound), "links")
+    first = store(alike(by_word(bucket_neighbours, nodes, "neighbours"), nodes, rows, bound), "links")
     roots = store(components(first), "groups")
-    labelled = store(values.join(roots, "node", "left").select("word", "fp", "more", F.coalesce("root", "node").alias("label")), "labelled")
-    second = alike(by_word(partial(bucket_pairs, more=PAIR_BITS), labelled, "fu", "fv", "across"), nodes, rows, bound)
+    labelled = store(nodes.join(roots, "node", "left").select("node", "prints", F.coalesce("root", "node").alias("label")), "labelled")
+    second = alike(by_word(partial(bucket_pairs, more=PAIR_BITS), labelled, "across"), nodes, rows, bound)
     roots = store(components(store(second.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), "links")), "groups")
     return rows.select("id", "text_key", "node").join(smallest_ids(rows, "node", roots), "node").select("id", "text_key", "component_id")
 

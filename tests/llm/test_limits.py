@@ -1,13 +1,14 @@
 """What operators do with null keys, odd weights, rare sources and very many matches."""
 
 import math
+import random
 import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import mixing, packing, pii, toolcalls
+from orrery.llm import mixing, packing, pii, simhash, toolcalls
 
 
 def test_turns_without_conversation_or_turn_stay(spark):
@@ -93,3 +94,102 @@ def test_very_many_matches_in_one_text(spark):
     for c in found:
         t = text(3000)
         assert c["m"] == t[c["s"] : c["e"]] and c["before"] == t[max(c["s"] - 24, 0) : c["s"]].lower() and c["after"] == t[c["e"] : c["e"] + 1]
+
+
+def shingle_sets(texts, n=5):
+    ws = [t.split() for t in texts]
+    return [{tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set() for w in ws]
+
+
+def plain_groups(texts, bound=0.8):
+    """(smallest place reachable, number of linked pairs, pairs) over all pairs."""
+    sets, root, found = shingle_sets(texts), list(range(len(texts))), []
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            either = len(sets[i] | sets[j])
+            if (both >= bound * either) if either else True:
+                found.append((j, i))
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))], found
+
+
+def copies(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("vocabulary", [2, 3, 6])
+def test_texts_of_few_words_lose_no_link(spark, vocabulary):
+    """Tables and logs: many texts that share their words, pairs of words and whole words of prints."""
+    g = random.Random(vocabulary)
+    bases = [[str(g.randrange(vocabulary)) for _ in range(60)] for _ in range(60)]
+    texts = []
+    for b in bases:
+        near = list(b)
+        near[g.randrange(60)] = str(g.randrange(vocabulary))
+        texts += [" ".join(b), " ".join(near)]
+    groups, found = plain_groups(texts)
+    got = copies(spark, texts)
+    # Those at the bound may be missed by chance; nothing is missed because words are shared.
+    assert len(found) > 20 and sum(got[i] == got[j] for i, j in found) >= 0.95 * len(found)
+    assert all(groups[got[i]] == groups[i] for i in range(len(texts)))
+
+
+@pytest.mark.parametrize("low, high", [(0.8, 0.82), (0.85, 0.87), (0.9, 0.95)])
+def test_replaced_endings(spark, low, high):
+    """A new ending changes as many short shingles as long ones, in one place: 0.9 of such pairs are found at the bound."""
+    g = random.Random(int(low * 100))
+    texts, pairs = [], []
+    while len(pairs) < 150:
+        n = g.randrange(60, 400)
+        base = [f"w{g.randrange(5000)}" for _ in range(n)]
+        for cut in range(n, 0, -1):
+            other = base[:cut] + [f"z{g.randrange(10**9)}" for _ in range(n - cut)]
+            a, b = shingle_sets([" ".join(base), " ".join(other)])
+            if len(a & b) / len(a | b) < high:
+                break
+        if len(a & b) / len(a | b) >= low:
+            pairs.append((len(texts), len(texts) + 1))
+            texts += [" ".join(base), " ".join(other)]
+    got = copies(spark, texts)
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.9 * len(pairs)
+    assert all(got[i] in (i, i - i % 2) for i in range(len(texts)))
+
+
+def test_hub_and_hot_key(spark):
+    """One large group around a text, with members that are alike only through it, next to groups that share its keys."""
+    g = random.Random(9)
+    base = [f"v{g.randrange(3000)}" for _ in range(200)]
+    texts = [" ".join(base)]
+    for _ in range(300):
+        other = list(base)
+        for i in g.sample(range(200), g.choice([1, 2, 4, 5])):
+            other[i] = f"n{g.randrange(10**9)}"
+        texts.append(" ".join(other))
+    groups, _ = plain_groups(texts)
+    assert copies(spark, texts) == groups
+
+
+def test_pairs_of_a_hot_key_can_be_split(spark):
+    """Every join of an index with itself or with its keys has plain exchanges on both sides."""
+    labelled = spark.range(1000).select(F.xxhash64("id").alias("fp"), (F.col("id") % 5).alias("label"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = simhash.bucket_pairs(labelled, 4, 4)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert "Window" not in physical and physical.count("SortMergeJoin") >= 2
+    lines = [x.strip(" :+-") for x in physical.splitlines()]
+    for i, x in enumerate(lines):
+        if x.startswith("SortMergeJoin"):
+            assert lines[i + 1].startswith("Sort") and lines[i + 2].startswith(("Exchange hashpartitioning", "ReusedExchange"))
