@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import store
+
 
 def numbered(df: DataFrame, by: str, out: str, parts: int | None = None) -> DataFrame:
-    """Add ``out``: the row's number from 1 in the order of the number ``by``.
+    """Add ``out``: the row's number from 1 in the order of ``by``, a column of any type that has an order.
 
-    Rows are dealt over ranges; ranges are counted, and a window runs in each.
+    Rows are dealt over ranges and stored with the number of theirs, since
+    ranges are drawn anew whenever a plan runs; ranges are counted, and a
+    window runs in each. Nulls come first.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    at = [i / parts for i in range(1, parts)]
-    points = sorted(set((df.agg(F.percentile_approx(by, at, 20 * parts).alias("p")).first()["p"] if at else None) or []))
-    bucket = F.size(F.filter(F.array(*[F.lit(p) for p in points]), lambda p: p <= F.col(by))) if points else F.lit(0)
-    rows = df.withColumn("__range", F.coalesce(bucket, F.lit(-1)))
+    rows = store(df.repartitionByRange(parts, by).withColumn("__range", F.spark_partition_id()), "ranges")
     every = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     # One row a range.
     before = rows.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(every), F.lit(0)).alias("__before"))

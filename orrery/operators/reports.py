@@ -62,15 +62,22 @@ def text_parts(df: DataFrame, key: str, text: str) -> DataFrame:
     return parts.select(key, "line_no", "part_no", bold_markup(both).alias("content")).where(trim_unicode(F.col("content")) != "")
 
 
-def append_new(log: DataFrame, snapshots: DataFrame) -> DataFrame:
+def append_new(log: DataFrame, snapshots: DataFrame, only_new: bool = False) -> DataFrame:
     """The log (ordinal, id, ...) with the snapshots whose id it doesn't have, all their fields, numbered on in the order of their ids.
 
-    The same snapshots offered again change nothing.
+    Ids may have any type that has an order. Of snapshots that share an id the
+    one whose other fields come first counts. The same snapshots offered again
+    change nothing. With ``only_new`` the result has the new rows alone.
     """
-    fresh = snapshots.join(log.select("id"), "id", "left_anti").dropDuplicates(["id"])
+    rest = [c for c in snapshots.columns if c != "id"]
+    fresh = snapshots.join(log.select("id"), "id", "left_anti")
+    if rest:
+        fresh = fresh.groupBy("id").agg(F.min(F.struct(*rest)).alias("__rest")).select("id", "__rest.*")
+    else:
+        fresh = fresh.distinct()
     last = log.agg(F.coalesce(F.max("ordinal"), F.lit(0)).alias("last"))  # one row
     fresh = numbered(fresh, "id", "ordinal").join(F.broadcast(last)).withColumn("ordinal", F.col("ordinal") + F.col("last")).drop("last")
-    return log.unionByName(fresh, allowMissingColumns=True)
+    return fresh if only_new else log.unionByName(fresh, allowMissingColumns=True)
 
 
 def evidence_name(ordinal: Column) -> Column:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import join_reduced
+from ..functions.tables import small
+
+#: What a term of a vocabulary is held to take.
+TERM_BYTES = 64
 
 
 def term_counts(df: DataFrame, key: str, toks: Column) -> DataFrame:
@@ -13,21 +17,43 @@ def term_counts(df: DataFrame, key: str, toks: Column) -> DataFrame:
     return df.select(key, F.explode(toks).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def tfidf(df: DataFrame, key: str, toks: Column, min_df: int = 5, max_df: float = 0.80) -> DataFrame:
-    """(key, term, weight): tf times ln((1 + n) / (1 + df)) + 1, each document at unit length.
+def fit(df: DataFrame, key: str, toks: Column, min_df: int = 5, max_df: float = 0.80, tf: DataFrame | None = None) -> DataFrame:
+    """(term, df, idf): the vocabulary of a corpus, to be stored and applied to later texts.
 
-    Terms in fewer than min_df documents or over max_df of all are pruned
-    first. n counts all rows, those without terms included.
+    idf is ln((1 + n) / (1 + df)) + 1. Terms in fewer than min_df documents or
+    over max_df of all are pruned. n counts all rows, those without terms
+    included. ``tf`` are the corpus's term counts, where they are at hand.
     """
-    tf = term_counts(df, key, toks)
+    tf = term_counts(df, key, toks) if tf is None else tf
     n = df.agg(F.count("*").alias("docs"))  # one row
     terms = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("docs")))
-    terms = terms.select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return terms.select("term", "df", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def _weighted(tf: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
     # A term may be in most documents.
-    raw = join_reduced(tf, terms, "term", key).select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    raw = join_reduced(tf, vocabulary.select("term", "idf"), "term", key).select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     return raw.select(key, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).alias("weight"))
 
 
+def transform(df: DataFrame, vocabulary: DataFrame, key: str, toks: Column) -> DataFrame:
+    """(key, term, weight) of texts by a fitted, stored vocabulary: tf times idf, each document at unit length; other terms don't count.
+
+    The vocabulary's rows are counted: a small one goes to all tasks, and then
+    texts aren't shuffled by term.
+    """
+    tf = term_counts(df, key, toks)
+    lookup = small(vocabulary.select("term", "idf"), TERM_BYTES)
+    raw = tf.join(lookup, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    return raw.select(key, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).alias("weight"))
+
+
+def tfidf(df: DataFrame, key: str, toks: Column, min_df: int = 5, max_df: float = 0.80) -> DataFrame:
+    """(key, term, weight): tf times idf by the corpus's own vocabulary, each document at unit length; see ``fit``."""
+    tf = term_counts(df, key, toks)
+    return _weighted(tf, fit(df, key, toks, min_df, max_df, tf), key)
+
+
 def cluster_terms(weights: DataFrame, clusters: DataFrame, key: str, cluster: str, top: int = 10) -> DataFrame:
     """(cluster, rank, term, weight): the terms of highest mean weight over all rows of a cluster.
 
