@@ -36,16 +36,18 @@ from .graph import components
 BITS = 64
 SEED = 42
 FACTOR, FACTOR2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
-#: Of near copies by similarity: words of a wide print, and words of the shorter shingles that it is made of, besides those that similarity is measured by.
-PRINTS, PRINT_SIZE = 6, 2
+#: Of near copies by similarity: words of a wide print. The first SHORT are of
+#: pairs of words, of which scattered edits change fewer; the others of the
+#: shingles that similarity is measured by, which texts of few words differ in.
+PRINTS, SHORT, PRINT_SIZE = 6, 4, 2
 #: Each word is indexed for so many differing bits, in three segments.
 KEYED = 5
 #: Bits that may differ in the word by which a pair was met, and in all: at a
 #: similarity of 0.8 a bit differs with probability 0.15 at the most, so that a
 #: pair is ruled out by the first in 1 case of 300 a word, by the second in 1 of 10^8.
 WORD_BITS, WIDE_BITS = 14, 102
-#: Bits that may differ in that word and the next: 16 of the 107 outside the segment do on average at 0.8, over 32 in 1 of 100,000 pairs; unlike texts pass in 1 of 40,000.
-PAIR_BITS = 33
+#: Bits that may differ in a word of the other kind: 10 do on average at 0.8, over 20 in 1 of 5,000 pairs; unlike texts pass both in 1 of 40,000.
+MORE_BITS = 20
 #: Rows of eight bytes up to which nodes are broadcast.
 MAX_BROADCAST = 1_000_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -132,15 +134,17 @@ def bucket_pairs(labelled: DataFrame, distance: int, most: int, node: str = "fp"
     labels of a bucket are reduced and stored before the index
     meets them, and both sides of the pairs' join come from exchanges of their
     own, so that Spark can split a bucket of very many rows in either join.
-    With ``more``, column more has 64 further bits, and in all 128 so many may
+    With ``more``, column more has 64 further bits, of which so many may
     differ: chance pairs, which grow with the square of the rows, go before
     they are emitted.
     """
     own = ["fp", "label"] + ([node] if node != "fp" else []) + (["more"] if more is not None else [])
     sizes = store(labelled.groupBy("label").agg(F.count("*").alias("size")), "sizes")
-    ranked = labelled.join(sizes, "label").select(_keys(distance), "label", "size")
-    mixed = ranked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("size", "label")).alias("most")).where("lo <> hi")
-    mixed = store(mixed.select("key", F.col("most.label").alias("most")), "mixed")
+    ranked = labelled.join(sizes, "label").select(_keys(distance), F.struct("size", "label").alias("rank"), "fp")
+    mixed = ranked.groupBy("key").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.count("*").alias("n"), F.bit_or("fp").alias("any"), F.bit_and("fp").alias("all"))
+    # Two rows that are too far apart, as nearly all are that share a key by chance, are told by the bits that not both have.
+    mixed = mixed.where((F.col("lo") != F.col("hi")) & ((F.col("n") > 2) | _near("any", "all", most)))
+    mixed = store(mixed.select("key", F.col("hi.label").alias("most")), "mixed")
     index = labelled.select(_keys(distance), *own)
     # Another name for a key: the join below deals the rows anew.
     index = index.join(mixed, "key").withColumn("key", F.col("key").bitwiseXOR(F.lit(1)))
@@ -148,7 +152,7 @@ def bucket_pairs(labelled: DataFrame, distance: int, most: int, node: str = "fp"
     a, b = side(index.where("label <> most"), "u"), side(index, "v")
     near = _near("fu", "fv", most)
     if more is not None:
-        near = near & (F.bit_count(F.col("fu").bitwiseXOR(F.col("fv"))) + F.bit_count(F.col("mu").bitwiseXOR(F.col("mv"))) <= more)
+        near = near & _near("mu", "mv", more)
     return a.join(b, (F.col("ku") == F.col("kv")) & (F.col("lu") != F.col("lv")) & near).select("lu", "lv", "u", "v")
 
 
@@ -202,10 +206,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def wide_print(hashes: np.ndarray) -> np.ndarray:
+def wide_print(short: np.ndarray, long: np.ndarray) -> np.ndarray:
     """PRINTS words of 64 bits: SimHashes of distinct hashes, each mixed anew for every word."""
     out = np.zeros(PRINTS, np.uint64)
-    for k in range(PRINTS if len(hashes) else 0):
+    for k in range(PRINTS):
+        hashes = short if k < SHORT else long
         x = _mixed(hashes + np.uint64((k + 1) * FACTOR2 % (1 << 64)))
         counts = np.zeros(BITS, np.int64)
         for at in range(0, len(x), 1 << 14):
@@ -226,8 +231,7 @@ def _describe(batches, size: int):
                 for h in np.split(known[codes], np.cumsum(counts)[:-1]):
                     shingles = np.unique(rolling(h, size))
                     sets.append(np.unique((shingles >> np.uint64(32)).astype(np.uint32)).view(np.int32))
-                    # Short shingles too: an edit changes fewer of them. Long ones too: texts of few words have the same short ones.
-                    prints.append(wide_print(np.unique(np.concatenate((shingles, rolling(h, PRINT_SIZE))))))
+                    prints.append(wide_print(np.unique(rolling(h, PRINT_SIZE)), shingles))
             n = np.fromiter(map(len, sets), np.int32, len(sets))
             nodes = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets))
             cols = [
@@ -242,7 +246,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
     """One row per row of ``docs``: id, text_key, node, n, prints, hashes.
 
     Hashes are 32 bits of each distinct shingle of ``size`` words; node stands
-    for the set of them; prints is the SimHash of these shingles and of the distinct pairs of words together.
+    for the set of them; prints has SimHashes of the distinct pairs of words and of these shingles.
     """
     text = F.make_valid_utf8(F.col(text_col).cast("string"))
     src = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), text_key(F.col(text_col).cast("string")).alias("text_key"))
@@ -285,7 +289,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         """Pairs of nodes from the index of one word after the other, so that only one is on disk."""
         found = None
         for k in range(PRINTS):
-            word = df.withColumn("fp", F.get("prints", F.lit(k))).withColumn("more", F.get("prints", F.lit((k + 1) % PRINTS)))
+            word = df.withColumn("fp", F.get("prints", F.lit(k))).withColumn("more", F.get("prints", F.lit(SHORT + k % (PRINTS - SHORT) if k < SHORT else k - SHORT)))
             own = store(find(word.drop("prints"), KEYED, WORD_BITS, "node").select("u", "v"), name)
             found = own if found is None else found.union(own)
         return found
@@ -293,7 +297,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = store(alike(by_word(bucket_neighbours, nodes, "neighbours"), nodes, rows, bound), "links")
     roots = store(components(first), "groups")
     labelled = store(nodes.join(roots, "node", "left").select("node", "prints", F.coalesce("root", "node").alias("label")), "labelled")
-    second = alike(by_word(partial(bucket_pairs, more=PAIR_BITS), labelled, "across"), nodes, rows, bound)
+    second = alike(by_word(partial(bucket_pairs, more=MORE_BITS), labelled, "across"), nodes, rows, bound)
     roots = store(components(store(second.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), "links")), "groups")
     return rows.select("id", "text_key", "node").join(smallest_ids(rows, "node", roots), "node").select("id", "text_key", "component_id")
 
