@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import store
+from ..functions.tables import small, store
 
 
 def co_occurrence(df: DataFrame, key: str, item: str) -> DataFrame:
@@ -19,6 +19,23 @@ def co_occurrence(df: DataFrame, key: str, item: str) -> DataFrame:
     return a.join(b, (F.col("k_a") == F.col("k_b")) & (F.col("a") < F.col("b"))).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
+def term_pairs(df: DataFrame, key: str, toks: Column, support: float, most: float = 1.0) -> DataFrame:
+    """(a, b, n, jaccard): pairs of terms in at least the share ``support`` of all rows together; terms in over ``most`` of them are left out.
+
+    A term of a pair has that support itself, so the others go before any pair
+    is made. There are 1 / support such terms at most for each term of a row on
+    average, whatever the rows.
+    """
+    total = df.agg(F.count("*").alias("docs"))  # one row
+    d = df.select(key, F.explode(F.array_distinct(toks)).alias("term"))
+    v = d.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(total)).where((F.col("df") >= support * F.col("docs")) & (F.col("df") <= most * F.col("docs")))
+    v = store(v, "terms")
+    lookup = small(v.select("term"), 64)
+    e = co_occurrence(d.join(lookup, "term"), key, "term").join(F.broadcast(total)).where(F.col("n") >= support * F.col("docs"))
+    a, b = (small(v.select(F.col("term").alias(x), F.col("df").alias(f"df_{x}")), 64) for x in "ab")
+    return e.join(a, "a").join(b, "b").select("a", "b", "n", F.round(F.col("n") / (F.col("df_a") + F.col("df_b") - F.col("n")), 6).alias("jaccard"))
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct("a", "b", "n"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "n"))).alias("e")).select("e.*")
 
