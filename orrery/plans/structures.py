@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.sql import functions as F
 
 from ..functions.ordering import numbered
-from ..functions.tables import store
+from ..functions.tables import shared_dir, store
 from ..functions.text import tokens
-from ..operators import counters, density, network, reports, tfidf
+from ..operators import counters, density, network, reports, rules, tfidf
 from .catalog import query, table
 from .landscape import EDGES, PLANE, landscape_pca, plane, supplier_edges
 from .texts import TFIDF, TOKENS, docs, weights
@@ -111,3 +114,34 @@ def import_counters(spark, sf_dir):
     d = docs(spark, sf_dir)
     c = counters.Counters(d, malformed=F.col("n_chars") != F.length("text"), unnamed=F.coalesce("source", F.lit("")) == "")
     return counters.written(spark, c, lambda rows: store(rows, "imported")).where("counter <> 'elapsed_ms'")
+
+
+RULES = {
+    "and": {"all": ["the", "with", {"not": "from"}]}, "or": {"any": ["que", "und"]}, "adjacent": {"adjacent": ["the", "of"], "within": 2}, "near": {"near": ["with", "from"], "within": 3},
+    "nested": {"all": [{"any": [{"phrase": ["of", "the"]}, "und"]}, {"not": {"near": ["the", "and"], "within": 2}}]}, "none": {"not": {"any": ["the", "que"]}},
+}
+_W = "[^ ]+ "
+RULES_SQL = rf"""WITH t AS (SELECT doc_id, ' ' || array_to_string({TOKENS}, ' ') || ' ' AS s FROM documents)
+SELECT 'and' AS rule, doc_id FROM t WHERE s LIKE '% the %' AND s LIKE '% with %' AND NOT s LIKE '% from %'
+UNION ALL SELECT 'or', doc_id FROM t WHERE s LIKE '% que %' OR s LIKE '% und %'
+UNION ALL SELECT 'adjacent', doc_id FROM t WHERE regexp_matches(s, ' the ({_W}){{0,1}}of ')
+UNION ALL SELECT 'near', doc_id FROM t WHERE regexp_matches(s, ' with ({_W}){{0,2}}from ') OR regexp_matches(s, ' from ({_W}){{0,2}}with ')
+UNION ALL SELECT 'nested', doc_id FROM t WHERE (s LIKE '% of the %' OR s LIKE '% und %') AND NOT (regexp_matches(s, ' the ({_W}){{0,1}}and ') OR regexp_matches(s, ' and ({_W}){{0,1}}the '))
+UNION ALL SELECT 'none', doc_id FROM t WHERE NOT (s LIKE '% the %' OR s LIKE '% que %')"""
+
+
+@query("rules_as_data", RULES_SQL)
+def rules_as_data(spark, sf_dir):
+    """The documents that each of six rules fits, in one reading of the texts."""
+    d = docs(spark, sf_dir).select("doc_id", tokens(F.col("text")).alias("t"))
+    hits = F.array_compact(F.array(*[F.when(rules.matches(F.col("t"), r), name) for name, r in RULES.items()]))
+    return d.select(F.explode(hits).alias("rule"), "doc_id")
+
+
+@query("rules_index", RULES_SQL)
+def rules_index(spark, sf_dir):
+    """The same from an index of the texts' words."""
+    path = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}"
+    rules.write_index(docs(spark, sf_dir), "doc_id", tokens(F.col("text")), path)
+    found = [rules.search(spark, path, r).select(F.lit(name).alias("rule"), F.col("key").alias("doc_id")) for name, r in RULES.items()]
+    return reduce(lambda a, b: a.union(b), found)
