@@ -19,7 +19,6 @@ UNICODE_EDGES = "(?U)^\\s+|\\s+$"
 TAG = "<[^>]+>"
 BOLD = "\\*\\*(.*?)\\*\\*"
 TOKEN = "[\\p{L}\\p{N}_]{2,}"
-FOLD = 128
 ASCII_ONLY = "^[\\x00-\\x7F]*$"
 #: Strings that readers take as missing (the defaults of pandas).
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -123,27 +122,18 @@ def noun_compounds(toks: Column, stopwords: list[str]) -> Column:
     is skipped; two nouns in a row, the second no stopword, become one word;
     any other noun stands for itself. Stopwords part their neighbours.
     """
-    return let(toks, lambda t: _fold_nouns(t, F.array(*[F.lit(w) for w in stopwords]).cast("array<string>")))
+    return F.coalesce(let(toks, lambda t: _fold_nouns(t, F.array(*[F.lit(w) for w in stopwords]).cast("array<string>"))), F.lit(""))
 
 
 def _fold_nouns(toks: Column, stop: Column) -> Column:
+    word = lambda t: ~F.array_contains(stop, t["base"])
     noun = lambda t: t["pos"] == "noun"
-    n = F.size(toks)
+    alone = lambda t: word(t) & (F.length(t["base"]) >= 2) & noun(t)
+    # A mark a token: 1 where it could begin a pair. Read from the left, a pair takes the mark after it as well.
+    starts = F.transform(toks, lambda t, i: F.when(alone(t) & noun(F.get(toks, i + 1)) & word(F.get(toks, i + 1)), "1").otherwise("0"))
+    marks = F.split(F.regexp_replace(F.array_join(starts, ""), "1.", "PS"), "")
 
-    def step(acc, i):
-        here, after = F.get(toks, i), F.get(toks, i + 1)
-        usable = ~F.array_contains(stop, here["base"]) & (F.length(here["base"]) >= 2)
-        pair = usable & noun(here) & F.coalesce(noun(after) & ~F.array_contains(stop, after["base"]), F.lit(False))
-        word = F.when(pair, F.array(F.concat(here["base"], after["base"]))).when(usable & noun(here), F.array(here["base"])).otherwise(F.array().cast("array<string>"))
-        return F.when(acc["skip"], F.struct(acc["out"].alias("out"), F.lit(False).alias("skip"))).otherwise(F.struct(F.concat(acc["out"], word).alias("out"), pair.alias("skip")))
+    def put(t, i, mark):
+        return F.when(mark == "P", F.concat(t["base"], F.get(toks, i + 1)["base"])).when((mark != "S") & alone(t), t["base"])
 
-    def start(skip):
-        return F.struct(F.array().cast("array<string>").alias("out"), skip.alias("skip"))
-
-    def chunk(acc, c):
-        """Fold FOLD tokens; arrays grow by copying, so long texts are folded in pieces."""
-        own = F.aggregate(F.sequence(c * FOLD, F.least(n, (c + 1) * FOLD) - 1), start(acc["skip"]), step)
-        return let(own, lambda o: F.struct(F.concat(acc["out"], F.when(F.size(o["out"]) > 0, F.array(F.array_join(o["out"], " "))).otherwise(F.array().cast("array<string>"))).alias("out"), o["skip"].alias("skip")))
-
-    folded = F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / FOLD).cast("int")), start(F.lit(False)), chunk, lambda a: F.array_join(a["out"], " "))
-    return F.when(n > 0, folded).otherwise(F.lit(""))
+    return let(marks, lambda m: F.array_join(F.transform(toks, lambda t, i: put(t, i, F.get(m, i))), " "))

@@ -9,12 +9,22 @@ from pyspark.sql import functions as F
 
 from ..functions.text import full_width, trim_unicode
 
-#: A short default list of our own; projects bring their tables.
-DEFAULTS = ("the", "of", "and", "to", "in", "is", "for", "with", "that", "said", "method", "device", "system", "apparatus", "invention", "embodiment")
-
-
-def defaults(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in DEFAULTS], "word string")
+#: Default lists of our own by language, for words that carry no topic; projects bring their tables.
+BY_LANGUAGE = {
+    "en": "a an and are as at be been by can for from had has have if in into is it its may more not of on one or other over said same such than that the their them there these they this those to under upon was were when where wherein whereby which while will with",
+    "de": "als am an auch auf aus bei das dass dem den der des die durch ein eine einem einen einer eines es im in ist mit nach nicht oder sich sie sind und von vom wird werden wie zu zum zur",
+    "fr": "au aux avec ce ces cette dans de des dont du elle en est et il la le les leur ne ou par pas pour que qui sa se ses son sont sur un une",
+    "es": "al como con de del el en entre es esta este la las lo los no o para pero por que se sin son su sus un una y",
+    # Words of patent texts and business reports, in English.
+    "domain": "apparatus claim claims comprising configured device embodiment embodiments example figure first includes including invention means method plurality preferably present second system thereof",
+}
+DEFAULTS = tuple(sorted({w for words in BY_LANGUAGE.values() for w in words.split()}))
+
+
+def defaults(spark: SparkSession, *languages: str) -> DataFrame:
+    """(word) of the default lists of some languages (keys of BY_LANGUAGE), or of all."""
+    words = sorted({w for k in languages for w in BY_LANGUAGE[k].split()}) if languages else DEFAULTS
+    return spark.createDataFrame([(w,) for w in words], "word string")
 
 
 def expand_width(words: DataFrame) -> DataFrame:

@@ -10,13 +10,13 @@ from ..functions.text import null_if_missing
 FALLBACK = "Shift_JIS"
 
 
-def not_utf8(spark: SparkSession, path: str) -> list[str]:
-    """The files under a path that hold a line which is no UTF-8; executors read them by line, their names come back.
+def verdicts(spark: SparkSession, path: str) -> dict[str, bool]:
+    """The files under a path, and whether each line of theirs is UTF-8: one pass, and one row a file for the driver, which lists the files anyway.
 
-    Spark itself replaces malformed bytes without a word.
+    Spark itself replaces malformed bytes without a word. A file without lines isn't listed.
     """
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.is_valid_utf8("value").alias("ok"))
-    return [r["file"] for r in lines.where("not ok").select("file").distinct().collect()]
+    lines = spark.read.text(path).groupBy(F.input_file_name().alias("file")).agg(F.min(F.is_valid_utf8("value")).alias("ok"))
+    return {r["file"]: r["ok"] for r in lines.collect()}
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
@@ -26,15 +26,14 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> Dat
     fallback needs spark.sql.legacy.javaCharsets when the rows are read, so it
     is set for the session and stays. Files under one path have one header.
     """
-    other = [] if encoding else not_utf8(spark, path)
-    every = sorted({r["file"] for r in spark.read.text(path).select(F.input_file_name().alias("file")).distinct().collect()}) if other else []
+    found = {} if encoding else verdicts(spark, path)
+    own, other = ([f for f in sorted(found) if found[f] is ok] for ok in (True, False))
     if other or encoding not in (None, "UTF-8"):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
 
     def read(paths, charset: str) -> DataFrame:
         return spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", charset).csv(paths)
 
-    own = [f for f in every if f not in other]
     parts = [read(path, encoding or "UTF-8")] if not other else [*([read(own, "UTF-8")] if own else []), read(other, FALLBACK)]
     df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
     return df.select(*[null_if_missing(F.col(f"`{c}`")).alias(c) for c in df.columns])

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from orrery.functions.ordering import numbered
 from orrery.functions.text import tokens
-from orrery.operators import counters, density, network, reports, tfidf
+from orrery.operators import counters, density, labels, network, reports, stopwords, tfidf
+from orrery.sources import readers
 from orrery.streaming import ingest
 from orrery.streaming import log as logs
 
@@ -225,3 +226,35 @@ def test_counters_come_with_the_write(spark, tmp_path):
     got = {r["counter"]: r["n"] for r in counters.written(spark, c, lambda d: d.write.parquet(str(tmp_path / "out"))).collect()}
     assert got.pop("elapsed_ms") > 0 and got == {"rows": 100, "malformed": 34, "late": 9}
     assert spark.read.parquet(str(tmp_path / "out")).count() == 100
+
+
+def test_words_are_exported_in_order(spark, tmp_path):
+    stopwords.export(spark.createDataFrame([("b", 1), ("a", 2), ("b", 3), ("é", 4)], "word string, n int"), str(tmp_path / "words"))
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "words")).collect()]
+    assert lines == ["a", "b", "é"] and sorted(r["word"] for r in readers.read_words(spark, str(tmp_path / "words")).collect()) == lines
+
+
+@pytest.mark.parametrize("written", [False, True])
+def test_published_tables_answer_sql(spark, tmp_path, written):
+    df = spark.createDataFrame([(1, "x"), (2, None)], "id int, v string")
+    readers.publish(df, "offered", str(tmp_path / "offered") if written else None)
+    assert sorted(map(tuple, spark.sql("SELECT v, id FROM offered").collect()), key=str) == sorted([("x", 1), (None, 2)], key=str)
+    assert spark.sql("SELECT count(v) AS n FROM offered").first()["n"] == 1
+
+
+def test_labels_for_an_editor(spark):
+    rows = [(3, "[3] c"), (-1, "noise"), (10, "[10] k"), (0, labels.PLACEHOLDER), (1, "[1] a")]
+    got = [r["cluster_id"] for r in labels.editable(spark.createDataFrame(rows, "cluster_id int, label string")).collect()]
+    assert got == [1, 3, 10, -1]
+
+
+def test_default_lists_by_language(spark):
+    got = {r["word"] for r in stopwords.defaults(spark, "de", "fr").collect()}
+    assert {"und", "les", "des"} <= got and "the" not in got and got <= {r["word"] for r in stopwords.defaults(spark).collect()}
+
+
+def test_each_file_has_its_charset(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("名,x\n電池,1\n".encode())
+    (tmp_path / "b.csv").write_bytes("名,x\n材料,2\n".encode("shift_jis"))
+    assert sorted(readers.verdicts(spark, str(tmp_path)).values()) == [False, True]
+    assert sorted(map(tuple, readers.read_csv(spark, str(tmp_path)).collect())) == sorted([("電池", "1"), ("材料", "2")])
