@@ -7,13 +7,11 @@ next stage's docs. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import lines, mixing, packing, simhash, toxicity
-from orrery.llm.common import shared_dir, store, table, text_key, unused
+from orrery.llm.common import store, table, text_key, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +72,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            path = f"{shared_dir(spark)}/stage-{k}-{uuid.uuid4().hex}"
-            out.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = store(out, f"stage-{k}")
     return out
