@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.ordering import numbered
 from ..functions.tables import shared_dir, store
 from ..functions.text import tokens
-from ..operators import counters, density, network, reports, rules, tfidf
+from ..operators import counters, density, knn, network, reports, rules, tfidf
 from .catalog import query, table
 from .landscape import EDGES, PLANE, landscape_pca, plane, supplier_edges
 from .texts import TFIDF, TOKENS, docs, weights
@@ -145,3 +145,12 @@ def rules_index(spark, sf_dir):
     rules.write_index(docs(spark, sf_dir), "doc_id", tokens(F.col("text")), path)
     found = [rules.search(spark, path, r).select(F.lit(name).alias("rule"), F.col("key").alias("doc_id")) for name, r in RULES.items()]
     return reduce(lambda a, b: a.union(b), found)
+
+
+@query("landscape_neighbours")
+def landscape_neighbours(spark, sf_dir):
+    """A map of the embeddings that keeps neighbours together, from that of the main axes; found by iteration, so there is no SQL for it."""
+    start = landscape_pca(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("umap_x").alias("x"), F.col("umap_y").alias("y"))
+    found = store(knn.neighbours(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "neighbours")
+    at = knn.layout(start, found)
+    return at.select(F.col("id").alias("vec_id"), F.round("x", 6).alias("umap_x"), F.round("y", 6).alias("umap_y"))
