@@ -43,14 +43,14 @@ def density_landscape(spark, sf_dir):
 STRONG = f"{EDGES}, k AS (SELECT a, b, n FROM e WHERE n >= (SELECT avg(n) FROM e) * 1.5)"
 
 
-def strong_ties(spark, sf_dir):
-    return network.strong(store(supplier_edges(spark, sf_dir), "ties"), 1.5)
+def strong_ties(spark, sf_dir, times=1.5):
+    return network.strong(store(supplier_edges(spark, sf_dir), "ties"), times)
 
 
 @query("communities_modular")
 def communities_modular(spark, sf_dir):
     """Groups of suppliers with more ties inside than by chance; a search, so there is no SQL for it."""
-    return network.modular_communities(strong_ties(spark, sf_dir))
+    return network.modular_communities(strong_ties(spark, sf_dir, 1.05))
 
 
 @query("brokerage", f"""WITH {STRONG}, l AS (SELECT a AS i, b AS j, n FROM k UNION ALL SELECT b, a, n FROM k),
@@ -64,7 +64,7 @@ def brokerage(spark, sf_dir):
 @query("betweenness_pivots")
 def betweenness_pivots(spark, sf_dir):
     """Suppliers between others, estimated from the shortest paths of 32 of them; paths are counted level by level, so there is no SQL for it."""
-    return network.betweenness(strong_ties(spark, sf_dir), 32)
+    return network.betweenness(strong_ties(spark, sf_dir, 1.05), 32)
 
 
 @query("tfidf_fitted", rf"""WITH {TFIDF}, new AS (SELECT conv_id || '-' || turn AS id, text FROM conversations),
