@@ -46,8 +46,8 @@ KEYED = 5
 #: similarity of 0.8 a bit differs with probability 0.15 at the most, so that a
 #: pair is ruled out by the first in 1 case of 300 a word, by the second in 1 of 10^8.
 WORD_BITS, WIDE_BITS = 14, 102
-#: Bits that may differ in a word of the other kind: 10 do on average at 0.8, over 20 in 1 of 5,000 pairs; unlike texts pass both in 1 of 40,000.
-MORE_BITS = 20
+#: Bits of an odd sketch, one for each class of shingles, and the bits below 32 of a shingle's hash that name its class.
+SKETCH, CLASS = 512, 9
 #: Rows of eight bytes up to which nodes are broadcast.
 MAX_BROADCAST = 1_000_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -124,7 +124,7 @@ def bucket_neighbours(fps: DataFrame, distance: int, most: int, node: str = "fp"
     return near.where((F.col("node") != F.col("v")) & _near("fp", "fp2", most)).select(F.col("node").alias("u"), "v").distinct()
 
 
-def bucket_pairs(labelled: DataFrame, distance: int, most: int, node: str = "fp", more: int | None = None) -> DataFrame:
+def bucket_pairs(labelled: DataFrame, distance: int, most: int, node: str = "fp", bound: float | None = None) -> DataFrame:
     """(lu, lv, u, v): all pairs of nodes of a bucket of (fp, node, label) whose labels lu and lv differ, at most ``most`` bits apart.
 
     They are compared in the join's condition, so none within a group is
@@ -134,25 +134,29 @@ def bucket_pairs(labelled: DataFrame, distance: int, most: int, node: str = "fp"
     labels of a bucket are reduced and stored before the index
     meets them, and both sides of the pairs' join come from exchanges of their
     own, so that Spark can split a bucket of very many rows in either join.
-    With ``more``, column more has 64 further bits, of which so many may
-    differ: chance pairs, which grow with the square of the rows, go before
-    they are emitted.
+    With ``bound``, columns n, level and sketch tell of nearly all pairs that are less
+    alike than that, before they are emitted: pairs by chance, which grow with
+    the square of the rows, and those of many copies of one text that are alike
+    to it but not to each other, which grow with the square of these.
     """
-    own = ["fp", "label"] + ([node] if node != "fp" else []) + (["more"] if more is not None else [])
     sizes = store(labelled.groupBy("label").agg(F.count("*").alias("size")), "sizes")
     ranked = labelled.join(sizes, "label").select(_keys(distance), F.struct("size", "label").alias("rank"), "fp")
     mixed = ranked.groupBy("key").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.count("*").alias("n"), F.bit_or("fp").alias("any"), F.bit_and("fp").alias("all"))
     # Two rows that are too far apart, as nearly all are that share a key by chance, are told by the bits that not both have.
     mixed = mixed.where((F.col("lo") != F.col("hi")) & ((F.col("n") > 2) | _near("any", "all", most)))
     mixed = store(mixed.select("key", F.col("hi.label").alias("most")), "mixed")
-    index = labelled.select(_keys(distance), *own)
+    wide = [] if bound is None else ["n", "level", "sketch"]
+    index = labelled.select(_keys(distance), *(dict.fromkeys(["fp", "label", node]) if bound is None else [node])).join(mixed, "key")
+    if bound is not None:
+        # What is wide joins the rows of mixed buckets only; a node has 64 of them at the most.
+        index = index.join(labelled.select(node, "fp", "label", *wide), node)
     # Another name for a key: the join below deals the rows anew.
-    index = index.join(mixed, "key").withColumn("key", F.col("key").bitwiseXOR(F.lit(1)))
-    side = lambda df, x: df.select(F.col("key").alias(f"k{x}"), F.col("fp").alias(f"f{x}"), F.col("label").alias(f"l{x}"), F.col(node).alias(x), *([F.col("more").alias(f"m{x}")] if more is not None else []))
+    index = index.withColumn("key", F.col("key").bitwiseXOR(F.lit(1)))
+    side = lambda df, x: df.select(F.col("key").alias(f"k{x}"), F.col("fp").alias(f"f{x}"), F.col("label").alias(f"l{x}"), F.col(node).alias(x), *[F.col(c).alias(f"{c}_{x}") for c in wide])
     a, b = side(index.where("label <> most"), "u"), side(index, "v")
     near = _near("fu", "fv", most)
-    if more is not None:
-        near = near & _near("mu", "mv", more)
+    if bound is not None:
+        near = near & may_be_alike(bound)
     return a.join(b, (F.col("ku") == F.col("kv")) & (F.col("lu") != F.col("lv")) & near).select("lu", "lv", "u", "v")
 
 
@@ -219,7 +223,44 @@ def wide_print(short: np.ndarray, long: np.ndarray) -> np.ndarray:
     return out
 
 
-def _describe(batches, size: int):
+def sketch_level(n: int) -> int:
+    """The level at which a set of ``n`` is sketched: one element in 2^level counts, SKETCH at most on average."""
+    return max(0, (n - 1).bit_length() - CLASS) if n else 0
+
+
+def odd_sketch(hashes: np.ndarray, bound: float) -> np.ndarray:
+    """A bit for each class of the set ``hashes`` (32 bits each): whether it has an odd number of elements.
+
+    The bits in which two sets differ are no more than the elements that only
+    one has. Large sets are sampled by hash; one that may be alike to a set of
+    a higher level has its sketch of that level, too.
+    """
+    out = []
+    for k in range(sketch_level(len(hashes)), sketch_level(int(len(hashes) / bound) + 1) + 1):
+        kept = hashes[(hashes >> np.uint32(CLASS)) & np.uint32((1 << k) - 1) == 0]
+        odd = np.bincount((kept & np.uint32(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8"))
+    return np.concatenate(out)
+
+
+def may_be_alike(bound: float):
+    """Whether nodes u and v (n_u, level_u, sketch_u and so on) may have a similarity of ``bound``, by counts and odd sketches.
+
+    Counts, and sketches of whole sets, rule out no pair that is alike; sketches
+    of samples rule out what is four deviations beyond the most expected.
+    """
+    words = SKETCH // 64
+    top = F.greatest("level_u", "level_v")
+    word = lambda x, i: F.get(f"sketch_{x}", (top - F.col(f"level_{x}")) * words + i)
+    differ = sum((F.bit_count(word("u", i).bitwiseXOR(word("v", i))) for i in range(1, words)), F.bit_count(word("u", 0).bitwiseXOR(word("v", 0))))
+    # So many elements, at the most, are in one set only.
+    most = (1 - bound) / (1 + bound) * (F.col("n_u") + F.col("n_v")) / F.pow(F.lit(2.0), top)
+    expected = SKETCH / 2 * (1 - F.exp(-2 / SKETCH * most))
+    allowed = F.when(top == 0, most + 1e-6).otherwise(expected + 4 * F.sqrt(expected) + 4)
+    return (F.least("n_u", "n_v") >= bound * F.greatest("n_u", "n_v")) & (differ <= allowed)
+
+
+def _describe(batches, size: int, bound: float):
     """Rows of ``described`` from whole texts (columns id, text, text_key)."""
     for b in batches:
         for lo, hi in text_slices(b.column(1), 1 << 20):
@@ -234,23 +275,28 @@ def _describe(batches, size: int):
                     prints.append(wide_print(np.unique(rolling(h, PRINT_SIZE)), shingles))
             n = np.fromiter(map(len, sets), np.int32, len(sets))
             nodes = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets))
+            levels = np.fromiter(map(sketch_level, n.tolist()), np.int32, len(sets))
+            sketches = [odd_sketch(x.view(np.uint32), bound) for x in sets]
             cols = [
                 c.column(0), c.column(2), pa.array(nodes.view(np.int64)), pa.array(n),
                 pa.ListArray.from_arrays(np.arange(0, PRINTS * len(sets) + 1, PRINTS, dtype=np.int32), np.concatenate(prints).view(np.int64)),
+                pa.array(levels),
+                pa.ListArray.from_arrays(np.cumsum([0, *map(len, sketches)]).astype(np.int32), np.concatenate(sketches)),
                 pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(n))).astype(np.int32), np.concatenate(sets)),
             ]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "text_key", "node", "n", "prints", "hashes"])
+            yield pa.RecordBatch.from_arrays(cols, ["id", "text_key", "node", "n", "prints", "level", "sketch", "hashes"])
 
 
-def described(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """One row per row of ``docs``: id, text_key, node, n, prints, hashes.
+def described(docs: DataFrame, id_col: str, text_col: str, size: int, bound: float) -> DataFrame:
+    """One row per row of ``docs``: id, text_key, node, n, prints, level, sketch, hashes.
 
     Hashes are 32 bits of each distinct shingle of ``size`` words; node stands
-    for the set of them; prints has SimHashes of the distinct pairs of words and of these shingles.
+    for the set of them; prints has SimHashes of the distinct pairs of words and of these shingles;
+    sketch is the set's odd sketch, from its level on.
     """
     text = F.make_valid_utf8(F.col(text_col).cast("string"))
     src = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), text_key(F.col(text_col).cast("string")).alias("text_key"))
-    return src.mapInArrow(lambda it: _describe(it, size), "id long, text_key long, node long, n int, prints array<long>, hashes array<int>")
+    return src.mapInArrow(lambda it: _describe(it, size, bound), "id long, text_key long, node long, n int, prints array<long>, level int, sketch array<long>, hashes array<int>")
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, bound: float) -> DataFrame:
@@ -282,22 +328,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that these make are known, all pairs across groups. Texts of one set are
     one node; every node is indexed by all its words, whoever shares them.
     """
-    rows = store(described(docs, id_col, text_col, size), "shingles")
-    nodes = store(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("prints").alias("prints")), "nodes")
+    rows = store(described(docs, id_col, text_col, size, bound), "shingles")
+    nodes = store(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "prints", "level", "sketch")]), "nodes")
 
     def by_word(find, df: DataFrame, name: str) -> DataFrame:
         """Pairs of nodes from the index of one word after the other, so that only one is on disk."""
         found = None
         for k in range(PRINTS):
-            word = df.withColumn("fp", F.get("prints", F.lit(k))).withColumn("more", F.get("prints", F.lit(SHORT + k % (PRINTS - SHORT) if k < SHORT else k - SHORT)))
-            own = store(find(word.drop("prints"), KEYED, WORD_BITS, "node").select("u", "v"), name)
+            word = df.withColumn("fp", F.get("prints", F.lit(k))).drop("prints")
+            own = store(find(word, KEYED, WORD_BITS, "node").select("u", "v"), name)
             found = own if found is None else found.union(own)
         return found
 
     first = store(alike(by_word(bucket_neighbours, nodes, "neighbours"), nodes, rows, bound), "links")
     roots = store(components(first), "groups")
-    labelled = store(nodes.join(roots, "node", "left").select("node", "prints", F.coalesce("root", "node").alias("label")), "labelled")
-    second = alike(by_word(partial(bucket_pairs, more=MORE_BITS), labelled, "across"), nodes, rows, bound)
+    labelled = store(nodes.join(roots, "node", "left").select("node", "n", "prints", "level", "sketch", F.coalesce("root", "node").alias("label")), "labelled")
+    second = alike(by_word(partial(bucket_pairs, bound=bound), labelled, "across"), nodes, rows, bound)
     roots = store(components(store(second.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), "links")), "groups")
     return rows.select("id", "text_key", "node").join(smallest_ids(rows, "node", roots), "node").select("id", "text_key", "component_id")
 

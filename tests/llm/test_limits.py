@@ -193,3 +193,45 @@ def test_pairs_of_a_hot_key_can_be_split(spark):
     for i, x in enumerate(lines):
         if x.startswith("SortMergeJoin"):
             assert lines[i + 1].startswith("Sort") and lines[i + 2].startswith(("Exchange hashpartitioning", "ReusedExchange"))
+
+
+def test_odd_sketches_rule_out_no_pair_that_is_alike(spark):
+    """Sets of all levels, from empty to some thousands, at the bound and far below it; whole sets within the exact bound."""
+    g = np.random.default_rng(5)
+    rows, true = [], []
+    for n in (0, 1, 4, 20, 200, 409, 410, 511, 512, 513, 640, 900, 1024, 1025, 1200, 5000):
+        for similar in (1.0, 0.8, 0.8, 0.5, 0.1):
+            a = g.choice(2**32 - 1, n, replace=False).astype(np.uint32)
+            gone = int(n * (1 - similar) / (1 + similar))
+            b = np.unique(np.concatenate([a[gone:], g.integers(0, 2**32, gone).astype(np.uint32)]))
+            if similar == 0.8 and len(true) % 2:
+                b = np.unique(a[int(np.floor(n * 0.2)) :])  # a part of the other: the counts differ the most
+            s, t = simhash.odd_sketch(a, 0.8), simhash.odd_sketch(b, 0.8)
+            both = len(np.intersect1d(a, b))
+            true.append((both / (len(a) + len(b) - both)) if n else 1.0)
+            if simhash.sketch_level(n) == simhash.sketch_level(len(b)) == 0:
+                assert np.bitwise_count((s[:8] ^ t[:8]).view(np.uint64)).sum() <= len(a) + len(b) - 2 * both
+            rows.append((len(rows), len(a), simhash.sketch_level(len(a)), s.tolist(), len(b), simhash.sketch_level(len(b)), t.tolist()))
+    schema = "i int, n_u int, level_u int, sketch_u array<long>, n_v int, level_v int, sketch_v array<long>"
+    got = {r["i"]: r["maybe"] for r in spark.createDataFrame(rows, schema).select("i", simhash.may_be_alike(0.8).alias("maybe")).collect()}
+    assert all(got[i] for i, x in enumerate(true) if x >= 0.8)
+    assert not any(got[i] for i, x in enumerate(true) if x < 0.4)
+
+
+def test_copies_alike_to_their_text_only_make_few_pairs(spark):
+    """Copies between 0.6 and 0.75 alike to each other: their pairs, which grow with the square, go within the join."""
+    g = random.Random(4)
+    base = [f"v{g.randrange(3000)}" for _ in range(200)]
+    texts = []
+    for _ in range(120):
+        other = list(base)
+        for i in g.sample(range(200), 8):
+            other[i] = f"n{g.randrange(10**9)}"
+        texts.append(" ".join(other))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = simhash.described(df, "doc_id", "text", 5, 0.8).withColumn("label", F.col("node")).withColumn("fp", F.get("prints", F.lit(0))).cache()
+    plain = simhash.bucket_pairs(nodes, simhash.KEYED, simhash.WORD_BITS, "node").select(F.least("u", "v"), F.greatest("u", "v")).distinct().count()
+    fewer = simhash.bucket_pairs(nodes, simhash.KEYED, simhash.WORD_BITS, "node", bound=0.8).select(F.least("u", "v"), F.greatest("u", "v")).distinct().count()
+    assert plain > 1000 and fewer < plain / 20
+    groups, _ = plain_groups(texts)
+    assert copies(spark, texts) == groups
