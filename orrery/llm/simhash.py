@@ -302,12 +302,12 @@ def described(docs: DataFrame, id_col: str, text_col: str, size: int, bound: flo
 def alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, bound: float) -> DataFrame:
     """The distinct pairs (u, v) of nodes whose sets have a Jaccard similarity of ``bound`` or more.
 
-    Counts and wide prints rule most others out before the sets are read.
+    Counts, wide prints and odd sketches rule most others out before the sets are read.
     """
-    own = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("prints").alias(f"p_{x}"))
+    own = lambda x: nodes.select(F.col("node").alias(x), F.col("prints").alias(f"p_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "level", "sketch")])
     apart = F.aggregate(F.zip_with("p_u", "p_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
-    pairs = pairs.join(own("u"), "u").join(own("v"), "v").where((apart <= WIDE_BITS) & (F.least("n_u", "n_v") >= bound * F.greatest("n_u", "n_v")))
+    pairs = pairs.join(own("u"), "u").join(own("v"), "v").where((apart <= WIDE_BITS) & may_be_alike(bound))
     pairs = store(pairs.select("u", "v", "n_u", "n_v"), "pairs")
     asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     # Eight bytes a node, counted first.
