@@ -60,7 +60,8 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     key, own, out, n_lines, n_removed = unused(docs, "line_id", "line_key", "lines_gone", "n_lines", "n_removed")
     gone = repeated_lines(docs, id_col, text_col, size).select(F.col("id").alias(key), F.col("text_key").alias(own), F.col("gone").alias(out))
     lines = _lines(F.col(text_col).cast("string"))
-    joined = docs.join(gone, (F.coalesce(docs[id_col].cast("long"), F.lit(LAST)) == gone[key]) & (text_key(docs[text_col].cast("string")) == gone[own]), "left")
+    # Merged whatever the size: the texts are shuffled once, and what a small input shows of the disk holds for a large one.
+    joined = docs.join(gone.hint("merge"), (F.coalesce(docs[id_col].cast("long"), F.lit(LAST)) == gone[key]) & (text_key(docs[text_col].cast("string")) == gone[own]), "left")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(out, i)), "\n")
     made = {n_lines: F.size(lines).cast("long"), n_removed: F.coalesce(F.size(out), F.lit(0)).cast("long"), text_col: F.when(F.col(out).isNull(), F.col(text_col)).otherwise(kept)}
     return joined.withColumns(made).drop(key, own, out)

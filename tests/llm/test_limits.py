@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import mixing, packing, pii, simhash, toolcalls
+from orrery.llm import lines, mixing, packing, pii, simhash, toolcalls
 
 
 def test_turns_without_conversation_or_turn_stay(spark):
@@ -235,3 +235,12 @@ def test_copies_alike_to_their_text_only_make_few_pairs(spark):
     assert plain > 1000 and fewer < plain / 20
     groups, _ = plain_groups(texts)
     assert copies(spark, texts) == groups
+
+
+def test_lines_meet_their_texts_in_one_way_at_any_size(spark):
+    """Few lines to remove don't turn the texts' one shuffle into a broadcast, so that disk grows as the input does."""
+    df = spark.createDataFrame([(i, "a\nb\nc") for i in range(9)], "doc_id long, text string")
+    out = lines.deduplicate_lines(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted((r["doc_id"], r["n_removed"]) for r in out.collect()) == [(i, 3 if i else 0) for i in range(9)]
