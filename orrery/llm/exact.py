@@ -25,6 +25,8 @@ from .common import SPACES, shuffle_partitions, split_points, store
 
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 MIX2 = np.uint64(0x94D049BB133111EB)
+#: Rows of eight bytes up to which digests are broadcast.
+MAX_BROADCAST = 1_000_000
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -167,15 +169,24 @@ class Snapshot:
 
 
 def same_bytes(old: DataFrame, new: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
-    """The digests of ``found`` for which a text of either side is equal byte for byte.
+    """The digests of ``found``, a stored table, for which a text of either side is equal byte for byte.
 
     The texts are met by digest, the least of each side, so rows need no id.
+    Eight bytes of the digests to look for are counted and broadcast, so that
+    only their texts are shuffled; beyond MAX_BROADCAST each side's texts are
+    reduced to one a digest first and meet the digests then.
     """
+    few = found.count() <= MAX_BROADCAST
+    keys = F.broadcast(found.select(_key().alias("key")))
 
     def texts(docs: DataFrame, name: str) -> DataFrame:
         text = normalized(F.col(text_col).cast("string"))
-        all_ = docs.select(text.alias("text")).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
-        return all_.join(found.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min("text").alias(name))
+        rows = docs.select(text.alias("text")).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
+        if few:
+            # Others with such a key go when both sides meet: a digest of both is one of ``found``.
+            rows = rows.withColumn("key", _key()).join(keys, "key", "left_semi")
+        least = rows.groupBy("digest").agg(F.min("text").alias(name))
+        return least if few else least.join(found.select("digest").distinct(), "digest")
 
     return texts(old, "t0").join(texts(new, "t1"), "digest").where("t0 = t1").select("digest")
 

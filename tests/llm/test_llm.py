@@ -376,6 +376,26 @@ def test_exact_odd(docs):
     assert exact.deduplicate(docs, docs.limit(0)).count() == docs.count()
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_exact_shuffles_only_texts_that_are_met(spark, most, monkeypatch):
+    """Few digests to look for are broadcast whatever Spark's own limit is, many meet texts that are reduced; both find the same."""
+    monkeypatch.setattr(exact, "MAX_BROADCAST", most, raising=False)
+    old = spark.createDataFrame([(i, f"old {i % 50}") for i in range(200)], "doc_id long, text string")
+    new = spark.createDataFrame([(i + 200, f"old {i % 70}") for i in range(140)], "doc_id long, text string")
+    found = exact.store(exact.digests(old.where("doc_id < 50")).select("digest"), "found")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        same = exact.same_bytes(old, new, found)
+        plan = same._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan) == (most > 0)
+        assert same.count() == same.distinct().count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    got = {r["id"]: (r["keep_id"], r["group_size"]) for r in exact.deduplicate(new, old).collect()}
+    assert got == {i: (k, 6) if k < 50 else (k + 200, 2) for i in range(340) for k in [i % 50 if i < 200 else (i - 200) % 70]}
+
+
 # -- 7 ------------------------------------------------------------------
 
 def test_gradients():
