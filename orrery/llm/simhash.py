@@ -146,10 +146,14 @@ def bucket_pairs(labelled: DataFrame, distance: int, most: int, node: str = "fp"
     mixed = mixed.where((F.col("lo") != F.col("hi")) & ((F.col("n") > 2) | _near("any", "all", most)))
     mixed = store(mixed.select("key", F.col("hi.label").alias("most")), "mixed")
     wide = [] if bound is None else ["n", "level", "sketch"]
-    index = labelled.select(_keys(distance), *(dict.fromkeys(["fp", "label", node]) if bound is None else [node])).join(mixed, "key")
-    if bound is not None:
-        # What is wide joins the rows of mixed buckets only; a node has 64 of them at the most.
-        index = index.join(labelled.select(node, "fp", "label", *wide), node)
+    if bound is None:
+        index = labelled.select(_keys(distance), *dict.fromkeys(["fp", "label", node])).join(mixed, "key")
+    else:
+        # Merged whatever the size, so that what a small input shows of the disk holds for a large one.
+        index = labelled.select(_keys(distance), node).join(mixed.hint("merge"), "key")
+        # What is wide joins a node once, not each of its keys in mixed buckets, of which it has 64 at the most.
+        keys = index.groupBy(node).agg(F.collect_list(F.struct("key", "most")).alias("keys"))
+        index = keys.join(labelled.select(node, "fp", "label", *wide), node).select(node, "fp", "label", *wide, F.inline("keys"))
     # Another name for a key: the join below deals the rows anew.
     index = index.withColumn("key", F.col("key").bitwiseXOR(F.lit(1)))
     side = lambda df, x: df.select(F.col("key").alias(f"k{x}"), F.col("fp").alias(f"f{x}"), F.col("label").alias(f"l{x}"), F.col(node).alias(x), *[F.col(c).alias(f"{c}_{x}") for c in wide])

@@ -244,3 +244,21 @@ def test_lines_meet_their_texts_in_one_way_at_any_size(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert sorted((r["doc_id"], r["n_removed"]) for r in out.collect()) == [(i, 3 if i else 0) for i in range(9)]
+
+
+def test_wide_columns_join_a_node_once(spark):
+    """Sketches meet a node, not each of its keys in mixed buckets, and the keys meet their buckets in one plan at any size; the pairs are all of those that may be alike."""
+    g = random.Random(8)
+    base = [f"v{g.randrange(900)}" for _ in range(100)]
+    texts = [" ".join(base[:k] + [f"n{i}"] + base[k + 1 :]) for i, k in enumerate(g.choices(range(100), k=12))] + ["other words " * 9, "", "a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = simhash.store(simhash.described(df, "doc_id", "text", 5, 0.8).withColumn("label", F.col("node")).withColumn("fp", F.get("prints", F.lit(0))), "nodes")
+    pairs = simhash.bucket_pairs(nodes, simhash.KEYED, simhash.WORD_BITS, "node", bound=0.8)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert "collect_list(struct(key" in plan and not any("Broadcast" in x for x in joins if "[key#" in x)
+    own = lambda x: nodes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("n", "level", "sketch")], F.col("node").alias(x), F.col("fp").alias(f"f{x}"))
+    # Five bits of a word that differ leave one segment with one at most, which a key finds.
+    want = own("u").crossJoin(own("v")).where((F.col("u") < F.col("v")) & simhash._near("fu", "fv", 5) & simhash.may_be_alike(0.8)).select("u", "v")
+    got = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    assert want.count() > 5 and want.subtract(got).count() == 0
