@@ -48,6 +48,8 @@ KEYED = 5
 WORD_BITS, WIDE_BITS = 14, 102
 #: Bits of an odd sketch, one for each class of shingles, and the bits below 32 of a shingle's hash that name its class.
 SKETCH, CLASS = 512, 9
+#: Eighths of all shingles (by hash, from and below) whose holders are counted in turn.
+EIGHTHS = ((0, 3), (3, 6), (6, 8))
 #: Rows of eight bytes up to which nodes are broadcast.
 MAX_BROADCAST = 1_000_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -108,18 +110,29 @@ def _keys(distance: int):
     return F.explode(F.array(*out)).alias("key")
 
 
+def _segments(distance: int, flipped: bool = False):
+    """Column fp's segments as they are, the segment's number in the high bits; ``flipped``: also with each bit flipped."""
+    out = []
+    for k, (at, n) in enumerate(segments(distance)):
+        seg = F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << n) - 1)).bitwiseOR(F.lit(k << 32))
+        out += [seg, *[seg.bitwiseXOR(F.lit(1 << i)) for i in range(n if flipped else 0)]]
+    return F.explode(F.array(*out)).alias("key")
+
+
 def _near(a: str, b: str, most: int):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
 
 
-def bucket_neighbours(fps: DataFrame, distance: int, most: int, node: str = "fp") -> DataFrame:
+def bucket_neighbours(fps: DataFrame, distance: int, most: int, node: str = "fp", whole: bool = False) -> DataFrame:
     """(u, v): nodes of (fp, node) whose fingerprints are neighbours in a bucket, or one of them its smallest, at most ``most`` bits apart.
 
-    This joins large groups of near copies without their pairs.
+    This joins large groups of near copies without their pairs. ``whole``: in
+    the buckets of equal segments only, one for 21; what these leave apart is
+    left to ``bucket_pairs``.
     """
     own = F.struct("fp", F.col(node).alias("node"))
     w = Window.partitionBy("key").orderBy("own")
-    near = fps.select(_keys(distance), own.alias("own")).select("own", F.lag("own").over(w).alias("prev"), F.first("own").over(w).alias("first"))
+    near = fps.select(_segments(distance) if whole else _keys(distance), own.alias("own")).select("own", F.lag("own").over(w).alias("prev"), F.first("own").over(w).alias("first"))
     near = near.select("own", F.explode(F.array("prev", "first")).alias("other")).select("own.*", F.col("other.fp").alias("fp2"), F.col("other.node").alias("v"))
     return near.where((F.col("node") != F.col("v")) & _near("fp", "fp2", most)).select(F.col("node").alias("u"), "v").distinct()
 
@@ -134,34 +147,52 @@ def bucket_pairs(labelled: DataFrame, distance: int, most: int, node: str = "fp"
     labels of a bucket are reduced and stored before the index
     meets them, and both sides of the pairs' join come from exchanges of their
     own, so that Spark can split a bucket of very many rows in either join.
-    With ``bound``, columns n, level and sketch tell of nearly all pairs that are less
-    alike than that, before they are emitted: pairs by chance, which grow with
-    the square of the rows, and those of many copies of one text that are alike
-    to it but not to each other, which grow with the square of these.
+    With ``bound``, see ``probed_pairs``.
     """
     sizes = store(labelled.groupBy("label").agg(F.count("*").alias("size")), "sizes")
-    ranked = labelled.join(sizes, "label").select(_keys(distance), F.struct("size", "label").alias("rank"), "fp")
+    ranked = labelled.join(sizes, "label")
+    if bound is not None:
+        return probed_pairs(ranked, distance, most, node, bound)
+    ranked = ranked.select(_keys(distance), F.struct("size", "label").alias("rank"), "fp")
     mixed = ranked.groupBy("key").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.count("*").alias("n"), F.bit_or("fp").alias("any"), F.bit_and("fp").alias("all"))
     # Two rows that are too far apart, as nearly all are that share a key by chance, are told by the bits that not both have.
     mixed = mixed.where((F.col("lo") != F.col("hi")) & ((F.col("n") > 2) | _near("any", "all", most)))
     mixed = store(mixed.select("key", F.col("hi.label").alias("most")), "mixed")
-    wide = [] if bound is None else ["n", "level", "sketch"]
-    if bound is None:
-        index = labelled.select(_keys(distance), *dict.fromkeys(["fp", "label", node])).join(mixed, "key")
-    else:
-        # Merged whatever the size, so that what a small input shows of the disk holds for a large one.
-        index = labelled.select(_keys(distance), node).join(mixed.hint("merge"), "key")
-        # What is wide joins a node once, not each of its keys in mixed buckets, of which it has 64 at the most.
-        keys = index.groupBy(node).agg(F.collect_list(F.struct("key", "most")).alias("keys"))
-        index = keys.join(labelled.select(node, "fp", "label", *wide), node).select(node, "fp", "label", *wide, F.inline("keys"))
+    index = labelled.select(_keys(distance), *dict.fromkeys(["fp", "label", node])).join(mixed, "key")
     # Another name for a key: the join below deals the rows anew.
     index = index.withColumn("key", F.col("key").bitwiseXOR(F.lit(1)))
-    side = lambda df, x: df.select(F.col("key").alias(f"k{x}"), F.col("fp").alias(f"f{x}"), F.col("label").alias(f"l{x}"), F.col(node).alias(x), *[F.col(c).alias(f"{c}_{x}") for c in wide])
+    side = lambda df, x: df.select(F.col("key").alias(f"k{x}"), F.col("fp").alias(f"f{x}"), F.col("label").alias(f"l{x}"), F.col(node).alias(x))
     a, b = side(index.where("label <> most"), "u"), side(index, "v")
-    near = _near("fu", "fv", most)
-    if bound is not None:
-        near = near & may_be_alike(bound)
-    return a.join(b, (F.col("ku") == F.col("kv")) & (F.col("lu") != F.col("lv")) & near).select("lu", "lv", "u", "v")
+    return a.join(b, (F.col("ku") == F.col("kv")) & (F.col("lu") != F.col("lv")) & _near("fu", "fv", most)).select("lu", "lv", "u", "v")
+
+
+def probed_pairs(ranked: DataFrame, distance: int, most: int, node: str, bound: float) -> DataFrame:
+    """The pairs of ``bucket_pairs`` of (fp, node, label, size of the label, n, level, sketch), but for those that can't have a similarity of ``bound``.
+
+    Segments that differ in no bit or one are found from one side: a node is in
+    the buckets of its own segments, and asks in those and in the ones that a
+    flipped bit leads to. Of two groups the smaller asks, so that each pair
+    comes once a segment and members of the largest group never ask. A bucket
+    tells which bits all or none of its nodes have; a question that these put
+    too far away, as nearly all are by chance, is dropped before anything wide
+    meets it. Counts and odd sketches rule out nearly all others that are less
+    alike than ``bound`` before they are emitted: copies of one text that are
+    alike to it but not to each other.
+    """
+    ranked = ranked.withColumn("rank", F.struct("size", "label"))
+    buckets = ranked.select(_segments(distance), "rank", "fp").groupBy("key").agg(F.max("rank").alias("hi"), F.bit_or("fp").alias("any"), F.bit_and("fp").alias("all"))
+    buckets = store(buckets, "buckets")
+    # Bits that the node has and none of the bucket, or all of the bucket and not the node.
+    apart = F.bit_count((F.col("fp").bitwiseAND(F.bitwise_not("any"))).bitwiseOR(F.bitwise_not("fp").bitwiseAND(F.col("all"))))
+    # Merged whatever the size, so that what a small input shows of the disk holds for a large one.
+    asked = ranked.select(_segments(distance, flipped=True), node, "rank", "fp").join(buckets.hint("merge"), "key").where((F.col("rank") < F.col("hi")) & (apart <= most))
+    # What is wide joins a node once, not each of its questions.
+    wide = ["fp", "rank", "n", "level", "sketch"]
+    asked = asked.groupBy(node).agg(F.collect_list(F.struct("key")).alias("keys")).join(ranked.select(node, *wide), node).select(node, *wide, F.inline("keys"))
+    side = lambda df, x: df.select(F.col("key").alias(f"k{x}"), F.col(node).alias(x), F.col("fp").alias(f"f{x}"), *[F.col(c).alias(f"{c}_{x}") for c in wide[1:]])
+    a, b = side(asked, "u"), side(ranked.select(_segments(distance), node, *wide), "v")
+    near = (F.col("ku") == F.col("kv")) & (F.col("rank_u") < F.col("rank_v")) & _near("fu", "fv", most) & may_be_alike(bound)
+    return a.join(b, near).select(F.col("rank_u.label").alias("lu"), F.col("rank_v.label").alias("lv"), "u", "v")
 
 
 def link(fps: DataFrame, distance: int = 4) -> DataFrame:
@@ -303,6 +334,31 @@ def described(docs: DataFrame, id_col: str, text_col: str, size: int, bound: flo
     return src.mapInArrow(lambda it: _describe(it, size, bound), "id long, text_key long, node long, n int, prints array<long>, level int, sketch array<long>, hashes array<int>")
 
 
+def of_nodes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``nodes`` (node, distinct and stored; eight bytes each, counted first)."""
+    nodes = nodes.select("node")
+    return rows.join(F.broadcast(nodes) if nodes.count() <= MAX_BROADCAST else nodes, "node", "left_semi")
+
+
+def rivals(rows: DataFrame, bound: float) -> DataFrame:
+    """(node, n, own): the nodes of ``rows`` (node, n, hashes) but for those that so many shingles of their own show to be alike to none.
+
+    A shingle is a node's own if no other node has it that is still there; who
+    has more than 1 - ``bound`` of them shares too few with any. A part of all
+    shingles after the other is counted, so that most nodes are gone after the
+    first and little is on disk. This loses no pair: while both of its nodes
+    are there, what they share is neither's own.
+    """
+    left = store(rows.select("node", "n", F.lit(0).cast("long").alias("own")).distinct(), "left")
+    for k, (lo, hi) in enumerate(EIGHTHS):
+        held = (of_nodes(rows, left) if k else rows).select("node", F.explode("hashes").alias("h"))
+        held = held.where(F.pmod("h", F.lit(8)).between(lo, hi - 1)).groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("other"))
+        own = held.where("node = other").groupBy("node").agg(F.count("*").alias("more"))
+        left = left.join(own, "node", "left").select("node", "n", (F.col("own") + F.coalesce("more", F.lit(0))).alias("own"))
+        left = store(left.where(F.col("n") - F.col("own") >= bound * F.col("n") - 1e-6), "left")
+    return left
+
+
 def alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, bound: float) -> DataFrame:
     """The distinct pairs (u, v) of nodes whose sets have a Jaccard similarity of ``bound`` or more.
 
@@ -314,9 +370,7 @@ def alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, bound: float) ->
     pairs = pairs.join(own("u"), "u").join(own("v"), "v").where((apart <= WIDE_BITS) & may_be_alike(bound))
     pairs = store(pairs.select("u", "v", "n_u", "n_v"), "pairs")
     asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    # Eight bytes a node, counted first.
-    sets = rows.select("node", "hashes").join(F.broadcast(asked) if asked.count() <= MAX_BROADCAST else asked, "node", "left_semi")
-    sets = store(sets.groupBy("node").agg(F.first("hashes").alias("h")), "sets")
+    sets = store(of_nodes(rows.select("node", "hashes"), asked).groupBy("node").agg(F.first("hashes").alias("h")), "sets")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("h").alias("h_u")), "u").join(sets.select(F.col("node").alias("v"), F.col("h").alias("h_v")), "v")
     common = F.size(F.array_intersect("h_u", "h_v"))
     return both.withColumn("common", common).where(F.col("common") >= bound * (F.col("n_u") + F.col("n_v") - F.col("common"))).select("u", "v")
@@ -326,14 +380,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, text_key, component_id): component_id is the smallest id reachable by links.
 
     Two texts are linked where the Jaccard similarity of their sets of
-    ``size``-word shingles is ``bound`` or more. Pairs to verify come from the
-    deletion-variant index of each of the PRINTS words of a wide print, as in
-    ``link``: neighbours in buckets of all words first, then, once the groups
-    that these make are known, all pairs across groups. Texts of one set are
-    one node; every node is indexed by all its words, whoever shares them.
+    ``size``-word shingles is ``bound`` or more. Texts of one set are one node.
+    Nodes that their own shingles show to be alike to none go first
+    (``rivals``). Of the others, pairs to verify come from the
+    segments of each of the PRINTS words of a wide print: neighbours in buckets
+    of all words first, then, once the groups that these make are known, all
+    pairs across groups. All of them are indexed by all their words, whoever shares them.
     """
     rows = store(described(docs, id_col, text_col, size, bound), "shingles")
-    nodes = store(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "prints", "level", "sketch")]), "nodes")
+    nodes = store(of_nodes(rows, rivals(rows, bound)).groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "prints", "level", "sketch")]), "nodes")
 
     def by_word(find, df: DataFrame, name: str) -> DataFrame:
         """Pairs of nodes from the index of one word after the other, so that only one is on disk."""
@@ -344,7 +399,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found = own if found is None else found.union(own)
         return found
 
-    first = store(alike(by_word(bucket_neighbours, nodes, "neighbours"), nodes, rows, bound), "links")
+    first = store(alike(by_word(partial(bucket_neighbours, whole=True), nodes, "neighbours"), nodes, rows, bound), "links")
     roots = store(components(first), "groups")
     labelled = store(nodes.join(roots, "node", "left").select("node", "n", "prints", "level", "sketch", F.coalesce("root", "node").alias("label")), "labelled")
     second = alike(by_word(partial(bucket_pairs, bound=bound), labelled, "across"), nodes, rows, bound)

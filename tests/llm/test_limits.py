@@ -262,3 +262,44 @@ def test_wide_columns_join_a_node_once(spark):
     want = own("u").crossJoin(own("v")).where((F.col("u") < F.col("v")) & simhash._near("fu", "fv", 5) & simhash.may_be_alike(0.8)).select("u", "v")
     got = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     assert want.count() > 5 and want.subtract(got).count() == 0
+
+
+def test_texts_with_shingles_of_their_own_are_not_indexed(spark, monkeypatch):
+    """A text over a fifth of whose shingles no other has goes before the index, copies and all; one at the bound of 0.8 stays and is linked."""
+    g = random.Random(12)
+    shared = [f"s{i}" for i in range(30)]
+    texts = [" ".join(shared + [f"x{g.randrange(10**9)}" for _ in range(40)]) for _ in range(60)]
+    texts += texts[:5]  # copies are one set, which is no other's
+    at = [f"b{i}" for i in range(84)]
+    first = len(texts)
+    texts += [" ".join(at), " ".join(at[:68]), " ".join(at[:66] + ["y"])]  # 80 shingles, 64 of them, 62 of them and one of its own
+    texts += ["", "a b", "a b c"]
+    tables, plain = {}, simhash.store
+    monkeypatch.setattr(simhash, "store", lambda df, name: tables.setdefault(name, []).append(plain(df, name)) or tables[name][-1])
+    got = copies(spark, texts)
+    groups, found = plain_groups(texts)
+    assert got == groups and got[first + 1] == first and (first, first + 1) in found and (first, first + 2) not in found
+    # The three, and the blank text, which has no shingle.
+    assert tables["nodes"][0].count() <= 4
+    left = [t.count() for t in tables["left"]]
+    assert left == sorted(left, reverse=True) and left[0] == 66 and left[-1] <= 4
+
+
+def test_a_pair_is_asked_for_from_one_side(spark):
+    """Pairs between groups come from the smaller one only, and are those of brute force at one differing bit a segment or none."""
+    g = random.Random(13)
+    base = [f"v{g.randrange(900)}" for _ in range(100)]
+    texts = [" ".join(base[:k] + [f"n{i}"] + base[k + 1 :]) for i, k in enumerate(g.choices(range(100), k=24))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = simhash.described(df, "doc_id", "text", 5, 0.8).withColumn("label", F.when(F.col("id") < 14, 1).otherwise(F.col("id")).cast("long")).withColumn("fp", F.get("prints", F.lit(0)))
+    nodes = simhash.store(nodes, "nodes")
+    got = {(r["u"], r["v"]) for r in simhash.bucket_pairs(nodes, simhash.KEYED, simhash.WORD_BITS, "node", bound=0.8).collect()}
+    rows = {r["node"]: (r["label"], r["fp"]) for r in nodes.collect()}
+    assert all(rows[u][0] != 1 for u, _ in got) and not any((v, u) in got for u, v in got)
+
+    def meet(x, y):
+        bits = (x ^ y) % (1 << 64)
+        return bits.bit_count() <= simhash.WORD_BITS and any(((bits >> at) & ((1 << n) - 1)).bit_count() <= 1 for at, n in simhash.segments(simhash.KEYED))
+
+    want = {frozenset((a, b)) for a in rows for b in rows if rows[a][0] < rows[b][0] and meet(rows[a][1], rows[b][1])}
+    assert len(want) > 20 and {frozenset(x) for x in got} == want
