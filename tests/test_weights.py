@@ -63,3 +63,7 @@ def test_weights_of_frequent_and_rare_terms(spark, monkeypatch, more, frequent):
 def test_terms_are_not_shuffled_with_each_document(spark, monkeypatch, frequent):
     monkeypatch.setattr(tfidf, "FREQUENT", frequent)
     assert shuffled(spark, "tfidf") < 3
+
+
+def test_topics_take_no_table_of_weights(spark):
+    assert shuffled(spark, "topic_keywords") < 3.5
