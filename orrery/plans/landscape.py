@@ -119,8 +119,8 @@ def cluster_prompts(spark, sf_dir):
     docs, e = table(spark, sf_dir, "documents"), embeddings(spark, sf_dir)
     noise = F.when(F.col("label") == 5, labels.NOISE).otherwise(F.col("label"))
     terms = tfidf.cluster_terms(tfidf.tfidf(docs, "doc_id", tokens(F.col("text"))), e.where("label <> 3").select(F.col("vec_id").alias("doc_id"), noise.alias("label")), "doc_id", "label")
-    rows = plane(spark, sf_dir).withColumn("label", noise).join(docs, F.col("vec_id") == F.col("doc_id"), "left")
-    return prompts.cluster_prompts(rows, "label", "vec_id", ["lang", "text"], terms)
+    rows, texts = plane(spark, sf_dir).withColumn("label", noise), docs.withColumnRenamed("doc_id", "vec_id")
+    return prompts.cluster_prompts(rows, "label", "vec_id", ["lang", "text"], terms, source=texts)
 
 
 @query("rep_suppression", "SELECT doc_id, lang, round(avg(CASE WHEN coalesce(quality, 0) = 0 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY lang), 6) AS invalid_share, avg(CASE WHEN coalesce(quality, 0) = 0 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY lang) > 0.5 AS suppressed FROM documents LEFT JOIN labels USING (doc_id)")

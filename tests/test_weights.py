@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from orrery.functions.text import tokens
-from orrery.operators import tfidf
+from orrery.operators import prompts, tfidf
 
 
 def written(spark, f):
@@ -67,3 +67,19 @@ def test_terms_are_not_shuffled_with_each_document(spark, monkeypatch, frequent)
 
 def test_topics_take_no_table_of_weights(spark):
     assert shuffled(spark, "topic_keywords") < 3.5
+
+
+def test_prompts_shuffle_only_the_texts_that_they_show(spark):
+    assert shuffled(spark, "cluster_prompts") < 3.5
+
+
+def test_prompts_of_texts_in_a_table_of_their_own(spark):
+    """As from one table; a text that is missing leaves its line empty, and one that is there twice doesn't move the centre."""
+    at = spark.createDataFrame([(i, i % 2, float(i), 0.0) for i in range(8)], "id long, c int, x double, y double")
+    texts = spark.createDataFrame([(i, f"text\n{i}") for i in range(7)], "id long, text string")
+    terms = spark.createDataFrame([(0, 1, "a"), (0, 2, "b")], "c int, rank int, term string")
+    both = [prompts.cluster_prompts(at.join(texts, "id", "left"), "c", "id", ["text"], terms, 3), prompts.cluster_prompts(at, "c", "id", ["text"], terms, 3, source=texts)]
+    one, two = ({r["c"]: r["prompt"] for r in d.collect()} for d in both)
+    assert one == two and one[0].startswith("Cluster 0:\nTerms: a, b\nDocuments:\n  - text ")
+    twice = prompts.cluster_prompts(at, "c", "id", ["text"], terms, 3, source=texts.union(texts.where("id = 6"))).collect()
+    assert {x for r in twice for x in r["prompt"].split("\n")} == {x for p in one.values() for x in p.split("\n")}
