@@ -8,6 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.ordering import join_reduced
+from ..functions.tables import small, store
 from ..functions.text import tokens
 from ..operators import growth, labels, network, prompts, search, summary, tfidf, vectors
 from .catalog import query, table
@@ -75,7 +76,8 @@ def cluster_prompt_rows(spark, sf_dir):
     terms = tfidf.cluster_terms(tfidf.tfidf(docs, "doc_id", tokens(F.col("text"))), e.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id", "label")
     joined = lambda c, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", c))), lambda r: r[c]), sep)
     terms = terms.groupBy("label").agg(joined("term", ", ").alias("terms"))
-    near = vectors.nearest_in_plane(plane(spark, sf_dir), "label", "vec_id", "x", "y").join(docs, F.col("vec_id") == F.col("doc_id"))
+    near = store(vectors.nearest_in_plane(plane(spark, sf_dir), "label", "vec_id", "x", "y"), "nearest")
+    near = small(near, prompts.ROW_BYTES).join(docs, F.col("vec_id") == F.col("doc_id"))
     texts = near.select("label", "rank", F.concat(F.lit("- "), flatten_snippet(F.col("text"))).alias("line")).groupBy("label").agg(joined("line", "\n").alias("texts"))
     return terms.join(texts, "label").select("label", F.concat(F.lit("Cluster "), F.col("label").cast("string"), F.lit("\nTerms: "), "terms", F.lit("\n"), "texts").alias("prompt"))
 

@@ -83,3 +83,7 @@ def test_prompts_of_texts_in_a_table_of_their_own(spark):
     assert one == two and one[0].startswith("Cluster 0:\nTerms: a, b\nDocuments:\n  - text ")
     twice = prompts.cluster_prompts(at, "c", "id", ["text"], terms, 3, source=texts.union(texts.where("id = 6"))).collect()
     assert {x for r in twice for x in r["prompt"].split("\n")} == {x for p in one.values() for x in p.split("\n")}
+
+
+def test_rows_of_prompts_shuffle_only_the_texts_that_they_show(spark):
+    assert shuffled(spark, "cluster_prompt_rows") < 3.5
